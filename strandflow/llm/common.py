@@ -75,3 +75,26 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+
+
+def map_texts(docs: DataFrame, work, schema: str) -> DataFrame:
+    """doc_id with what work makes of the texts, in Arrow batches.
+
+    work(texts) gets at most a few megabytes of texts (or one longer text) and returns (rows, columns): columns by name in
+    schema's order, and the number of the text that each value belongs to (None: one value per text).
+    """
+    from strandflow.llm import arrays
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for lo, hi in arrays.blocks(texts):
+                rows, columns = work(texts[lo:hi])
+                ids = batch.column("doc_id").slice(lo, hi - lo)
+                if rows is not None:
+                    ids = ids.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(v) for v in columns.values()]], names=["doc_id", *columns])
+
+    return with_text(docs).mapInArrow(run, f"doc_id long, {schema}")

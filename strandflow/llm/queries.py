@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import exact_dedup, merkle, secret_scan
+from strandflow.llm import exact_dedup, merkle, packing, secret_scan, sentence_piece, toxicity
 from strandflow.llm.common import read
 
 
@@ -14,6 +14,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_report(read(spark, sf_dir, "documents"))
 
@@ -22,8 +36,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read(spark, sf_dir, "documents"))
 
 
+def op8_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_piece.sentence_piece(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op5_fingerprints, op6_secret_scan)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_secret_scan, op8_sentence_piece)}
 
 
 def oracle_sql() -> dict[str, str]:
