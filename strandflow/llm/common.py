@@ -98,3 +98,13 @@ def map_texts(docs: DataFrame, work, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(v) for v in columns.values()]], names=["doc_id", *columns])
 
     return with_text(docs).mapInArrow(run, f"doc_id long, {schema}")
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
+    """Left join of rows (with a doc_id) to a lookup of one row per key, when one key may hold a large part of the rows.
+
+    The lookup is repeated once per salt and the rows of a key are dealt over the salts by their doc_id.
+    """
+    spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    return dealt.join(spread, [*keys, "_salt"], "left").drop("_salt")

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import exact_dedup, merkle, packing, secret_scan, sentence_piece, toxicity
+from strandflow.llm import exact_dedup, merkle, near_dedup, packing, secret_scan, sentence_piece, toxicity
 from strandflow.llm.common import read
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op8_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_secret_scan, op8_sentence_piece)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_secret_scan, op8_sentence_piece)}
 
 
 def oracle_sql() -> dict[str, str]:
