@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import exact_dedup, merkle, near_dedup, packing, secret_scan, sentence_piece, toxicity
+from strandflow.llm import exact_dedup, language_id, merkle, near_dedup, packing, secret_scan, sentence_piece, toxicity
 from strandflow.llm.common import read
 
 
@@ -40,12 +40,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(read(spark, sf_dir, "documents"))
+
+
 def op8_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_piece.sentence_piece(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_secret_scan, op8_sentence_piece)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_secret_scan, op7_language_id, op8_sentence_piece)}
 
 
 def oracle_sql() -> dict[str, str]:
