@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandflow.llm import exact_dedup, language_id, merkle, near_dedup, packing, secret_scan, sentence_piece, toxicity
+from strandflow.llm import exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, secret_scan, sentence_piece, suffix_dedup, toxicity
 from strandflow.llm.common import read
 
 
@@ -48,8 +48,16 @@ def op8_sentence_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_piece.sentence_piece(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_secret_scan, op7_language_id, op8_sentence_piece)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_secret_scan, op7_language_id, op8_sentence_piece, op9_suffix_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
