@@ -94,7 +94,7 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     base = with_text(docs).select(
         "doc_id",
         text,
-        F.struct(F.col("doc_id"), F.xxhash64("text"), F.length("text")).alias("row_key"),
+        row_key().alias("row_key"),
         spans(text, ASSIGN, 0, 2, 6).alias("assign"),
         spans(text, ACCESS, 1).alias("access"),
         spans(text, HEX, 2).alias("hex"),
@@ -103,12 +103,10 @@ def secret_scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     known = F.concat("assign", "access", "hex")
     extra = lambda pattern, kind: F.when(F.size("access") > 0, F.filter(spans(text, pattern, kind), lambda s: ~inside(s, known))).otherwise(F.array().cast(SPAN))
     scan = save(base.select("doc_id", "row_key", "assign", "access", "hex", extra(WEAK, 3).alias("weak"), extra(ENDPOINT, 4).alias("endpoint")))
-    key = F.sha2(F.to_json("row_key"), 256)  # a plain key, null doc_ids included
-    scan = scan.withColumn("row_key", key)
     linked = linked_parts(scan, scope)
     few = scan.where((F.size("access") > 0) & ((F.size("weak") > 0) | (F.size("endpoint") > 0)))
     plain = scan.where(~((F.size("access") > 0) & ((F.size("weak") > 0) | (F.size("endpoint") > 0))))
-    cols = lambda df, more: df.select("doc_id", "assign", "access", "hex", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), F.array_sort(F.concat("assign", "access", "hex", more)).alias("spans"))
+    cols = lambda df, more: df.select("doc_id", "row_key", "assign", "access", "hex", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), F.array_sort(F.concat("assign", "access", "hex", more)).alias("spans"))
     return cols(plain, F.array().cast(SPAN)).unionByName(
         cols(few.join(linked.distinct(), "row_key", "left"), F.coalesce("linked", F.array().cast(SPAN)))
     )
@@ -132,7 +130,29 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def mask_secrets(text: Column) -> Column:
-    """The text with the values of base spans replaced by a mark."""
-    out = F.regexp_replace(text, r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9+/_.=-]{6,}""", "$1[secret]")
-    return F.regexp_replace(F.regexp_replace(out, ACCESS, "[secret]"), HEX, "[secret]")
+def row_key() -> Column:
+    """The row_key of a row of documents."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.sha2(F.to_json(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("xxhash64(text)"), F.length(text).alias("length(text)"))), 256)
+
+
+def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
+    """The text with each span (sorted, may overlap) replaced by a mark."""
+    step = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+    )
+    return F.aggregate(
+        found, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    )
+
+
+def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """All rows and columns of docs, text with its secrets replaced and n_chars to match."""
+    found = secret_scan(docs, scope).where(F.size("spans") > 0).select(F.col("row_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+    both = docs.withColumn("_key", row_key()).join(found, "_key", "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
+    out = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
