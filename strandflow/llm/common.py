@@ -108,3 +108,27 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], salts: int
     spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     return dealt.join(spread, [*keys, "_salt"], "left").drop("_salt")
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose doc_id may be among ids, and rows whose doc_id is certainly not: whole texts need no shuffle for the latter.
+
+    ids are hashed into a bitmap of at most 2^26 bits (8 MB), which is all that is broadcast; with ever more ids it tells fewer
+    rows apart, and stays right. An exact join must follow on the first part.
+    """
+    n = ids.count()
+    bits = 1 << min(26, max(15, (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    maps = (
+        ids.where("doc_id is not null")
+        .select((at + 1).alias("p"))
+        .groupBy(F.bitmap_bucket_number("p").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
+    )
+    maps = rows.sparkSession.createDataFrame(maps.collect(), "__bucket long, __bits binary")  # at most 2048 rows of 4 KB
+    slot = F.col("__at") % 32768
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte.cast("int"), (slot % 8).cast("int")) == 1, F.lit(False))
+    marked = rows.withColumn("__at", F.coalesce(at, F.lit(0))).join(F.broadcast(maps), F.bitmap_bucket_number(F.col("__at") + 1) == F.col("__bucket"), "left")
+    hit = F.col("doc_id").isNotNull() & hit
+    return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import salted_join, save, with_text
+from strandflow.llm.common import salted_join, save, split_by_ids, with_text
 
 LEAST = 40
 RARE = 64
@@ -139,7 +139,10 @@ def line_dedup(docs: DataFrame, least: int = LEAST, rare: int = RARE) -> DataFra
     """doc_id, n_lines, n_removed, kept_text for every input row."""
     t = with_text(docs)
     gone = save(removed_lines(t, least, rare))
-    return t.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_delete, "doc_id long, n_lines long, n_removed long, kept_text string")
+    inside, outside = split_by_ids(t, gone.select("doc_id"))
+    cut = inside.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_delete, "doc_id long, n_lines long, n_removed long, kept_text string")
+    whole = outside.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept_text"))
+    return cut.unionByName(whole)
 
 
 def report(docs: DataFrame) -> DataFrame:
