@@ -7,11 +7,12 @@ start at an earlier place (smaller doc_id, or earlier in the same document), the
 suffixes have the same one (their anchor). Neighbouring suffixes with one anchor form a unit. Units are sorted by (anchor, unit content): of equal
 units all but the first are repeated as a whole; a unit whose anchor nobody else has is not repeated at all. Only units that
 share the anchor but not the content, at the borders of repeated passages, are left, and those in which the anchor stands more than once.
-2. Their suffixes are sorted bucket by bucket. A suffix's record is its first COVER bytes, the rank name of a cover sample and its last
+2. Their suffixes are sorted block by block, a block holding whole anchors. A suffix's record is its first COVER bytes, the rank name of a cover sample and its last
 COVER bytes. Samples stand at the positions of a difference cover modulo COVER, counted from the anchor: of two suffixes that agree
 in their first COVER bytes, equal ones have the same anchor offset, hence a common distance to a sample; the sample's name, worked out once
-per sample for WIDTH - COVER bytes, settles the tie without comparing further. Buckets are cut by the record, so one
-passage that a third of all documents share is spread, and each block of texts sends one record per distinct suffix only.
+per sample for WIDTH - COVER bytes, settles the tie without comparing further. Only the
+bytes of such units travel. An anchor that more than CROWD units share (a passage in a large part of all documents) would be one
+block of any size: its suffixes are dealt out by their whole record instead, so they spread, and each block of texts decides its own first.
 
 Contents are compared as 64-bit hashes, three of them per suffix. A task holds a few megabytes of text, or one document.
 
@@ -22,6 +23,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import isqrt
 
 import numpy as np
@@ -29,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm import arrays
-from strandflow.llm.common import save, with_text
+from strandflow.llm.common import save, split_by_ids, with_text
 
 WIDTH = 100
-GRAM = 32
+GRAM = 40
 COVER = 16
-REPEATED, SHARED = 1, 2
+#: Units that share an anchor, beyond which their suffixes are dealt out one by one.
+CROWD = 20_000
+REPEATED, SHARED, CROWDED = 1, 2, 3
 
 
 def difference_cover(v: int = COVER) -> np.ndarray:
@@ -54,14 +58,14 @@ def _blocks(texts: list[bytes]):
 class Block:
     """Texts laid end to end, the hashes of their spans, and their units."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], bare: bool = False):
         data = np.frombuffer(b"".join(texts), np.uint8)
         self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         self.span = arrays.Hasher(data)
         n = len(data) - WIDTH + 1
         self.first = self.end = self.owner = np.zeros(0, np.int64)
         self.anchor = np.zeros(0, np.uint64)
-        if n <= 0:
+        if n <= 0 or bare:
             return
         at = np.arange(len(data) - GRAM + 1)
         low = self.span(at, at + GRAM)
@@ -140,8 +144,9 @@ def _settle(batches):
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
         group = np.cumsum(new_anchor) - 1
-        shared = (np.bincount(group, new) > 1)[group]
-        state = np.where(_later(np.stack([anchor, content]), doc, start) | again, REPEATED, np.where(shared | several, SHARED, 0)).astype(np.int32)
+        contents = np.bincount(group, new)[group]
+        state = np.where((contents > 1) | several, np.where(contents > CROWD, CROWDED, SHARED), 0)
+        state = np.where(_later(np.stack([anchor, content]), doc, start) | again, REPEATED, state).astype(np.int32)
         out = state > 0
         return pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(start[out]), pa.array(suffixes[out]), pa.array(state[out])], names=["doc_id", "start", "suffixes", "state"])
 
@@ -159,39 +164,105 @@ def _settle(batches):
         yield settle(held)
 
 
+def _suffixes(block: Block, first: np.ndarray, size: np.ndarray):
+    """All suffixes of units: their places, the unit of each, and their records (head, rank name of a cover sample, tail)."""
+    residues = difference_cover()
+    gap = np.array([min((d - o) % COVER for d in residues) for o in range(COVER)])  # distance to the next sample
+    at = np.repeat(first, size) + arrays.ragged(size)
+    # offsets are counted from where the suffix's anchor stands, so equal suffixes meet the same sample
+    places, least = _anchor_places(block, first)
+    several = np.repeat(block.several(first, size, least), size)
+    offset = np.repeat(places, size) - at
+    offset[several] = _anchor_places(block, at[several])[0] - at[several]
+    sample = at + gap[(-offset) % COVER]
+    end = np.minimum(sample + WIDTH - COVER, len(block.span.sums) - 1)
+    known = np.zeros(len(block.span.sums), bool)
+    known[sample] = True
+    place = np.flatnonzero(known)  # each sample is named once
+    number = np.cumsum(known) - 1
+    name = block.span(place, np.minimum(place + WIDTH - COVER, len(block.span.sums) - 1))[number[sample]]
+    return at, np.repeat(np.arange(len(first)), size), np.stack([block.span(at, at + COVER), name, block.span(at + WIDTH - COVER, at + WIDTH)])
+
+
+def _units_of(batch, lo: int, hi: int, block: Block):
+    """First places, sizes and texts of the units listed for texts lo..hi of a batch."""
+    starts, sizes = batch.column("starts").slice(lo, hi - lo), batch.column("sizes").slice(lo, hi - lo)
+    count = np.asarray(starts.value_lengths())
+    owner = np.repeat(np.arange(hi - lo), count)
+    return starts.flatten().to_numpy() + block.starts[owner], sizes.flatten().to_numpy().astype(np.int64), owner
+
+
+def _unit_spans(batches):
+    """The bytes of shared units with their anchor: (anchor, doc_id, start, span)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        texts, ids = _bytes(batch), batch.column("doc_id").to_numpy(zero_copy_only=False)
+        for lo, hi in _blocks(texts):
+            block = Block(texts[lo:hi], bare=True)
+            first, size, owner = _units_of(batch, lo, hi, block)
+            least = _anchor_places(block, first)[1]
+            joined = b"".join(texts[lo:hi])
+            spans = [joined[f : f + n + WIDTH - 1] for f, n in zip(first.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(least.view(np.int64)), pa.array(ids[lo:hi][owner]), pa.array((first - block.starts[owner]).astype(np.int32)), pa.array(spans, pa.binary())],
+                names=["anchor", "doc_id", "start", "span"],
+            )
+
+
+def _sort_blocks(batches):
+    """From spans sorted by anchor: the runs of suffixes that an earlier one equals. A block holds whole anchors."""
+    import pyarrow as pa
+
+    held: tuple[list, list, list, list] | None = None
+
+    def sort(anchor, doc, start, spans):
+        block = Block(spans, bare=True)
+        first, size = block.starts[:-1], np.diff(block.starts) - WIDTH + 1
+        at, unit, record = _suffixes(block, first, size)
+        place = np.asarray(start, np.int64)[unit] + at - first[unit]
+        doc = np.asarray(doc, np.int64)
+        order = np.lexsort((place, doc[unit], record[2], record[1], record[0]))
+        same = np.zeros(len(order), bool)
+        same[order] = _later(record[:, order], doc[unit][order], place[order])
+        edge = np.ones(len(same) + 1, bool)  # runs within a unit
+        edge[1:-1] = (same[1:] != same[:-1]) | (unit[1:] != unit[:-1])
+        cut = np.flatnonzero(edge)
+        begin, length = cut[:-1], np.diff(cut)
+        begin, length = begin[same[begin]], length[same[begin]]
+        return pa.RecordBatch.from_arrays([pa.array(doc[unit[begin]]), pa.array(place[begin].astype(np.int32)), pa.array(length.astype(np.int32))], names=["doc_id", "start", "suffixes"])
+
+    for batch in batches:
+        rows = tuple(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "span"))
+        if held is not None:
+            rows = tuple(a + b for a, b in zip(held, rows, strict=True))
+        if not rows[0]:
+            continue
+        cut = rows[0].index(rows[0][-1])  # the last anchor may go on in the next batch
+        held = tuple(x[cut:] for x in rows)
+        if cut:
+            yield sort(*(x[:cut] for x in rows))
+    if held is not None and held[0]:
+        yield sort(*held)
+
+
 def _suffix_records(batches):
-    """A record (head, sample, tail, doc_id, start) for each distinct suffix of a block's shared units, the others as repeated."""
+    """A record (head, sample, tail, doc_id, start) for each suffix of crowded units; again: an earlier one of the block equals it."""
     import pyarrow as pa
 
-    residues = difference_cover()
-    gap = np.array([min((d - o) % COVER for d in residues) for o in range(COVER)])  # distance to the next sample
     for batch in batches:
         texts, ids = _bytes(batch), batch.column("doc_id").to_numpy(zero_copy_only=False)
-        starts, sizes = batch.column("starts"), batch.column("sizes")
         for lo, hi in _blocks(texts):
-            block = Block(texts[lo:hi])
-            first = [np.asarray(starts[i].as_py(), np.int64) + block.starts[i - lo] for i in range(lo, hi)]
-            owner = np.repeat(np.arange(hi - lo), [len(x) for x in first])
-            first = np.concatenate(first)
-            size = np.concatenate([np.asarray(sizes[i].as_py(), np.int64) for i in range(lo, hi)])
-            at = np.repeat(first, size) + arrays.ragged(size)
-            own = np.repeat(owner, size)
-            # offsets are counted from where the unit's anchor stands, so equal suffixes meet the same sample
-            places, least = _anchor_places(block, first)
-            several = np.repeat(block.several(first, size, least), size)
-            offset = np.repeat(places, size) - at
-            offset[several] = _anchor_places(block, at[several])[0] - at[several]
-            sample = at + gap[(-offset) % COVER]
-            place, of = np.unique(sample, return_inverse=True)
-            end = np.minimum(place + WIDTH - COVER, len(block.span.sums) - 1)
-            name = block.span(place, end)[of]
-            head, tail = block.span(at, at + COVER), block.span(at + WIDTH - COVER, at + WIDTH)
+            block = Block(texts[lo:hi], bare=True)
+            first, size, owner = _units_of(batch, lo, hi, block)
+            at, unit, record = _suffixes(block, first, size)
+            own = owner[unit]
             doc, start = ids[lo:hi][own], at - block.starts[own]
-            order = np.lexsort((start, doc, tail, name, head))
+            order = np.lexsort((start, doc, record[2], record[1], record[0]))
             same = np.zeros(len(order), bool)
-            same[order] = _later(np.stack([head, name, tail])[:, order], doc[order], start[order])
+            same[order] = _later(record[:, order], doc[order], start[order])
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(x.view(np.int64)) for x in (head, name, tail)], pa.array(doc), pa.array(start.astype(np.int32)), pa.array(same)],
+                [*[pa.array(x.view(np.int64)) for x in record], pa.array(doc), pa.array(start.astype(np.int32)), pa.array(same)],
                 names=["head", "sample", "tail", "doc_id", "start", "again"],
             )
 
@@ -257,24 +328,37 @@ def repeated_suffixes(docs: DataFrame) -> DataFrame:
     units = docs.mapInArrow(_units, "anchor long, content long, doc_id long, start int, suffixes int, again boolean, several boolean")
     order = ["anchor", "content", "doc_id", "start"]
     states = save(units.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_settle, "doc_id long, start int, suffixes int, state int"))
-    shared = states.where(F.col("state") == SHARED).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("suffixes").alias("sizes"))
-    records = docs.join(shared, "doc_id").select("doc_id", "text", "starts", "sizes").mapInArrow(
-        _suffix_records, "head long, sample long, tail long, doc_id long, start int, again boolean"
-    )
-    key = ["head", "sample", "tail"]
-    later = records.repartition(*key).sortWithinPartitions(*key, "doc_id", "start").mapInArrow(_sort_bucket, "doc_id long, start int")
-    return states.where(F.col("state") == REPEATED).select("doc_id", "start", "suffixes").unionByName(later.withColumn("suffixes", F.lit(1)))
+
+    def listed(state):
+        return states.where(F.col("state") == state).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("suffixes").alias("sizes"))
+
+    def texts_of(units):
+        inside, _ = split_by_ids(docs, units.select("doc_id"))
+        return inside.join(units.hint("merge"), "doc_id").select("doc_id", "text", "starts", "sizes")
+
+    run = "doc_id long, start int, suffixes int"
+    spans = texts_of(listed(SHARED)).mapInArrow(_unit_spans, "anchor long, doc_id long, start int, span binary")
+    found = [states.where(F.col("state") == REPEATED).select("doc_id", "start", "suffixes")]
+    found.append(spans.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_blocks, run))
+    if not states.where(F.col("state") == CROWDED).isEmpty():
+        records = texts_of(listed(CROWDED)).mapInArrow(_suffix_records, "head long, sample long, tail long, doc_id long, start int, again boolean")
+        key = ["head", "sample", "tail"]
+        later = records.repartition(*key).sortWithinPartitions(*key, "doc_id", "start").mapInArrow(_sort_bucket, "doc_id long, start int")
+        found.append(later.withColumn("suffixes", F.lit(1)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and what is kept (binary)."""
     every = with_text(docs)
     t = every.where("doc_id is not null")
-    gone = save(repeated_suffixes(t)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "suffixes")).alias("g"))
-    gone = gone.select("doc_id", F.col("g.start").alias("starts"), F.col("g.suffixes").alias("sizes"))
-    cut = t.join(gone, "doc_id", "left").select("doc_id", "text", "starts", "sizes").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    gone = save(repeated_suffixes(t))
+    runs = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "suffixes")).alias("g"))
+    runs = runs.select("doc_id", F.col("g.start").alias("starts"), F.col("g.suffixes").alias("sizes"))
+    inside, outside = split_by_ids(every, gone.select("doc_id").distinct())
+    cut = inside.join(runs.hint("merge"), "doc_id", "left").select("doc_id", "text", "starts", "sizes").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     nothing = F.lit(0).cast("long")
-    whole = every.where("doc_id is null").select(
+    whole = outside.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("text").cast("binary").alias("kept")
     )
     return cut.unionByName(whole)
