@@ -1,9 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed words, word pairs and skip-grams.
 
-Learning: a bounded sample of labelled rows (SAMPLE, by hash of the doc_id, so the same at any partitioning) is spread over
-SHARDS tasks; each runs FTRL-proximal (per-coordinate rates, L1) from the current averaged state over its rows, and the
-changes are averaged per coordinate after each round (ROUNDS, more where few rows are labelled: about PASSES rows in all). L1 keeps most coordinates at zero; the weights, at most 2^BITS of them, are the
-only thing that is broadcast. Scoring reads every whole text once.
+Learning is online and in order, so it runs in one task, over a bounded sample of labelled rows (SAMPLE of them, by hash of the
+doc_id, the same at any partitioning), about PASSES rows in all where few are labelled. L1 keeps most coordinates at zero; the
+weights, at most 2^BITS of them, are the only thing that is broadcast besides the sample's ids. Scoring reads every whole text once.
 
 Features of a text: distinct words (runs of letters and digits, lower case) and their first STEMS letters, pairs of neighbours
 and pairs with one word between, hashed to 2^BITS coordinates.
@@ -21,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm import arrays
-from strandflow.llm.common import id_bucket, map_texts, save, with_text
+from strandflow.llm.common import id_bucket, map_texts, with_text
 
-BITS = 20
-SAMPLE = 24_000
-SHARDS = 4
-ROUNDS = 3
-PASSES = 60_000
+BITS = 18
+SAMPLE = 16_000
+PASSES = 32_000
 STEMS = (5,)
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
 
@@ -93,50 +90,36 @@ def ftrl(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray) -> No
         z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * w
 
 
-def one_round(state, turn: int):
-    """The work of one shard in one round, from the broadcast state; returns the coordinates that changed."""
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, acc = (x.copy() for x in state.value)
-        pdf = pdf.sort_values(["doc_id", "toxic"])
-        pdf = pdf.iloc[np.random.default_rng(turn).permutation(len(pdf))]
-        ftrl([(np.asarray(a), t) for a, t in zip(pdf["at"], pdf.toxic, strict=True)], z, acc)
-        seen = np.flatnonzero((z != state.value[0]) | (acc != state.value[1]))
-        return pd.DataFrame({"i": seen, "z": z[seen], "acc": acc[seen]})
-
-    return learn
+def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    """FTRL-proximal over the sample: the coordinates of nonzero weight."""
+    pdf = pdf.sort_values(["doc_id", "toxic"])
+    texts, own = list(pdf.text), []
+    for lo, hi in arrays.blocks(texts):
+        at, begin = features(texts[lo:hi])
+        own += [at[i:j].astype(np.int32) for i, j in zip(begin[:-1], begin[1:], strict=True)]
+    rows = list(zip(own, pdf.toxic.tolist(), strict=True))
+    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for k in range(max(2, min(20, PASSES // max(1, len(rows))))):
+        ftrl([rows[i] for i in np.random.default_rng(k).permutation(len(rows))], z, n)
+    w = _weights(z, n)
+    at = np.flatnonzero(w)
+    return pd.DataFrame({"i": at, "w": w[at]})
 
 
 def train(docs: DataFrame, labels: DataFrame, learnable, sample: int = SAMPLE) -> np.ndarray:
     """Weights by coordinate (0: bias), all zero if there is nothing to learn from."""
     spark = docs.sparkSession
-    rows = (
-        with_text(docs)
-        .join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)"), "doc_id")
-        .where(learnable)
-    )
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(learnable)
     order = F.xxhash64("doc_id", F.lit("sample"))
     n = rows.count()
-    # a share by hash keeps the top-k below from sorting everything; it is generous, so the sample is full
+    # a share by hash keeps the top rows below from sorting everything; it is generous, so the sample is full
     rows = rows.where(F.pmod(order, F.lit(1_000_000)) < F.lit(int(min(1.0, 1.3 * sample / max(n, 1)) * 1_000_000) + 1))
-    picked = rows.orderBy(order, "doc_id", "toxic").limit(sample).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)))
-
-    def prepare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "toxic"])
-        at, begin = features(list(pdf.text))
-        return pd.DataFrame({"shard": pdf.shard, "doc_id": pdf.doc_id, "toxic": pdf.toxic, "at": [at[i:j].astype(np.int32) for i, j in zip(begin[:-1], begin[1:], strict=True)]})
-
-    ready = save(picked.groupBy("shard").applyInPandas(prepare, "shard long, doc_id long, toxic int, at array<int>"))
-    size = 1 << BITS
-    z, acc = np.zeros(size), np.zeros(size)
-    for turn in range(max(ROUNDS, min(20, PASSES // max(1, min(n, sample))))):
-        state = spark.sparkContext.broadcast((z, acc))
-
-        mean = ready.groupBy("shard").applyInPandas(one_round(state, turn), "i int, z double, acc double").groupBy("i").agg(F.avg("z").alias("z"), F.avg("acc").alias("acc"))
-        new = mean.toPandas()  # at most 2^BITS coordinates
-        z[new.i], acc[new.i] = new.z, new.acc
-        state.destroy()
-    return _weights(z, acc)
+    picked = F.broadcast(rows.orderBy(order, "doc_id", "toxic").limit(sample))  # at most sample rows of two numbers
+    rows = with_text(docs).join(picked, "doc_id").select("doc_id", "toxic", "text").withColumn("part", F.lit(0))
+    found = rows.groupBy("part").applyInPandas(fit, "i int, w double").toArrow()  # at most 2^BITS coordinates
+    weights = np.zeros(1 << BITS)
+    weights[found.column("i").to_numpy()] = found.column("w").to_numpy()
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
