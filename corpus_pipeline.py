@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
-from strandflow.llm.common import read, save
+from strandflow.llm.common import read, save, split_by_ids
 from strandflow.llm.queries import vocabulary
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows that ids (doc_id) names, columns in order."""
-    return docs.join(ids.where("doc_id is not null").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that ids (doc_id) names, columns in order; only rows that may be among them are shuffled."""
+    ids = save(ids.where("doc_id is not null").select("doc_id").distinct())
+    inside, outside = split_by_ids(docs, ids)
+    return inside.join(ids.hint("merge"), "doc_id", "left_anti").select(*docs.columns).unionByName(outside)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

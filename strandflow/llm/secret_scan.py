@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import save, with_text
+from strandflow.llm.common import save, split_by_ids, with_text
 
 #: The patterns of the base kinds, in the order in which equal starts are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -149,10 +149,14 @@ def redacted(text: Column, found: Column, mark: str = "[secret]") -> Column:
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """All rows and columns of docs, text with its secrets replaced and n_chars to match."""
-    found = secret_scan(docs, scope).where(F.size("spans") > 0).select(F.col("row_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    both = docs.withColumn("_key", row_key()).join(found, "_key", "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans")))
+    found = save(
+        secret_scan(docs, scope).where(F.size("spans") > 0).select("doc_id", F.col("row_key").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__key"])
+    )
+    inside, outside = split_by_ids(docs, found.where("doc_id is not null").select("doc_id").distinct())
+    nameless, outside = outside.where("doc_id is null"), outside.where("doc_id is not null")
+    both = inside.unionByName(nameless).withColumn("__key", row_key()).join(found.drop("doc_id").hint("merge"), "__key", "left")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans")))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns).unionByName(outside)
