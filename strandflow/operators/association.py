@@ -20,7 +20,7 @@ def column_softmax(scores: DataFrame) -> DataFrame:
 
 def greedy_edges(probs: DataFrame, least: float = 0.5, children: int = 2) -> DataFrame:
     """Edges above the threshold, at most so many per source by descending probability; above 0.5 a column has one at most, so parents need no cap."""
-    w = ROW.orderBy(F.desc("prob"), F.desc("target_id"))
+    w = ROW.orderBy(F.desc(F.round("prob", 9)), F.desc("target_id"))  # equal up to the order of summing
     return probs.where(F.col("prob") > least).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= children).drop("rk")
 
 

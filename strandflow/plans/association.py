@@ -30,7 +30,7 @@ def sigmoid_scores(spark, d):
     return s.select(*PAIR, F.round(1 / (1 + F.exp(-F.col("raw_logit"))), 6).alias("prob"))
 
 
-@query(f"SELECT {P} FROM (SELECT *, row_number() OVER ({ROW} ORDER BY prob DESC, target_id DESC) rk FROM probs WHERE prob>0.5) WHERE rk<=2")
+@query(f"SELECT {P} FROM (SELECT *, row_number() OVER ({ROW} ORDER BY round(prob,9) DESC, target_id DESC) rk FROM probs WHERE prob>0.5) WHERE rk<=2")
 def greedy_edges(spark, d):
     return A.greedy_edges(probs(spark, d)).select(*PAIR)
 

@@ -161,11 +161,11 @@ def frame_relative_rank(spark, d):
 EVENTS = "(SELECT dataset, t, count(*) n, max(tx) mx, avg(tx) mean, stddev_pop(tx) std FROM nodes GROUP BY ALL)"
 
 
-@query("SELECT dataset, t, n, round(mx,6) top, round(mx-coalesce(tops[2],mx),6) margin, round(mean,6) mean, round(std,6) std, round(list_avg(tops[1:3]),6) top3 FROM (SELECT dataset, t, count(*) n, max(tx) mx, avg(tx) mean, stddev_pop(tx) std, list(tx ORDER BY tx DESC) tops FROM nodes GROUP BY ALL)")
+@query("SELECT dataset, t, n, round(mx,9) top, round(mx-coalesce(tops[2],mx),9) margin, round(mean,9) mean, round(std,9) std, round(list_avg(tops[1:3]),9) top3 FROM (SELECT dataset, t, count(*) n, max(tx) mx, avg(tx) mean, stddev_pop(tx) std, list(tx ORDER BY tx DESC) tops FROM nodes GROUP BY ALL)")
 def frame_event_features(spark, d):
     top = F.slice(F.sort_array(F.collect_list("tx"), asc=False), 1, 3)
     f = tracks.nodes(spark, d).groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("n"), F.avg("tx").alias("mean"), F.stddev_pop("tx").alias("std"), top.alias("s"))
-    r = lambda x, k: F.round(x, 6).alias(k)
+    r = lambda x, k: F.round(x, 9).alias(k)
     first = F.col("s")[0]
     return f.select("dataset", "t", "n", r(first, "top"), r(first - F.coalesce(F.get("s", F.lit(1)), first), "margin"), r(F.col("mean"), "mean"), r(F.col("std"), "std"), r(F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s"), "top3"))
 
