@@ -1,0 +1,38 @@
+"""The pipeline on a small corpus against a plain reading of its stages."""
+
+import corpus_pipeline
+import pandas as pd
+
+
+def write(spark, path):
+    base = [f"start{i} " + " ".join(f"w{i}x{k}" for k in range(60)) for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100, base[0]), (101, base[1]), (102, base[2] + " tail"), (103, base[3] + " token=abcdefgh"), (104, ""), (105, None)]
+    rows += [(200 + i, f"blargh wibble {i} " + " ".join(f"t{i}x{k}" for k in range(20)) + " zonk blargh") for i in range(14)]
+    marks = [(i, 1, 0) for i in range(40)] + [(200 + i, 0, 1) for i in range(14)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return docs.columns
+
+
+def test_pipeline(spark, tmp_path):
+    columns = write(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns
+        seen.append({r.doc_id: r.text for r in docs.collect()})
+    clean, exact, near, masked = seen
+    assert {*range(40), 100, 101, 102, 103, 104, 105} <= set(clean)
+    assert len([i for i in clean if i >= 200]) <= 2
+    gone = {0, 1, 104}
+    assert not gone & set(exact) and {100, 101, 105} <= set(exact)
+    assert set(near) == set(exact) - {102, 103}
+    assert set(masked) == set(near)
+    run = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert set(run.doc_id) == set(masked)
+    totals = run.groupby("doc_id").agg(n=("length", "sum"), t=("doc_tokens", "first"))
+    pd.testing.assert_series_equal(totals.n, totals.t, check_names=False)
