@@ -77,13 +77,13 @@ def automaton(signs: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.tile(np.array([2 * SIGNS * step[0].get(c, 0) + 1 for c in range(SIGNS)], np.int32), (len(step), 1))
+    strange = len(step)  # where a sign leads that the sample lacks: it is a phrase of its own
+    fresh = np.array([2 * SIGNS * step[0].get(c, strange) + 1 for c in range(SIGNS)], np.int32)
+    table = np.tile(fresh, (len(step) + 1, 1))
     for state, out in enumerate(step):
         if out:
             table[state, list(out)] = [2 * SIGNS * to for to in out.values()]
-    for c in range(SIGNS):  # from the root a known sign only goes on with the phrase that has just begun
-        if c in step[0]:
-            table[0, c] = 2 * SIGNS * step[0][c]
+    table[0] = fresh - 1  # only at the start of a lane, where no phrase has ended
     return table.reshape(-1)
 
 
