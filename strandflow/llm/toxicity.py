@@ -75,7 +75,10 @@ def _word_class() -> np.ndarray:
 
 
 def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-    shrunk = np.sign(z) * np.maximum(np.abs(z) - L1, 0)
+    """Weights from the state; the first coordinate is the bias, which L1 leaves alone (else a text without words might score one half)."""
+    l1 = np.full(len(z), L1)
+    l1[0] = 0
+    shrunk = np.sign(z) * np.maximum(np.abs(z) - l1, 0)
     return -shrunk / ((BETA + np.sqrt(n)) / ALPHA + L2)
 
 
