@@ -23,3 +23,29 @@ SELECT doc_id, n_chars, edited_sha256,
   2.0::double * len(list_intersect(la, lc)) / (len(la) + len(lc)) AS near_next
 FROM p""",
 }
+
+
+def _found(pattern: str, kind: int, value: str = "0", least: int = 0) -> str:
+    """A list of spans (s, k, e) of a text's matches, laid end to end from the pieces between them."""
+    p = pattern.replace("'", "''")
+    at = "CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))),0) + coalesce(list_sum(list_transform(hits[1:i-1], lambda x: length(x))),0) AS bigint)"
+    return f"""(SELECT list_filter(list_transform(range(1, len(hits)+1), lambda i: {{'s': {at}, 'k': {kind}, 'e': {at} + length(hits[i]), 'v': length(vals[i])}}), lambda m: m.v >= {least})
+ FROM (SELECT string_split_regex(text, '{p}') gaps, regexp_extract_all(text, '{p}', 0) hits, regexp_extract_all(text, '{p}', {value}) vals))"""
+
+
+def _secrets() -> str:
+    from strandflow.llm.secret_scan import ACCESS, ASSIGN, ENDPOINT, HEX, SCOPE, WEAK
+
+    shown = "array_to_string(list_transform({0}, lambda m: ['assign','access','hex','weak','endpoint'][m.k+1] || ':' || m.s || ':' || m.e), ',')"
+    free = "list_filter({0}, lambda m: len(list_filter(base, lambda o: m.s < o.e AND o.s < m.e)) = 0)"
+    near = f"len(list_filter(found, lambda o: {{0}} AND abs(o.s - m.s) <= {SCOPE})) > 0"
+    return f"""
+WITH d AS (SELECT row_number() OVER () row_no, doc_id, coalesce(text,'') AS text FROM documents),
+b AS (SELECT row_no, doc_id, text, {_found(ASSIGN, 0, '2', 6)} a, {_found(ACCESS, 1)} k, {_found(HEX, 2)} h FROM d),
+c AS (SELECT *, a || k || h base, CASE WHEN len(k) > 0 THEN {_found(WEAK, 3)} ELSE [] END w, CASE WHEN len(k) > 0 THEN {_found(ENDPOINT, 4)} ELSE [] END n FROM b),
+f AS (SELECT *, base || {free.format('w')} || {free.format('n')} AS found FROM c),
+l AS (SELECT *, list_filter(found, lambda m: m.k < 3 OR (len(k) > 0 AND {near.format('o.k = 1')} AND (m.k = 3 OR {near.format('o.k IN (0,2,3)')}))) every FROM f)
+SELECT doc_id, CAST(len(a) AS bigint) n_assign, CAST(len(k) AS bigint) n_access, CAST(len(h) AS bigint) n_hex, sha256({shown.format('list_sort(base)')}) base_sha256, {shown.format('list_sort(every)')} spans FROM l"""
+
+
+ORACLES["op6_secret_scan"] = _secrets()
