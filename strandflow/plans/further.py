@@ -168,3 +168,45 @@ def geometry_classifier(spark, d):
     return out
 
 
+
+
+@query("SELECT fold, high_conf AS label, count(*) n, round(avg(CASE WHEN z<8 OR z>56 OR y<16 OR y>240 OR x<16 OR x>240 THEN 1.0 ELSE 0 END),6) padded FROM nodes JOIN datasets USING (dataset) GROUP BY ALL")
+def padding_confound(spark, d):
+    """Share of patches that reach over the volume's border, by fold and label."""
+    n = tracks.nodes(spark, d)
+    j = n.join(tracks.datasets(n).select("dataset", "fold"), "dataset")
+    over = F.expr("z<8 OR z>56 OR y<16 OR y>240 OR x<16 OR x>240").cast("double")
+    return j.groupBy("fold", F.col("high_conf").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(over), 6).alias("padded"))
+
+
+@query("""SELECT scope, count(*) n FROM (SELECT CASE WHEN g.children IS NULL OR f.source_id%13=0 THEN 'not_evaluated' WHEN g.children=2 THEN 'TP' ELSE 'FP' END AS scope FROM forkpairs f LEFT JOIN (SELECT dataset, source_id, count(*) children FROM gt_edges GROUP BY ALL) g USING (dataset,source_id)) GROUP BY 1""")
+def fork_scope(spark, d):
+    """Predicted forks that the annotation can judge (a matched mother with an annotated child), and how it judges them."""
+    n, e = graph(spark, d)
+    f = policies.fork_geometry(n, e).select("dataset", "source_id")
+    c = tracks.gt_edges(tracks.gt_nodes(n)).groupBy("dataset", "source_id").agg(F.count(F.lit(1)).alias("children"))
+    s = F.when(F.col("children").isNull() | (F.col("source_id") % 13 == 0), "not_evaluated").when(F.col("children") == 2, "TP").otherwise("FP")
+    return f.join(c, ["dataset", "source_id"], "left").groupBy(s.alias("scope")).agg(F.count(F.lit(1)).alias("n"))
+
+
+REWIRE = f"""(SELECT {P}, kind, conflict FROM (SELECT r.*, CASE WHEN coalesce(so.out_degree,0)=1 AND ti.in_degree IS NULL THEN 'SOURCE_REPLACE' WHEN so.out_degree IS NULL AND ti.in_degree=1 THEN 'TARGET_REPLACE' END kind, CASE WHEN ti.in_degree IS NULL THEN es.edge_id ELSE et.edge_id END conflict
+ FROM {RECIP.format('probs')} r LEFT JOIN outd so ON so.dataset=r.dataset AND so.node_id=r.source_id LEFT JOIN ind ti ON ti.dataset=r.dataset AND ti.node_id=r.target_id LEFT JOIN (SELECT dataset, source_id, min(edge_id) edge_id FROM edges GROUP BY ALL) es ON es.dataset=r.dataset AND es.source_id=r.source_id LEFT JOIN edges et ON et.dataset=r.dataset AND et.target_id=r.target_id) WHERE kind IS NOT NULL)"""
+
+
+@query(f"SELECT dataset, source_id, target_id FROM (SELECT dataset, source_id, target_id, edge_id FROM edges WHERE (dataset,edge_id) NOT IN (SELECT (dataset,conflict) FROM {REWIRE} z) UNION ALL SELECT dataset, source_id, target_id, 0 FROM {REWIRE} z)")
+def rewire_apply(spark, d):
+    """Edges after every rewire: the conflicting edge goes, the candidate comes."""
+    _, e = graph(spark, d)
+    r = rewire_universe(spark, d)
+    kept = e.join(r.select("dataset", F.col("conflict").alias("edge_id")), ["dataset", "edge_id"], "left_anti")
+    return kept.select("dataset", "source_id", "target_id").unionByName(r.select("dataset", "source_id", "target_id"))
+
+
+@query("""SELECT gs, gm, passed, cost FROM (SELECT *, row_number() OVER (PARTITION BY passed ORDER BY cost, gs DESC, gm) rk FROM (SELECT CAST(gs AS int) gs, CAST(gm AS int) gm, count(*) FILTER (WHERE sep>=gs AND arm<=gm AND p2>=0.8) passed, count(*) FILTER (WHERE sep>=gs AND arm<=gm) cost FROM forks, (VALUES (4),(5),(6),(7)) s(gs), (VALUES (6),(8),(10),(12)) m(gm) GROUP BY ALL)) WHERE rk=1 AND passed>0""")
+def gate_shortlist(spark, d):
+    """Of gates with equal hits the one that keeps the fewest forks."""
+    f = policies.fork_geometry(*graph(spark, d)).withColumn("gs", F.explode(F.array(*[F.lit(v) for v in (4, 5, 6, 7)]))).withColumn("gm", F.explode(F.array(*[F.lit(v) for v in (6, 8, 10, 12)])))
+    ok = (F.col("sep") >= F.col("gs")) & (F.col("arm") <= F.col("gm"))
+    a = f.groupBy("gs", "gm").agg(F.count(F.when(ok & (F.col("p2") >= 0.8), 1)).alias("passed"), F.count(F.when(ok, 1)).alias("cost"))
+    w = Window.partitionBy("passed").orderBy("cost", F.desc("gs"), "gm")
+    return a.withColumn("rk", F.row_number().over(w)).where("rk = 1 AND passed > 0").drop("rk")
