@@ -124,7 +124,7 @@ def transition_accuracy(spark, d):
     n = tracks.nodes(spark, d)
     e = tracks.edges(n).select("dataset", "source_id", "target_id", F.lit(1).alias("hit"))
     p = A.column_softmax(tracks.pair_scores(n)).join(e, ["dataset", "source_id", "target_id"], "left").fillna(0, ["hit"])
-    p = p.withColumns({"ra": F.max("hit").over(A.ROW), "ca": F.max("hit").over(A.COLUMN)}).where("ra = 1 OR ca = 1")
+    p = p.withColumns({"ra": F.max("hit").over(A.row()), "ca": F.max("hit").over(A.column())}).where("ra = 1 OR ca = 1")
     return p.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("prob") > 0.5) == (F.col("hit") == 1)).cast("double")), 6).alias("accuracy"))
 
 

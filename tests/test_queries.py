@@ -44,3 +44,13 @@ def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(registry.QUERIES) > 100
     assert os.path.isdir(DATA)
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, capture_output=True, text=True, check=False)
+    assert run.returncode == 0, run.stderr
