@@ -44,9 +44,11 @@ def digest_stream_state(digests: DataFrame) -> DataFrame:
             F.max(F.struct("doc_id", "locator")).alias("content"),
         )
     )
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    # a store is closed when its task has committed: one per state partition would hold disk and memory otherwise
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         query = (
             keyed.writeStream.outputMode("update")
@@ -56,7 +58,8 @@ def digest_stream_state(digests: DataFrame) -> DataFrame:
             .start()
         )
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     rows = spark.read.schema("digest string, keep_id long, group_size long, content struct<doc_id:long,locator:string>").parquet(f"{out}/batch=*")
     return rows.groupBy("digest").agg(
