@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import save, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_MB = "128"  # native memory of all state stores of an executor
 
 
 def digest_stream_state(digests: DataFrame) -> DataFrame:
@@ -44,8 +45,14 @@ def digest_stream_state(digests: DataFrame) -> DataFrame:
             F.max(F.struct("doc_id", "locator")).alias("content"),
         )
     )
-    # a store is closed when its task has committed: one per state partition would hold disk and memory otherwise
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        # a store is closed when its task has committed: one per state partition would hold disk and memory otherwise
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+        # all stores of an executor share one cache and write buffer: native memory doesn't grow with the state partitions
+        "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": STATE_MB,
+    }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
