@@ -13,7 +13,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def blocks(texts: list[str], limit: int = 1_500_000) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[str], limit: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges (from, to) of consecutive texts of at most limit characters together, or of one longer text."""
     lo = total = 0
     for i, t in enumerate(texts):
@@ -51,7 +51,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n + 1 of each."""
-    return _powers(1 << max(21, int(n + 1).bit_length()))
+    return _powers(1 << max(19, int(n + 1).bit_length()))
 
 
 class Hasher:

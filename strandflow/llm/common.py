@@ -80,7 +80,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def map_texts(docs: DataFrame, work, schema: str) -> DataFrame:
     """doc_id with what work makes of the texts, in Arrow batches.
 
-    work(texts) gets at most a few megabytes of texts (or one longer text) and returns (rows, columns): columns by name in
+    work(texts) gets at most half a million characters of texts (or one longer text) and returns (rows, columns): columns by name in
     schema's order, and the number of the text that each value belongs to (None: one value per text).
     """
     from strandflow.llm import arrays

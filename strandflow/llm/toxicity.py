@@ -101,6 +101,7 @@ def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         at, begin = features(texts[lo:hi])
         own += [at[i:j].astype(np.int32) for i, j in zip(begin[:-1], begin[1:], strict=True)]
     rows = list(zip(own, pdf.toxic.tolist(), strict=True))
+    del pdf, texts, own  # learning needs the coordinates only
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for k in range(max(2, min(20, PASSES // max(1, len(rows))))):
         ftrl([rows[i] for i in np.random.default_rng(k).permutation(len(rows))], z, n)
