@@ -1,10 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-Lines are told apart by 64-bit hashes. A line of LEAST characters or more that stands at 2 to RARE places is rare: each of its holders
-is paired with its earliest holder, so a line's holders give a star, not all pairs. Each pair is aligned by patience diff (lines
-that stand once in both documents, in the longest order that both share, then the stretches between), and aligned common
-blocks of LEAST characters or more are deleted from the later document. Lines that stand at more places choose no partners: such a
-line is its own block, deleted from every document but its earliest holder, so no cap loses a repeat. Documents are judged on the
+Lines are told apart by 64-bit hashes. A run is the least number of consecutive lines, from a line on or back from one, that have LEAST
+characters together; every line of a common block lies in a run that both sides hold. A run that stands at 2 to RARE places is rare: each
+of its holders is paired with its earliest holder, so a run's holders give a star, not all pairs. Each pair is aligned by patience diff
+(lines that stand once in both documents, in the longest order that both share, then the stretches between), and aligned common
+blocks of LEAST characters or more are deleted from the later document. Runs that stand at more places choose no partners: such a
+run is its own block, deleted from every document but its earliest holder, so no cap loses a repeat. Documents are judged on the
 input, not on what is left of them.
 
 Cases: null texts are empty; an empty text is one empty line. Rows with a null doc_id are compared with nothing. Repeated
@@ -19,6 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.llm import arrays
 from strandflow.llm.common import salted_join, save, split_by_ids, with_text
 
 LEAST = 40
@@ -82,6 +84,35 @@ def blocks(aligned: list[tuple[int, int]], chars: list[int], least: int = LEAST)
     return out
 
 
+def short_runs(chars: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the shortest runs of lines, from each line on and back from each, with enough characters together in one document."""
+    total = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)])
+    size = np.diff(starts)
+    at = np.arange(len(chars))
+    on = np.searchsorted(total, total[:-1] + least, "left")
+    back = np.searchsorted(total, total[1:] - least, "right") - 1
+    a, b = on <= np.repeat(starts[1:], size), back >= np.repeat(starts[:-1], size)
+    both = np.unique(np.concatenate([np.stack([at[a], on[a]], 1), np.stack([back[b], at[b] + 1], 1)]), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def _runs(least: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lines, chars = batch.column("lines"), batch.column("chars")
+            starts = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+            s, e = short_runs(chars.flatten().to_numpy(), starts, least)
+            doc = np.searchsorted(starts, s, "right") - 1
+            key = arrays.Hasher(lines.flatten().to_numpy().view(np.uint64))(s, e).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc)), pa.array(key), pa.array((s - starts[doc]).astype(np.int32)), pa.array((e - s).astype(np.int32))], names=["doc_id", "run", "place", "n"]
+            )
+
+    return run
+
+
 def _align(least: int):
     def run(batches):
         import pyarrow as pa
@@ -123,15 +154,14 @@ def removed_lines(docs: DataFrame, least: int = LEAST, rare: int = RARE) -> Data
             "doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: F.length(x)).alias("chars")
         )
     )
-    long = table.select("doc_id", F.posexplode(F.arrays_zip("lines", "chars")).alias("place", "x")).where(F.col("x.chars") >= least).select("doc_id", "place", F.col("x.lines").alias("line"))
-    long = save(long)
-    held = save(long.groupBy("line").agg(F.min("doc_id").alias("earliest"), F.count(F.lit(1)).alias("places")).where("places > 1"))
+    runs = save(table.mapInArrow(_runs(least), "doc_id long, run long, place int, n int"))
+    held = save(runs.groupBy("run").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("places")).where("latest > earliest").drop("latest"))
     few, many = held.where(F.col("places") <= rare), held.where(F.col("places") > rare)
-    pairs = long.join(few, "line").where("doc_id > earliest").select("earliest", "doc_id").distinct()
+    pairs = runs.join(few, "run").where("doc_id > earliest").select("earliest", "doc_id").distinct()
     a = table.select(F.col("doc_id").alias("earliest"), F.col("lines").alias("a")).dropDuplicates(["earliest"])
     b = table.select("doc_id", F.col("lines").alias("b"), "chars").dropDuplicates(["doc_id"])
     aligned = pairs.join(a, "earliest").join(b, "doc_id").select("doc_id", "a", "b", "chars").mapInArrow(_align(least), "doc_id long, gone array<int>")
-    frequent = salted_join(long, many, ["line"]).where("doc_id > earliest").select("doc_id", F.array("place").alias("gone"))
+    frequent = salted_join(runs, many, ["run"]).where("doc_id > earliest").select("doc_id", F.expr("sequence(place, place + n - 1)").alias("gone"))
     return aligned.unionByName(frequent).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 

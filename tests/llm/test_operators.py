@@ -366,6 +366,49 @@ def test_line_dedup(spark):
     assert sum(v[1] for v in got.values()) > 60
 
 
+def common_runs(rows, least=line_dedup.LEAST):
+    """Lines to delete by document: all pairs of documents, all longest runs of equal consecutive lines."""
+    lines = {i: t.split("\n") for i, t, _ in rows}
+    gone = {i: set() for i in lines}
+    for a in lines:
+        for b in lines:
+            for i in range(len(lines[a]) if a < b else 0):
+                for j in range(len(lines[b])):
+                    n = 0
+                    while i + n < len(lines[a]) and j + n < len(lines[b]) and lines[a][i + n] == lines[b][j + n]:
+                        n += 1
+                    if sum(len(x) for x in lines[b][j : j + n]) >= least:
+                        gone[b] |= set(range(j, j + n))
+    return gone
+
+
+def kept_hashes(rows, gone):
+    return {i: hashlib.sha256("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]).encode()).hexdigest() for i, t, _ in rows}
+
+
+def test_line_dedup_short_lines(spark):
+    rng = random.Random(11)
+    verse = [[f"verse {v} line {k} {'x' * rng.randint(0, 12)}" for k in range(6)] for v in range(12)]
+    rows = []
+    for i in range(80):
+        ls = [f"own {i} {k}" for k in range(rng.randint(1, 4))]
+        if i % 3:
+            v = verse[rng.randrange(12)]
+            at = rng.randrange(5)
+            ls[1:1] = v[at : at + rng.randint(1, 6)]
+        rows.append((i, "\n".join(ls), "en"))
+    gone = common_runs(rows)
+    aligned = {i: set() for i in gone}
+    lines = {i: t.split("\n") for i, t, _ in rows}
+    for a in lines:
+        for b in lines:
+            if a < b:
+                aligned[b] |= set(line_dedup.blocks(line_dedup.patience(lines[a], lines[b]), [len(x) for x in lines[b]]))
+    assert gone == aligned
+    assert sum(len(g) for g in gone.values()) > 50
+    assert {r.doc_id: r.kept_sha256 for r in line_dedup.report(table(spark, rows)).collect()} == kept_hashes(rows, gone)
+
+
 def test_patience():
     assert line_dedup.patience(list("abcxdef"), list("abcydef")) == [(0, 0), (1, 1), (2, 2), (4, 4), (5, 5), (6, 6)]
     assert line_dedup.patience([], list("ab")) == []
