@@ -1,12 +1,12 @@
 """Line deduplication by pairwise alignment.
 
 Lines are told apart by 64-bit hashes. A run is the least number of consecutive lines, from a line on or back from one, that have LEAST
-characters together; every line of a common block lies in a run that both sides hold. A run that stands at 2 to RARE places is rare: each
-of its holders is paired with its earliest holder, so a run's holders give a star, not all pairs. Each pair is aligned by patience diff
-(lines that stand once in both documents, in the longest order that both share, then the stretches between), and aligned common
-blocks of LEAST characters or more are deleted from the later document. Runs that stand at more places choose no partners: such a
-run is its own block, deleted from every document but its earliest holder, so no cap loses a repeat. Documents are judged on the
-input, not on what is left of them.
+characters together; every line of a common block lies in a run that both sides hold. Each holder of a run is paired with the run's
+earliest holder, so its holders give a star, not all pairs. Each pair is aligned by patience diff (lines that stand once in both
+documents, in the longest order that both share, then the stretches between), and aligned common blocks of LEAST characters or more
+are deleted from the later document. A run that its alignment passes over (passages in another order, lines that are doubled) is a block
+of its own, deleted from every document but its earliest holder. So what is deleted doesn't depend on how many holders there are; RARE
+only tells which lookups are salted. Documents are judged on the input, not on what is left of them.
 
 Cases: null texts are empty; an empty text is one empty line. Rows with a null doc_id are compared with nothing. Repeated
 rows of one doc_id are one document and get the same result each. An empty table gives an empty result; other columns are ignored.
@@ -25,6 +25,7 @@ from strandflow.llm.common import salted_join, save, split_by_ids, with_text
 
 LEAST = 40
 RARE = 64
+SALTS = 32
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -157,12 +158,18 @@ def removed_lines(docs: DataFrame, least: int = LEAST, rare: int = RARE) -> Data
     runs = save(table.mapInArrow(_runs(least), "doc_id long, run long, place int, n int"))
     held = save(runs.groupBy("run").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("places")).where("latest > earliest").drop("latest"))
     few, many = held.where(F.col("places") <= rare), held.where(F.col("places") > rare)
-    pairs = runs.join(few, "run").where("doc_id > earliest").select("earliest", "doc_id").distinct()
+    later = lambda r: r.where("doc_id > earliest").select("doc_id", "earliest", "place", "n")
+    found = save(later(runs.join(few, "run")).unionByName(later(salted_join(runs, many, ["run"]))))
+    pairs = save(found.select("earliest", "doc_id").distinct())
     a = table.select(F.col("doc_id").alias("earliest"), F.col("lines").alias("a")).dropDuplicates(["earliest"])
     b = table.select("doc_id", F.col("lines").alias("b"), "chars").dropDuplicates(["doc_id"])
-    aligned = pairs.join(a, "earliest").join(b, "doc_id").select("doc_id", "a", "b", "chars").mapInArrow(_align(least), "doc_id long, gone array<int>")
-    frequent = salted_join(runs, many, ["run"]).where("doc_id > earliest").select("doc_id", F.expr("sequence(place, place + n - 1)").alias("gone"))
-    return aligned.unionByName(frequent).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    # a document that is the earliest of many is repeated once per salt, at most a copy for each 16 of its pairs
+    hot = pairs.groupBy("earliest").count().where(F.col("count") > 16 * SALTS).select("earliest")
+    heads = a.join(hot, "earliest", "left_semi")
+    led = salted_join(pairs.join(hot, "earliest", "left_semi"), heads, ["earliest"], SALTS).unionByName(pairs.join(hot, "earliest", "left_anti").join(a, "earliest"))
+    aligned = led.join(b, "doc_id").select("doc_id", "a", "b", "chars").mapInArrow(_align(least), "doc_id long, gone array<int>")
+    alone = found.select("doc_id", F.expr("sequence(place, place + n - 1)").alias("gone"))
+    return aligned.unionByName(alone).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, least: int = LEAST, rare: int = RARE) -> DataFrame:

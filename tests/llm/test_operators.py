@@ -409,6 +409,18 @@ def test_line_dedup_short_lines(spark):
     assert {r.doc_id: r.kept_sha256 for r in line_dedup.report(table(spark, rows)).collect()} == kept_hashes(rows, gone)
 
 
+def test_line_dedup_frequent_lines(spark):
+    n = 20 * line_dedup.SALTS
+    long = "one long line that stands in far more documents than the bound"
+    rows = [(i, f"own {i}\n{long}\nshort\nlines\nhere\nend {i}", "en") for i in range(n)]
+    rows += [(n + i, f"{long}\nshort\nown {i}\nlines\nhere", "en") for i in range(3)]
+    verse = ["first passage in its place, long enough", "x", "second passage, which comes before the first one", "yy"]
+    rows += [(n + 10, "\n".join(verse), "en"), (n + 11, "\n".join([*verse[2:], "own words here", *verse[:2]]), "en")]
+    gone = common_runs([*rows[:2], *rows[-5:]]) | {i: {1, 2, 3, 4} for i in range(2, n)}
+    assert len(gone[n + 11]) == 4
+    assert {r.doc_id: r.kept_sha256 for r in line_dedup.report(table(spark, rows)).collect()} == kept_hashes(rows, gone)
+
+
 def test_patience():
     assert line_dedup.patience(list("abcxdef"), list("abcydef")) == [(0, 0), (1, 1), (2, 2), (4, 4), (5, 5), (6, 6)]
     assert line_dedup.patience([], list("ab")) == []
