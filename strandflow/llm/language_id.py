@@ -1,12 +1,13 @@
 """Language identification by cross-parsing entropy.
 
-Per language a suffix automaton is built over a bounded sample of labelled text (DOCS rows of at most CHARS characters, by hash of
-the doc_id). A text is parsed from left to right into the longest phrases that occur in a language's sample: the automaton walks as
+Per language a suffix automaton is built over a bounded sample of labelled text (DOCS rows by hash of the doc_id; of a longer text CHARS
+characters from its first letter on; at most SAMPLE signs, and TOTAL of all languages together, which bounds the tables). A text is parsed from left to right into the longest phrases that occur in a language's sample: the automaton walks as
 long as it can, and where it can't, a phrase ends. The number of phrases times the bits that name a place in the sample is the
 length of the text in that language; the least one wins. Automata become full transition tables (a step that ends a phrase is marked),
 so all texts of a block, cut into lanes of LANE signs, walk in all languages side by side.
 
-Letters are lower-cased; what is no letter becomes one blank. Cases: null texts and texts without a letter are `und` with score 0; if
+Letters are lower-cased; what is no letter becomes one blank. The most frequent letters have a sign each; any other is spelled as OTHER
+and its number in DIGITS digits, so no two letters are the same and scripts stay apart. Cases: null texts and texts without a letter are `und` with score 0; if
 no language can be learned all are. Ties go to the language first in order. Repeated rows each get their result; a null doc_id is
 held out of learning and carried through; an empty table gives an empty result; other columns are ignored.
 """
@@ -24,8 +25,11 @@ from strandflow.llm.common import id_bucket, map_texts
 DOCS = 12
 CHARS = 4_000
 LANE = 1024
-LETTERS = 62  # of the most frequent ones; then other letters, then the blank
+LETTERS = 62  # of the most frequent ones; then what begins other letters, then the blank
 OTHER, BLANK, SIGNS = 62, 63, 64
+DIGITS = 4  # LETTERS ** 4 is more than there are code points
+SAMPLE = DOCS * (CHARS + 1)
+TOTAL = 400_000  # a sign makes at most two states of 256 bytes
 
 
 def folded(texts: list[str], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +39,16 @@ def folded(texts: list[str], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sign = code[cp]
     keep = np.ones(len(sign), bool)
     keep[1:] = (sign[1:] != BLANK) | (sign[:-1] != BLANK)
-    return sign[keep], np.concatenate([[0], np.cumsum(keep)])[starts]
+    sign, cp, starts = sign[keep], cp[keep], np.concatenate([[0], np.cumsum(keep)])[starts]
+    rare = np.flatnonzero(sign == OTHER)
+    if not len(rare):
+        return sign, starts
+    size = np.where(sign == OTHER, 1 + DIGITS, 1)
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.repeat(sign, size)
+    for k in range(DIGITS):
+        out[at[rare] + 1 + k] = cp[rare] // LETTERS ** (DIGITS - 1 - k) % LETTERS
+    return out, at[starts]
 
 
 def sign_codes(samples: list[str]) -> np.ndarray:
@@ -90,21 +103,24 @@ def automaton(signs: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, learnable) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Languages, their bits per phrase, sign codes, one table for all, and where each language's part begins."""
     order = F.xxhash64("doc_id", F.lit("language"))
-    rows = docs.where(F.col("lang").isNotNull() & learnable & (F.length("text") <= CHARS) & F.col("text").rlike(r"\p{L}")).select(
+    rows = docs.where(F.col("lang").isNotNull() & learnable & F.col("text").rlike(r"\p{L}")).select(
         "lang", "text", F.col("doc_id").cast("long").alias("doc_id")
     )
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # a share by hash leaves some dozens of rows per language before they are ranked
     few = rows.join(F.broadcast(counts), "lang").where(F.pmod(order, F.lit(1 << 20)) < (F.lit(8.0 * DOCS * (1 << 20)) / F.col("n")))
+    excerpt = F.when(F.length("text") <= CHARS, F.col("text")).otherwise(F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{CHARS - 1}}}", 0))
+    few = few.withColumn("text", excerpt)
     picked = few.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), "doc_id", "text"))), 1, DOCS).alias("s"))
     sample = picked.select("lang", F.concat_ws(" ", F.transform("s", lambda x: x["text"])).alias("text")).orderBy("lang").collect()
     if not sample:
         return None
     code = sign_codes([r["text"] for r in sample])
     shared = docs.sparkSession.sparkContext.broadcast(code)
+    most = max(1, min(SAMPLE, TOTAL // len(sample)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        signs = folded([pdf.text.iloc[0]], shared.value)[0]
+        signs = folded([pdf.text.iloc[0]], shared.value)[0][:most]
         return pd.DataFrame({"lang": pdf.lang, "n": [len(signs)], "states": [automaton(signs).tobytes()]})
 
     spark = docs.sparkSession

@@ -312,6 +312,30 @@ def test_language_held_out(spark):
     assert out.loc[1000].lang_pred == "und"
 
 
+def test_language_long_texts_and_large_scripts(spark):
+    rng = random.Random(21)
+    alphabet = {"aa": "abcdefghijklm", "bb": "nopqrstuvwxyz", "han": [chr(0x4E00 + k) for k in range(150)], "hat": [chr(0x5E00 + k) for k in range(150)]}
+    rows = []
+    for i in range(400):
+        la = ["aa", "bb", "aa", "bb", "han", "hat", "long"][rng.randrange(7)]
+        letters = alphabet.get(la, "äöüßéè")
+        rows.append((i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 5))) for _ in range(1_500 if la == "long" else 30)), la))
+    out = language_id.language_id(table(spark, rows)).toPandas().set_index("doc_id")
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    for la in ("aa", "bb", "han", "hat", "long"):
+        mine = [out.loc[i].lang_pred for i, _, x in held if x == la]
+        assert len(mine) > 5
+        assert mine.count(la) / len(mine) > 0.95
+
+
+def test_language_samples_are_bounded(spark, monkeypatch):
+    rows = [(i, f"{chr(97 + i % 20) * 3} {chr(97 + i % 20) * 2}b " * 20, f"l{i % 20:02}") for i in range(200)]
+    monkeypatch.setattr(language_id, "TOTAL", 2_000)
+    langs, _, _, states, begin = language_id.learn(table(spark, rows), language_id.id_bucket(3) != 1)
+    assert len(langs) == len(begin) == 20
+    assert len(states) <= language_id.SIGNS * 2 * (2_000 + 2 * 20)
+
+
 def test_automaton_counts_phrases():
     import numpy as np
 
