@@ -164,7 +164,7 @@ def removed_lines(docs: DataFrame, least: int = LEAST, rare: int = RARE) -> Data
     a = table.select(F.col("doc_id").alias("earliest"), F.col("lines").alias("a")).dropDuplicates(["earliest"])
     b = table.select("doc_id", F.col("lines").alias("b"), "chars").dropDuplicates(["doc_id"])
     # a document that is the earliest of many is repeated once per salt, at most a copy for each 16 of its pairs
-    hot = pairs.groupBy("earliest").count().where(F.col("count") > 16 * SALTS).select("earliest")
+    hot = F.broadcast(save(pairs.groupBy("earliest").count().where(F.col("count") > 16 * SALTS).select("earliest")))  # one id for some hundred pairs
     heads = a.join(hot, "earliest", "left_semi")
     led = salted_join(pairs.join(hot, "earliest", "left_semi"), heads, ["earliest"], SALTS).unionByName(pairs.join(hot, "earliest", "left_anti").join(a, "earliest"))
     aligned = led.join(b, "doc_id").select("doc_id", "a", "b", "chars").mapInArrow(_align(least), "doc_id long, gone array<int>")
