@@ -151,6 +151,18 @@ def duplicate_frames(spark, d):
     return f.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def whole_frames(nodes):
+    """(dataset, t, digest): all nodes of each frame by all their coordinates, rounded as in semantic_digest."""
+    s = F.concat_ws(",", F.bround(F.col("z") * 2, 0).cast("long"), F.bround("y", 0).cast("long"), F.bround("x", 0).cast("long"))
+    return nodes.groupBy("dataset", "t").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(s)), ";"), 256).alias("digest"))
+
+
+@query("SELECT h digest, count(*) n FROM (SELECT dataset, t, sha256(string_agg(s, ';' ORDER BY s)) h FROM (SELECT dataset, t, concat_ws(',', CAST(round_even(z*2,0) AS bigint), CAST(round_even(y,0) AS bigint), CAST(round_even(x,0) AS bigint)) s FROM nodes) GROUP BY ALL) GROUP BY 1 HAVING count(*)>1")
+def duplicate_whole_frames(spark, d):
+    """Frames of any dataset whose nodes are all the same (duplicate_frames compares a coarse strip, as its SQL states)."""
+    return whole_frames(tracks.nodes(spark, d)).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 @query("SELECT dataset, node_id, t, CAST(rk AS int) rk, round(1-(rk-1)*1.0::double/greatest(n-1,1),6) pct, round(CASE WHEN s>0 THEN (d-m)/s ELSE 0 END,6) score FROM (SELECT *, row_number() OVER (PARTITION BY dataset,t ORDER BY d DESC,node_id) rk, count(*) OVER w n, avg(d) OVER w m, coalesce(stddev_samp(d) OVER w,0) s FROM nodes WINDOW w AS (PARTITION BY dataset,t))")
 def frame_relative_rank(spark, d):
     w = Window.partitionBy("dataset", "t")

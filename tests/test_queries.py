@@ -34,6 +34,19 @@ def test_against_sql(spark, name):
     assert plain(got) == plain(want)
 
 
+def test_duplicate_whole_frames(spark):
+    from strandflow.plans.audits import whole_frames
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{DATA}/lineitem.parquet'")
+    got, want = registry.QUERIES["duplicate_whole_frames"](spark, DATA).toPandas(), con.execute(registry.ORACLES["duplicate_whole_frames"]).df()
+    assert plain(got) == plain(want)
+    frames = {("a", 1): [(1, 2, 3), (4, 5, 60)], ("b", 7): [(4, 5, 60), (1, 2, 3)], ("a", 2): [(1, 2, 3), (4, 5, 61)], ("a", 3): [(1, 4, 3), (4, 5, 60)], ("b", 8): [(9, 9, 90)], ("b", 9): [(9, 9, 90)]}
+    rows = [(d, t, float(z), float(y), float(x)) for (d, t), nodes in frames.items() for z, y, x in nodes]
+    digest = {(r.dataset, r.t): r.digest for r in whole_frames(spark.createDataFrame(rows, "dataset string, t int, z double, y double, x double")).collect()}
+    assert {(f, g) for f in digest for g in digest if f < g and digest[f] == digest[g]} == {(("a", 1), ("b", 7)), (("b", 8), ("b", 9))}
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "dataset"
