@@ -61,8 +61,8 @@ def word_starts(cp: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def pieces_of(path: str):
-    """The merge function of a vocabulary file: bytes of one word to ids."""
+def vocabulary_of(path: str):
+    """Of a vocabulary file: the function from one word to its ids, and its added tokens (pattern, ids), which are cut out of a text first."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import tiktoken
     from tokenizers import Tokenizer
@@ -71,21 +71,48 @@ def pieces_of(path: str):
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in printable]
     to_byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
-    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    ranks = {bytes(to_byte[c] for c in piece): i for piece, i in tokenizer.get_vocab().items() if piece not in special}
-    return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+    added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    ranks = {bytes(to_byte[c] for c in piece): i for piece, i in tokenizer.get_vocab().items() if piece not in added}
+    merge = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    # leftmost first, and the longest of those that begin at one place
+    pattern = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+    return merge, pattern, added
 
 
 def encode(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts in a row (unsigned 32-bit) and where each text's begin."""
+    """The ids of all texts in a row (unsigned 32-bit) and where each text's begin, as the library gives them by default: an added token
+    in a text (such as the end of text) is its own id, and what stands before and after it is worked on as a text of its own."""
+    _, pattern, added = vocabulary_of(path)
+    if pattern is None or not any(token in t for t in texts for token in added):
+        return words(texts, path)
+    parts, owner, after = [], [], []
+    for k, t in enumerate(texts):
+        cut = pattern.split(t)
+        parts += cut[::2]
+        owner += [k] * len(cut[::2])
+        after += [added[x] for x in cut[1::2]] + [-1]
+    ids, begin = words(parts, path)
+    token = np.array(after, np.int64)
+    size = np.diff(begin) + (token >= 0)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(ends[-1], "<u4")
+    inner = np.ones(len(out), bool)
+    inner[ends[1:][token >= 0] - 1] = False
+    out[inner] = ids
+    out[~inner] = token[token >= 0]
+    return out, ends[np.searchsorted(owner, np.arange(len(texts) + 1))]
+
+
+def words(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """encode() for texts without added tokens."""
     cp, starts = arrays.code_points(texts)
     if not len(cp):
         return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
     s = word_starts(cp, starts)
     e = np.append(s[1:], len(cp))
     _, first, word = np.unique(arrays.Hasher(cp)(s, e), return_index=True, return_inverse=True)
-    joined, merge = "".join(texts), pieces_of(path)
-    ids = [merge(joined[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
+    joined, merge = "".join(texts), vocabulary_of(path)[0]
+    ids = [merge(joined[a:b]) for a, b in zip(s[first].tolist(), e[first].tolist(), strict=True)]
     lengths = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.fromiter((x for y in ids for x in y), "<u4", lengths.sum())
     count = lengths[word]

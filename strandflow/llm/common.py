@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Where the session names none, a local session (tests) gets a temporary folder; on a cluster that is an error, as executors
+    couldn't read each other's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="strandflow-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -100,28 +103,49 @@ def map_texts(docs: DataFrame, work, schema: str) -> DataFrame:
     return with_text(docs).mapInArrow(run, f"doc_id long, {schema}")
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], salts: int = 32) -> DataFrame:
-    """Left join of rows (with a doc_id) to a lookup of one row per key, when one key may hold a large part of the rows.
+def hot_keys(counted: DataFrame, count: str) -> Column:
+    """Which rows of counted (one per key, with its number of rows) stand for a hot key: one with more than a thousandth of all
+    rows, and more than 100. There are fewer than a thousand such keys at any size, so they may be broadcast."""
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    return F.col(count) > max(100, total // 1000)
 
-    The lookup is repeated once per salt and the rows of a key are dealt over the salts by their doc_id.
+
+def skew_join(rows: DataFrame, lookup: DataFrame, keys: list[str], count: str, how: str = "left") -> DataFrame:
+    """Join (left or inner) of rows to a lookup of one narrow row per key, when one key may hold a large part of the rows.
+
+    lookup has the number of rows of each key in column count. Hot keys are broadcast, so their rows stay where they are; the
+    others, at most a thousandth of the rows each, meet in a shuffle.
     """
-    spread = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return dealt.join(spread, [*keys, "_salt"], "left").drop("_salt")
+    hot = hot_keys(lookup, count)
+    marked = rows.join(F.broadcast(lookup.where(hot).withColumn("__hot", F.lit(True))), keys, "left")
+    met = marked.where("__hot").drop("__hot")
+    rest = marked.where("__hot is null").select(*rows.columns).join(lookup.where(~hot).hint("merge"), keys, how)
+    return met.unionByName(rest.select(*met.columns))
 
 
-def split_by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose doc_id may be among ids, and rows whose doc_id is certainly not: whole texts need no shuffle for the latter.
+def dealt_join(rows: DataFrame, lookup: DataFrame, key: str, per: int = 512) -> DataFrame:
+    """Inner join of rows (with a doc_id) to a lookup of one wide row per key: at most about per rows of a key meet in one place.
+
+    The rows of each key are counted; a key of n rows is cut into n / per shares by the hash of the doc_id, and its lookup row goes to each.
+    """
+    counts = save(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
+    shares = F.floor(F.col("__n") / per)
+    dealt = skew_join(rows, counts, [key], "__n", "inner").withColumn("__share", F.pmod(F.xxhash64("doc_id"), shares + 1)).drop("__n")
+    spread = lookup.join(counts.hint("merge"), key).withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), shares))).drop("__n")
+    return dealt.join(spread.hint("merge"), [key, "__share"]).drop("__share")
 
-    ids are hashed into a bitmap of at most 2^26 bits (8 MB), which is all that is broadcast; with ever more ids it tells fewer
-    rows apart, and stays right. An exact join must follow on the first part.
+
+def split_by_keys(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that may have one of the keys, and rows that certainly have none: the latter need no shuffle.
+
+    keys (columns by these names, none null) are hashed into a bitmap of at most 2^26 bits (8 MB), which is all that is broadcast;
+    with ever more keys it tells fewer rows apart, and stays right. An exact join must follow on the first part.
     """
-    n = ids.count()
+    n = keys.count()
     bits = 1 << min(26, max(15, (16 * n).bit_length()))
-    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    at = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(bits))
     maps = (
-        ids.where("doc_id is not null")
-        .select((at + 1).alias("p"))
+        keys.select((at + 1).alias("p"))
         .groupBy(F.bitmap_bucket_number("p").alias("__bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
     )
@@ -129,6 +153,13 @@ def split_by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
     slot = F.col("__at") % 32768
     byte = F.conv(F.hex(F.substring(F.col("__bits"), (slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte.cast("int"), (slot % 8).cast("int")) == 1, F.lit(False))
-    marked = rows.withColumn("__at", F.coalesce(at, F.lit(0))).join(F.broadcast(maps), F.bitmap_bucket_number(F.col("__at") + 1) == F.col("__bucket"), "left")
-    hit = F.col("doc_id").isNotNull() & hit
+    marked = rows.withColumn("__at", at).join(F.broadcast(maps), F.bitmap_bucket_number(F.col("__at") + 1) == F.col("__bucket"), "left")
     return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
+
+
+def split_by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """split_by_keys by doc_id; rows with a null doc_id are in the second part."""
+    named = rows.withColumn("__id", F.col("doc_id").cast("long"))
+    ids = ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"))
+    inside, outside = split_by_keys(named.where("__id is not null"), ids, ["__id"])
+    return inside.select(*rows.columns), outside.select(*rows.columns).unionByName(rows.where("doc_id is null"))

@@ -1,15 +1,15 @@
 """Line deduplication by pairwise alignment.
 
 Lines are told apart by 64-bit hashes. A run is the least number of consecutive lines, from a line on or back from one, that have LEAST
-characters together; every line of a common block lies in a run that both sides hold. Each holder of a run is paired with the run's
-earliest holder, so its holders give a star, not all pairs. Each pair is aligned by patience diff (lines that stand once in both
-documents, in the longest order that both share, then the stretches between), and aligned common blocks of LEAST characters or more
-are deleted from the later document. A run that its alignment passes over (passages in another order, lines that are doubled) is a block
-of its own, deleted from every document but its earliest holder. So what is deleted doesn't depend on how many holders there are; RARE
-only tells which lookups are salted. Documents are judged on the input, not on what is left of them.
+characters together; every line of a common block of LEAST characters lies in a run that both sides hold. Each holder of a run is paired with the
+run's earliest holder, so its holders give a star, not all pairs. Each pair is aligned by patience diff (lines that stand once in both
+documents, in the longest order that both share, then the stretches between); what is left over is aligned again by runs, wherever they stand in the
+earlier document (passages in another order, lines that are doubled). Aligned common blocks of LEAST characters or more are deleted from the later
+document. So a document loses the lines of every block that it shares with any earlier one. Documents are judged on the input, not on what is left of them.
 
 Cases: null texts are empty; an empty text is one empty line. Rows with a null doc_id are compared with nothing. Repeated
-rows of one doc_id are one document and get the same result each. An empty table gives an empty result; other columns are ignored.
+rows of one doc_id are one document and get the same result each; of different texts under one doc_id one is compared. Of equal blocks the one
+in the smallest doc_id stays. A very long text is one row of line hashes. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm import arrays
-from strandflow.llm.common import salted_join, save, split_by_ids, with_text
+from strandflow.llm.common import dealt_join, save, skew_join, split_by_ids, with_text
 
 LEAST = 40
-RARE = 64
-SALTS = 32
+SHARE = 512  # pairs that one copy of an earlier document's lines is aligned with
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,6 +96,27 @@ def short_runs(chars: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tup
     return both[:, 0], both[:, 1]
 
 
+def run_keys(lines: np.ndarray, chars: np.ndarray, starts: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of the runs of documents laid end to end."""
+    s, e = short_runs(chars, starts, least)
+    return arrays.Hasher(lines.view(np.uint64))(s, e), s, e
+
+
+def alignment(a: np.ndarray, a_chars: np.ndarray, b: np.ndarray, b_chars: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """The places of b that stand in blocks of at least so many characters that a has too."""
+    gone = np.zeros(len(b), bool)
+    gone[blocks(patience(a.tolist(), b.tolist()), b_chars.tolist(), least)] = True
+    whole = np.array([0, len(b)])
+    key, s, e = run_keys(b, b_chars, whole, least)
+    total = np.concatenate([[0], np.cumsum(gone)])
+    left = total[e] - total[s] < e - s  # runs of which a line is not aligned
+    if left.any():
+        moved = left & np.isin(key, run_keys(a, a_chars, np.array([0, len(a)]), least)[0])
+        for i, j in zip(s[moved].tolist(), e[moved].tolist(), strict=True):
+            gone[i:j] = True
+    return np.flatnonzero(gone)
+
+
 def _runs(least: int):
     def run(batches):
         import pyarrow as pa
@@ -104,12 +124,9 @@ def _runs(least: int):
         for batch in batches:
             lines, chars = batch.column("lines"), batch.column("chars")
             starts = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
-            s, e = short_runs(chars.flatten().to_numpy(), starts, least)
+            key, s, _ = run_keys(lines.flatten().to_numpy(), chars.flatten().to_numpy(), starts, least)
             doc = np.searchsorted(starts, s, "right") - 1
-            key = arrays.Hasher(lines.flatten().to_numpy().view(np.uint64))(s, e).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), pa.array(key), pa.array((s - starts[doc]).astype(np.int32)), pa.array((e - s).astype(np.int32))], names=["doc_id", "run", "place", "n"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(key.view(np.int64))], names=["doc_id", "run"])
 
     return run
 
@@ -120,10 +137,11 @@ def _align(least: int):
 
         for batch in batches:
             docs, gone = [], []
-            for d, a, b, chars in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "a", "b", "chars")), strict=True):
-                if cut := blocks(patience(a, b), chars, least):
+            for i, d in enumerate(batch.column("doc_id").to_pylist()):
+                sides = [batch.column(c)[i].values.to_numpy() for c in ("a", "a_chars", "b", "b_chars")]
+                if len(cut := alignment(*sides, least)):
                     docs.append(d)
-                    gone.append(cut)
+                    gone.append(cut.astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
     return run
@@ -147,7 +165,7 @@ def _delete(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_text"])
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST, rare: int = RARE) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, gone): the 0-based lines to delete, by document that loses any."""
     lines = F.split("text", "\n", -1)
     table = save(
@@ -155,27 +173,21 @@ def removed_lines(docs: DataFrame, least: int = LEAST, rare: int = RARE) -> Data
             "doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: F.length(x)).alias("chars")
         )
     )
-    runs = save(table.mapInArrow(_runs(least), "doc_id long, run long, place int, n int"))
-    held = save(runs.groupBy("run").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("places")).where("latest > earliest").drop("latest"))
-    few, many = held.where(F.col("places") <= rare), held.where(F.col("places") > rare)
-    later = lambda r: r.where("doc_id > earliest").select("doc_id", "earliest", "place", "n")
-    found = save(later(runs.join(few, "run")).unionByName(later(salted_join(runs, many, ["run"]))))
-    pairs = save(found.select("earliest", "doc_id").distinct())
-    a = table.select(F.col("doc_id").alias("earliest"), F.col("lines").alias("a")).dropDuplicates(["earliest"])
-    b = table.select("doc_id", F.col("lines").alias("b"), "chars").dropDuplicates(["doc_id"])
-    # a document that is the earliest of many is repeated once per salt, at most a copy for each 16 of its pairs
-    hot = F.broadcast(save(pairs.groupBy("earliest").count().where(F.col("count") > 16 * SALTS).select("earliest")))  # one id for some hundred pairs
-    heads = a.join(hot, "earliest", "left_semi")
-    led = salted_join(pairs.join(hot, "earliest", "left_semi"), heads, ["earliest"], SALTS).unionByName(pairs.join(hot, "earliest", "left_anti").join(a, "earliest"))
-    aligned = led.join(b, "doc_id").select("doc_id", "a", "b", "chars").mapInArrow(_align(least), "doc_id long, gone array<int>")
-    alone = found.select("doc_id", F.expr("sequence(place, place + n - 1)").alias("gone"))
-    return aligned.unionByName(alone).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def line_dedup(docs: DataFrame, least: int = LEAST, rare: int = RARE) -> DataFrame:
+    runs = save(table.mapInArrow(_runs(least), "doc_id long, run long"))
+    held = runs.groupBy("run").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("places")).where("latest > earliest").drop("latest")
+    pairs = save(skew_join(runs, save(held), ["run"], "places", "inner").where("doc_id > earliest").select("earliest", "doc_id").distinct())
+    one = table.dropDuplicates(["doc_id"])
+    a = one.select(F.col("doc_id").alias("earliest"), F.col("lines").alias("a"), F.col("chars").alias("a_chars"))
+    b = one.select("doc_id", F.col("lines").alias("b"), F.col("chars").alias("b_chars"))
+    sides = dealt_join(pairs, a, "earliest", SHARE).join(b, "doc_id")
+    aligned = sides.select("doc_id", "a", "a_chars", "b", "b_chars").mapInArrow(_align(least), "doc_id long, gone array<int>")
+    return aligned.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_text for every input row."""
     t = with_text(docs)
-    gone = save(removed_lines(t, least, rare))
+    gone = save(removed_lines(t, least))
     inside, outside = split_by_ids(t, gone.select("doc_id"))
     cut = inside.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_delete, "doc_id long, n_lines long, n_removed long, kept_text string")
     whole = outside.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept_text"))

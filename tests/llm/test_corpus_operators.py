@@ -108,6 +108,85 @@ def test_exact_dedup(spark):
         assert got[i].text_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_exact_dedup_compares_whole_texts(spark):
+    """With a digest of one letter many texts share a digest; the full bytes decide."""
+    rows = corpus()
+    plain = {tuple(r) for r in exact_dedup.exact_dedup(table(spark, rows)).collect()}
+    assert {tuple(r) for r in exact_dedup.exact_dedup(table(spark, rows), short=lambda sha: sha.substr(1, 1)).collect()} == plain
+
+
+def test_exact_dedup_goes_on_after_a_failed_batch(spark, tmp_path, monkeypatch):
+    first, second = [(1, "a", "en"), (2, "b", "en"), (3, "a", "en")], [(4, "b", "en"), (5, "c", "en"), (0, "a", "en")]
+    read = []
+    for k, rows in enumerate((first, second)):
+        table(spark, rows).repartition(3).write.parquet(str(tmp_path / f"t{k}"))
+        read.append(spark.read.parquet(str(tmp_path / f"t{k}")))
+    state = str(tmp_path / "state")
+    parquet = type(read[0].write).parquet
+
+    def broken(self, path, *args, **kwargs):
+        if path.endswith("state_rows/batch=1"):
+            raise OSError("lost")
+        return parquet(self, path, *args, **kwargs)
+
+    with monkeypatch.context() as m, pytest.raises(Exception, match="lost"):
+        m.setattr(type(read[0].write), "parquet", broken)
+        exact_dedup.exact_dedup(read[0], state)
+    assert (tmp_path / "state" / "state_rows" / "batch=0").exists()
+    keys = exact_dedup.located(read[0])
+    digests = spark.read.parquet(f"{state}/digests")
+    got = {r.group_size: r.keep_id for r in exact_dedup.digest_stream_state(state, digests, 1).collect()}
+    assert got == {2: 3, 1: 2} and keys.count() == 3
+    more = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(read[1], state).collect()}
+    assert more == {4: (4, 2, True), 5: (5, 1, True), 0: (3, 3, False)}
+
+
+def linked_sets(texts, words, percent):
+    """Component by text number: all pairs that share a shingle, on plain sets."""
+    sets, where, comp = [], {}, list(range(len(texts)))
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets.append({tuple(w[k : k + words]) for k in range(len(w) - words + 1)})
+        for x in sets[-1]:
+            where.setdefault(x, []).append(i)
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, x in enumerate(sets):
+        shared = {}
+        for g in x:
+            for j in where[g]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, both in shared.items():
+            if 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                comp[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_dedup_in_a_crowd_of_templates(spark):
+    """Hundreds of texts of one template, alike below the threshold; some pairs among them are links."""
+    rng = random.Random(17)
+    fixed = [prose(rng, 1)(1) for _ in range(90)]
+    texts = []
+    for i in range(900):
+        w = list(fixed)
+        for k in range(4):  # fields of this text alone
+            w[10 + 20 * k : 12 + 20 * k] = [f"f{i}x{k}", f"g{i}x{k}"]
+        if i % 9 == 0 and i:
+            w = texts[rng.randrange(len(texts))].split(" ")
+            w[rng.randrange(90)] = f"changed{i}"
+        texts.append(" ".join(w))
+    want = linked_sets(texts, 5, 80)
+    assert 60 < len(texts) - len(set(want)) < 300
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(table(spark, [(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
 def test_near_dedup(spark, words, percent):
     rows = corpus(5, 90)
@@ -169,7 +248,7 @@ def test_packing(spark):
     rng = random.Random(2)
     rows = corpus(9, 80) + [(1000 + i, prose(rng, 9)(rng.randint(200, 900)), "en") for i in range(20)]
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    rows += [(2000, "a<|endoftext|>", "en"), (2001, "<|endoftext|> b  <|endoftext|><|endoftext|>\n\n <|endoftext", "en")]
     ids = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x, _ in rows}
     out = packing.pack(table(spark, rows), path).toPandas()
     for i, pieces in out.groupby("doc_id"):
@@ -193,9 +272,9 @@ def test_word_pattern():
     path = vocabulary("byte_bpe_50k.json")
     rng = random.Random(4)
     texts = ["".join(rng.choice("  \n'strevmld  aeiou,.▁0123é日\t") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    texts += ["".join(rng.choice(["<|endoftext|>", " ", "  ", "\n", "ab", "'s", "<|", "x<|endoftext|", ""]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
     ids, begin = byte_bpe.encode(texts, path)
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     assert [ids[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -355,25 +434,6 @@ def test_automaton_counts_phrases():
     assert got[0, 0] == phrases
 
 
-def plain_lines(rows, least=line_dedup.LEAST, rare=line_dedup.RARE):
-    lines = {i: (t or "").split("\n") for i, t, _ in rows}
-    where = {}
-    for i, ls in lines.items():
-        for k, x in enumerate(ls):
-            if len(x) >= least:
-                where.setdefault(x, []).append((i, k))
-    gone = {i: set() for i in lines}
-    pairs = set()
-    for places in where.values():
-        first = min(i for i, _ in places)
-        for i, k in places if len(places) > 1 else []:
-            if i != first:
-                pairs.add((first, i)) if len(places) <= rare else gone[i].add(k)
-    for a, b in pairs:
-        gone[b] |= set(line_dedup.blocks(line_dedup.patience(lines[a], lines[b]), [len(x) for x in lines[b]], least))
-    return {i: (len(ls), len(gone[i]), hashlib.sha256("\n".join(x for k, x in enumerate(ls) if k not in gone[i]).encode()).hexdigest()) for i, ls in lines.items()}
-
-
 def test_line_dedup(spark):
     rng = random.Random(5)
     pool = [f"shared line number {k} which is long enough to count here" for k in range(30)]
@@ -385,9 +445,11 @@ def test_line_dedup(spark):
         if i % 2:
             ls.append("a very common line that most of the documents have in them")
         rows.append((i, "\n".join(ls), "en"))
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.report(table(spark, rows)).collect()}
-    assert got == plain_lines(rows)
-    assert sum(v[1] for v in got.values()) > 60
+    got = {r.doc_id: r for r in line_dedup.report(table(spark, rows)).collect()}
+    gone = common_runs(rows)
+    assert {i: r.kept_sha256 for i, r in got.items()} == kept_hashes(rows, gone)
+    assert {i: (r.n_lines, r.n_removed) for i, r in got.items()} == {i: (t.count("\n") + 1, len(gone[i])) for i, t, _ in rows}
+    assert sum(len(g) for g in gone.values()) > 60
 
 
 def common_runs(rows, least=line_dedup.LEAST):
@@ -422,19 +484,12 @@ def test_line_dedup_short_lines(spark):
             ls[1:1] = v[at : at + rng.randint(1, 6)]
         rows.append((i, "\n".join(ls), "en"))
     gone = common_runs(rows)
-    aligned = {i: set() for i in gone}
-    lines = {i: t.split("\n") for i, t, _ in rows}
-    for a in lines:
-        for b in lines:
-            if a < b:
-                aligned[b] |= set(line_dedup.blocks(line_dedup.patience(lines[a], lines[b]), [len(x) for x in lines[b]]))
-    assert gone == aligned
     assert sum(len(g) for g in gone.values()) > 50
     assert {r.doc_id: r.kept_sha256 for r in line_dedup.report(table(spark, rows)).collect()} == kept_hashes(rows, gone)
 
 
 def test_line_dedup_frequent_lines(spark):
-    n = 20 * line_dedup.SALTS
+    n = line_dedup.SHARE + 130
     long = "one long line that stands in far more documents than the bound"
     rows = [(i, f"own {i}\n{long}\nshort\nlines\nhere\nend {i}", "en") for i in range(n)]
     rows += [(n + i, f"{long}\nshort\nown {i}\nlines\nhere", "en") for i in range(3)]
