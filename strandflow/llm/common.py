@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,9 +69,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 )
             ).alias("e")
         ).select("e.a", "e.b").where("a <> b").distinct()
-        e = save(small)
-        row = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if (now := (row[0], row[1])) == before:
+        seen = Observation()
+        e = save(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+        if (now := seen.get) == before:
             break
         before = now
     else:
@@ -135,6 +135,13 @@ def dealt_join(rows: DataFrame, lookup: DataFrame, key: str, per: int = 512) ->
     return dealt.join(spread.hint("merge"), [key, "__share"]).drop("__share")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that df doesn't have."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
 def split_by_keys(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows that may have one of the keys, and rows that certainly have none: the latter need no shuffle.
 
@@ -149,17 +156,19 @@ def split_by_keys(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple
         .groupBy(F.bitmap_bucket_number("p").alias("__bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits"))
     )
-    maps = rows.sparkSession.createDataFrame(maps.collect(), "__bucket long, __bits binary")  # at most 2048 rows of 4 KB
-    slot = F.col("__at") % 32768
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), (slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here, bucket, word = (fresh(rows, x) for x in ("__at", "__bucket", "__bits"))
+    maps = rows.sparkSession.createDataFrame(maps.collect(), f"{bucket} long, {word} binary")  # at most 2048 rows of 4 KB
+    slot = F.col(here) % 32768
+    byte = F.conv(F.hex(F.substring(F.col(word), (slot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte.cast("int"), (slot % 8).cast("int")) == 1, F.lit(False))
-    marked = rows.withColumn("__at", at).join(F.broadcast(maps), F.bitmap_bucket_number(F.col("__at") + 1) == F.col("__bucket"), "left")
+    marked = rows.withColumn(here, at).join(F.broadcast(maps), F.bitmap_bucket_number(F.col(here) + 1) == F.col(bucket), "left")
     return marked.where(hit).select(*rows.columns), marked.where(~hit).select(*rows.columns)
 
 
 def split_by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """split_by_keys by doc_id; rows with a null doc_id are in the second part."""
-    named = rows.withColumn("__id", F.col("doc_id").cast("long"))
-    ids = ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id"))
-    inside, outside = split_by_keys(named.where("__id is not null"), ids, ["__id"])
+    key = fresh(rows, "__id")
+    named = rows.withColumn(key, F.col("doc_id").cast("long"))
+    ids = ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias(key))
+    inside, outside = split_by_keys(named.where(F.col(key).isNotNull()), ids, [key])
     return inside.select(*rows.columns), outside.select(*rows.columns).unionByName(rows.where("doc_id is null"))

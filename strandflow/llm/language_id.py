@@ -4,7 +4,7 @@ Per language a suffix automaton is built over a bounded sample of labelled text
 characters from its first letter on; at most SAMPLE signs, and TOTAL of all languages together, which bounds the tables). A text is parsed from left to right into the longest phrases that occur in a language's sample: the automaton walks as
 long as it can, and where it can't, a phrase ends. The number of phrases times the bits that name a place in the sample is the
 length of the text in that language; the least one wins. Automata become full transition tables (a step that ends a phrase is marked),
-so all texts of a block, cut into lanes of LANE signs, walk in all languages side by side.
+so all texts of a block, cut into lanes of LANE signs that are joined up afterwards, walk in all languages side by side.
 
 Letters are lower-cased; what is no letter becomes one blank. The most frequent letters have a sign each; any other is spelled as OTHER
 and its number in DIGITS digits, so no two letters are the same and scripts stay apart. Cases: null texts and texts without a letter are `und` with score 0; if
@@ -135,31 +135,58 @@ def learn(docs: DataFrame, learnable) -> tuple[list[str], np.ndarray, np.ndarray
 
 
 def phrases(signs: np.ndarray, starts: np.ndarray, table: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The number of phrases of each text in each language."""
+    """The number of phrases of each text in each language.
+
+    Long texts are cut into lanes that walk side by side, each as if a phrase began at its start. Then the walk of each lane is carried on into the next one
+    until both begin a phrase at the same place, from where they are the same; the few lanes where they never meet hand on their own end. So the
+    phrases are those of one walk over the whole text.
+    """
     size = np.diff(starts)
     lanes = -(-size // LANE)
     owner = np.repeat(np.arange(len(size)), lanes)
+    out = np.zeros((len(begin), len(size)))
+    if not len(owner):
+        return out
     first = starts[:-1][owner] + LANE * arrays.ragged(lanes)
     length = np.minimum(LANE, starts[1:][owner] - first)
     order = np.argsort(-length, kind="stable")
+    place = np.argsort(order, kind="stable")
+    follows = np.where(np.append(owner[1:] == owner[:-1], False), np.append(place[1:], -1), -1)[order]
     first, length, owner = first[order], length[order], owner[order]
-    total = np.ones((len(begin), len(owner)), np.int64)
-    if not len(owner):
-        return np.zeros((len(begin), len(size)))
     grid = np.zeros((int(length[0]), len(owner)), np.uint8)
     step = arrays.ragged(length)
     lane = np.repeat(np.arange(len(owner)), length)
     grid[step, lane] = signs[first[lane] + step]
     alive = np.searchsorted(-length, -np.arange(len(grid)), "left")
-    value = np.repeat(begin[:, None], len(owner), axis=1)
-    for t in range(len(grid)):
-        n = alive[t]
-        v = table[(value[:, :n] >> 1) + grid[t, :n]]
-        value[:, :n] = v
-        total[:, :n] += v & 1
-    out = np.zeros((len(begin), len(size)))
-    for k in range(len(begin)):
-        out[k] = np.bincount(owner, total[k], len(size))
+    for lo in range(0, len(begin), 8):  # languages at a time
+        some = begin[lo : lo + 8]
+        value = np.repeat(some[:, None], len(owner), axis=1)
+        begins = np.zeros((len(some), *grid.shape), bool)
+        for t in range(len(grid)):
+            n = alive[t]
+            v = table[(value[:, :n] >> 1) + grid[t, :n]]
+            value[:, :n] = v
+            begins[:, t, :n] = v & 1
+        begins[:, 0] = True
+        k, at = np.nonzero(np.broadcast_to(follows >= 0, (len(some), len(owner))))
+        v, at = value[k, at], follows[at]
+        while len(at):
+            t, late = 0, []
+            while len(at):
+                v = table[(v >> 1) + grid[t, at]]
+                new = (v & 1).astype(bool)
+                apart = ~(new & begins[k, t, at])
+                begins[k, t, at] = new
+                k, at, v, t = k[apart], at[apart], v[apart], t + 1
+                over = length[at] == t
+                if over.any():
+                    value[k[over], at[over]] = v[over]
+                    more = over & (follows[at] >= 0)
+                    late.append((k[more], follows[at[more]], v[more]))
+                    k, at, v = k[~over], at[~over], v[~over]
+            k, at, v = (np.concatenate(x) for x in zip(*late, strict=True)) if late else (k, at, v)
+        for i in range(len(some)):
+            out[lo + i] = np.bincount(owner, begins[i].sum(axis=0), len(size))
     return out
 
 

@@ -1,27 +1,39 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+#: Fixed values, stated here again so that the SQL doesn't lean on the operators.
+CUT = r"(?s).+?(?:[.!?;:]\x20+|[gky0-9]\x20+|[a-c0-3][x-z7-9]|\z)"
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+WEAK = r"[A-Za-z0-9+/=_]{24,}"
+ENDPOINT = r"(?:https?://[A-Za-z0-9._:/-]+|(?:[A-Za-z0-9-]+\.)+(?:com|net|org|io)\b)"
+SCOPE = 256
+
 ORACLES = {
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
   sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
-    "op5_fingerprints": """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS nxt FROM d),
-e AS (SELECT *, length(text) // 2 AS h FROM n),
-x AS (SELECT doc_id, text, nxt, left(text, length(text) - h) || left(nxt, h) AS edited FROM (SELECT *, CAST(h AS bigint) FROM e)),
-t AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
-  list_transform(string_split(text, chr(10)), lambda p: list_transform(string_split(p, '. '), lambda s: sha256(s))) AS a,
-  list_transform(string_split(edited, chr(10)), lambda p: list_transform(string_split(p, '. '), lambda s: sha256(s))) AS b,
-  list_transform(string_split(nxt, chr(10)), lambda p: list_transform(string_split(p, '. '), lambda s: sha256(s))) AS c FROM x),
-p AS (SELECT *, list_transform(a, lambda q: sha256(array_to_string(q, ','))) AS pa, list_transform(b, lambda q: sha256(array_to_string(q, ','))) AS pb,
-  list_distinct(flatten(a)) AS la, list_distinct(flatten(b)) AS lb, list_distinct(flatten(c)) AS lc FROM t)
-SELECT doc_id, n_chars, edited_sha256,
-  sha256(array_to_string(list_transform(range(1, len(pa) + 1, 8), lambda i: sha256(array_to_string(pa[i:i+7], ','))), ',')) AS fingerprint,
-  sha256(array_to_string(list_transform(range(1, len(pb) + 1, 8), lambda i: sha256(array_to_string(pb[i:i+7], ','))), ',')) AS edited_fingerprint,
-  2.0::double * len(list_intersect(la, lb)) / (len(la) + len(lb)) AS near_edited,
-  2.0::double * len(list_intersect(la, lc)) / (len(la) + len(lc)) AS near_next
-FROM p""",
+    "op5_fingerprints": rf"""
+WITH o AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS rn FROM documents),
+n AS (SELECT rn, doc_id, text, coalesce(lead(text) OVER (ORDER BY rn), first_value(text) OVER (ORDER BY rn)) AS nxt FROM o),
+x AS (SELECT rn, doc_id, text, nxt, left(text, length(text) - CAST(length(text) // 2 AS bigint)) || left(nxt, CAST(length(text) // 2 AS bigint)) AS edited FROM n),
+t AS MATERIALIZED (SELECT rn, side, list_transform(string_split(s, chr(10)), lambda p: CASE WHEN p = '' THEN [''] ELSE regexp_extract_all(p, '{CUT}') END) AS leaves
+  FROM (SELECT rn, unnest(['a', 'b', 'c']) AS side, unnest([text, edited, nxt]) AS s FROM x)),
+p AS MATERIALIZED (SELECT rn, side, list_transform(leaves, lambda v: sha256(array_to_string(list_transform(v, lambda s: sha256(s)), ','))) AS p FROM t),
+b AS (SELECT rn, side, p, list_filter(range(1, len(p) + 1), lambda i: i = 1 OR left(p[i], 1) IN ('0', '1')) AS b FROM p),
+f AS (SELECT rn, side, sha256(array_to_string(list_transform(range(1, len(b) + 1), lambda k: sha256(array_to_string(p[b[k]:coalesce(b[k+1] - 1, len(p))], ','))), ',')) AS root FROM b),
+l AS MATERIALIZED (SELECT rn, side, s, count(*) AS c, count(*) * (length(s) + 1) AS w FROM (SELECT rn, side, unnest(flatten(leaves)) AS s FROM t) GROUP BY ALL),
+w AS (SELECT rn, side, sum(w) AS w FROM l GROUP BY ALL),
+m AS (SELECT a.rn, o.side, sum(least(a.c, o.c) * (length(a.s) + 1)) AS m FROM l a JOIN l o ON o.rn = a.rn AND o.s = a.s AND a.side = 'a' AND o.side <> 'a' GROUP BY ALL),
+q AS (SELECT a.rn, a.p AS pa, b.p AS pb, len(list_filter(range(1, least(len(a.p), len(b.p)) + 1), lambda i: a.p[1:i] = b.p[1:i])) AS h,
+  len(list_filter(range(1, least(len(a.p), len(b.p)) + 1), lambda i: a.p[len(a.p)-i+1:] = b.p[len(b.p)-i+1:])) AS e FROM p a JOIN p b ON b.rn = a.rn AND a.side = 'a' AND b.side = 'b')
+SELECT x.doc_id, length(x.text) AS n_chars, sha256(x.edited) AS edited_sha256, fa.root AS fingerprint, fb.root AS edited_fingerprint,
+  2.0::double * coalesce(mb.m, 0) / (wa.w + wb.w) AS near_edited, 2.0::double * coalesce(mc.m, 0) / (wa.w + wc.w) AS near_next,
+  h AS edit_from, len(pa) - least(e, least(len(pa), len(pb)) - h) AS edit_to
+FROM x JOIN q ON q.rn = x.rn JOIN f fa ON fa.rn = x.rn AND fa.side = 'a' JOIN f fb ON fb.rn = x.rn AND fb.side = 'b'
+  JOIN w wa ON wa.rn = x.rn AND wa.side = 'a' JOIN w wb ON wb.rn = x.rn AND wb.side = 'b' JOIN w wc ON wc.rn = x.rn AND wc.side = 'c'
+  LEFT JOIN m mb ON mb.rn = x.rn AND mb.side = 'b' LEFT JOIN m mc ON mc.rn = x.rn AND mc.side = 'c'""",
 }
 
 
@@ -34,17 +46,18 @@ def _found(pattern: str, kind: int, value: str = "0", least: int = 0) -> str:
 
 
 def _secrets() -> str:
-    from strandflow.llm.secret_scan import ACCESS, ASSIGN, ENDPOINT, HEX, SCOPE, WEAK
-
     shown = "array_to_string(list_transform({0}, lambda m: ['assign','access','hex','weak','endpoint'][m.k+1] || ':' || m.s || ':' || m.e), ',')"
     free = "list_filter({0}, lambda m: len(list_filter(base, lambda o: m.s < o.e AND o.s < m.e)) = 0)"
-    near = f"len(list_filter(found, lambda o: {{0}} AND abs(o.s - m.s) <= {SCOPE})) > 0"
+    near = lambda what: f"len(list_filter(found, lambda o: {what} AND abs(o.s - m.s) <= {SCOPE})) > 0"
+    weak = f"list_filter(found, lambda m: m.k = 3 AND {near('o.k = 1')})"
+    endpoint = f"list_filter(found, lambda m: m.k = 4 AND {near('o.k = 1')} AND ({near('o.k IN (0,2)')} OR len(list_filter(strong, lambda o: abs(o.s - m.s) <= {SCOPE})) > 0))"
     return f"""
 WITH d AS (SELECT row_number() OVER () row_no, doc_id, coalesce(text,'') AS text FROM documents),
 b AS (SELECT row_no, doc_id, text, {_found(ASSIGN, 0, '2', 6)} a, {_found(ACCESS, 1)} k, {_found(HEX, 2)} h FROM d),
 c AS (SELECT *, a || k || h base, CASE WHEN len(k) > 0 THEN {_found(WEAK, 3)} ELSE [] END w, CASE WHEN len(k) > 0 THEN {_found(ENDPOINT, 4)} ELSE [] END n FROM b),
 f AS (SELECT *, base || {free.format('w')} || {free.format('n')} AS found FROM c),
-l AS (SELECT *, list_filter(found, lambda m: m.k < 3 OR (len(k) > 0 AND {near.format('o.k = 1')} AND (m.k = 3 OR {near.format('o.k IN (0,2,3)')}))) every FROM f)
+g AS (SELECT *, CASE WHEN len(k) > 0 THEN {weak} ELSE [] END AS strong FROM f),
+l AS (SELECT *, base || strong || CASE WHEN len(k) > 0 THEN {endpoint} ELSE [] END AS every FROM g)
 SELECT doc_id, CAST(len(a) AS bigint) n_assign, CAST(len(k) AS bigint) n_access, CAST(len(h) AS bigint) n_hex, sha256({shown.format('list_sort(base)')}) base_sha256, {shown.format('list_sort(every)')} spans FROM l"""
 
 

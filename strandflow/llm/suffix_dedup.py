@@ -1,24 +1,24 @@
 """Removal of repeated passages, by blockwise sorting of suffixes with a difference cover.
 
 Texts are UTF-8 bytes. A suffix counts to a depth of WIDTH bytes and within its document; where its first WIDTH bytes also
-start at an earlier place (smaller doc_id, or earlier in the same document), these bytes go. Suffixes are told apart in two steps.
-
-1. Blocks of suffixes. The least hash of GRAM bytes within a suffix's WIDTH bytes depends on these bytes alone, so equal
-suffixes have the same one (their anchor). Neighbouring suffixes with one anchor form a unit. Units are sorted by (anchor, unit content): of equal
-units all but the first are repeated as a whole; a unit whose anchor nobody else has is not repeated at all. Only units that
-share the anchor but not the content, at the borders of repeated passages, are left, and those in which the anchor stands more than once.
-2. Their suffixes are sorted block by block, a block holding whole anchors. A suffix's record is its first COVER bytes, the rank name of a cover sample and its last
-COVER bytes. Samples stand at the positions of a difference cover modulo COVER, counted from the anchor: of two suffixes that agree
-in their first COVER bytes, equal ones have the same anchor offset, hence a common distance to a sample; the sample's name, worked out once
-per sample for WIDTH - COVER bytes, settles the tie without comparing further. Only the
-bytes of such units travel. An anchor that more than CROWD units share (a passage in a large part of all documents) would be one
-block of any size: its suffixes are dealt out by their whole record instead, so they spread, and each block of texts decides its own first.
-
-Contents are compared as 64-bit hashes, three of them per suffix. A task holds a few megabytes of text, or one document.
-
-Cases: null texts are empty; texts shorter than WIDTH lose nothing. Rows with a null doc_id come before all others and are one
-document; so are repeated rows of one doc_id (their texts are then taken in order of content). An empty table gives an
-empty result; other columns are ignored.
+start at an earlier place (smaller doc_id, or earlier in the same document), these bytes go. Suffixes are told apart bucket by bucket.
+
+1. Buckets. The least hash of GRAM bytes within a suffix's WIDTH bytes depends on these bytes alone, so equal
+suffixes have the same one (their anchor). Neighbouring suffixes with one anchor form a unit. A unit whose anchor stands in no other unit (and once in it) repeats
+nothing. Of units with equal anchor and content (two 64-bit hashes) all but the first are repeated as a whole. What is left are the different contents of
+an anchor, at the borders of repeated passages: these are its bucket, and only their bytes travel.
+2. A bucket is sorted by its suffixes' first COVER bytes and their offset from the anchor. Ties are settled by ranks: of a suffix's positions those of a
+difference cover modulo COVER, counted from the anchor, are samples, so suffixes with one offset reach a sample after the same number of bytes. The samples
+of a bucket are sorted once, by WIDTH - COVER bytes, into integer ranks; a tie is settled by the rank of the next sample and the last COVER bytes. Equal neighbours in that order
+are equal suffixes: all but the first place go. Bytes are compared as such, and a bucket needs its own bytes and ranks only.
+3. An anchor with more than CROWD contents (a passage in a large part of all documents) would be a bucket of any size. Its suffixes are dealt
+out one by one by a record of three 64-bit hashes (first COVER bytes, sample, last COVER bytes), so they spread, and each block of texts decides its own first.
+
+Counts per anchor and first places are partial aggregates; hot anchors and contents are broadcast (common.skew_join). A task holds a few megabytes of text, or one document.
+
+Cases: null texts are empty; texts shorter than WIDTH lose nothing. Rows with a null doc_id are compared with nothing. Repeated rows of one doc_id and text are one
+document and get the same result each; different texts under one doc_id are parts of one document, in order of text, and no match crosses from one to the next. Of equal
+strings the first place stays. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,18 +27,18 @@ from functools import reduce
 from math import isqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.llm import arrays
-from strandflow.llm.common import save, split_by_ids, with_text
+from strandflow.llm.common import save, skew_join, split_by_ids, split_by_keys, with_text
 
 WIDTH = 100
 GRAM = 40
 COVER = 16
-#: Units that share an anchor, beyond which their suffixes are dealt out one by one.
-CROWD = 20_000
-REPEATED, SHARED, CROWDED = 1, 2, 3
+#: Contents of an anchor beyond which their suffixes are dealt out one by one.
+CROWD = 1_000
+UNIT = "anchor long, content long, doc_id long, start long, suffixes int, again boolean, several boolean"
 
 
 def difference_cover(v: int = COVER) -> np.ndarray:
@@ -117,79 +117,80 @@ def _units(batches):
     import pyarrow as pa
 
     for batch in batches:
-        texts, ids = _bytes(batch), batch.column("doc_id").to_numpy(zero_copy_only=False)
+        texts, ids, base = _bytes(batch), batch.column("doc_id").to_numpy(), batch.column("base").to_numpy()
         for lo, hi in _blocks(texts):
             b = Block(texts[lo:hi])
             doc = ids[lo:hi][b.owner]
-            start = b.first - b.starts[b.owner]
+            start = b.first - b.starts[b.owner] + base[lo:hi][b.owner]
             content = b.contents()
             several = b.several(b.first, b.end - b.first, b.anchor)
             order = np.lexsort((start, doc, content))
             again = np.zeros(len(order), bool)
             again[order] = _later(content[order][None], doc[order], start[order])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(b.anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(start.astype(np.int32)), pa.array((b.end - b.first).astype(np.int32)), pa.array(again), pa.array(several)],
+                [pa.array(b.anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(doc), pa.array(start), pa.array((b.end - b.first).astype(np.int32)), pa.array(again), pa.array(several)],
                 names=["anchor", "content", "doc_id", "start", "suffixes", "again", "several"],
             )
 
 
-def _settle(batches):
-    """From units sorted by (anchor, content, doc_id, start): the repeated ones and the first of those that share an anchor only."""
-    import pyarrow as pa
+def _offsets(block: Block, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes of units: their places, the unit of each, and how far behind its start its anchor stands."""
+    at = np.repeat(first, size) + arrays.ragged(size)
+    places, least = _anchor_places(block, first)
+    several = np.repeat(block.several(first, size, least), size)
+    offset = np.repeat(places, size) - at
+    offset[several] = _anchor_places(block, at[several])[0] - at[several]
+    return at, np.repeat(np.arange(len(first)), size), offset
 
-    held = None
 
-    def settle(rows):
-        anchor, content, doc, start, suffixes, again, several = rows
-        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
-        group = np.cumsum(new_anchor) - 1
-        contents = np.bincount(group, new)[group]
-        state = np.where((contents > 1) | several, np.where(contents > CROWD, CROWDED, SHARED), 0)
-        state = np.where(_later(np.stack([anchor, content]), doc, start) | again, REPEATED, state).astype(np.int32)
-        out = state > 0
-        return pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(start[out]), pa.array(suffixes[out]), pa.array(state[out])], names=["doc_id", "start", "suffixes", "state"])
+def _next_sample(at: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """The first place from each suffix on that is a sample: its distance from the anchor is in the difference cover."""
+    residues = difference_cover()
+    gap = np.array([min((d - o) % COVER for d in residues) for o in range(COVER)])
+    return at + gap[(-offset) % COVER]
 
-    for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "content", "doc_id", "start", "suffixes", "again", "several")]
-        if held is not None:
-            rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
-        if not len(rows[0]):
-            continue
-        cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))  # the last anchor may go on in the next batch
-        held = [x[cut:] for x in rows]
-        if cut:
-            yield settle([x[:cut] for x in rows])
-    if held is not None and len(held[0]):
-        yield settle(held)
+
+def _words(data: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """width bytes from each place on as big-endian words: in their order the bytes are in order."""
+    whole = -(-width // 8) * 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(whole, np.uint8)]), whole)[at]
+    rows[:, width:] = 0
+    return list(rows.view(">u8").T.astype(np.uint64))
+
+
+def sample_ranks(data: np.ndarray, sample: np.ndarray) -> np.ndarray:
+    """The rank of each place in the order of the WIDTH - COVER bytes that begin there; equal bytes, equal rank."""
+    place, number = np.unique(sample, return_inverse=True)  # each sample is sorted once
+    words = _words(data, place, WIDTH - COVER)
+    order = np.lexsort(words[::-1])
+    new = np.zeros(len(order), bool)
+    for w in words:
+        new[1:] |= w[order][1:] != w[order][:-1]
+    rank = np.zeros(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank[number]
 
 
 def _suffixes(block: Block, first: np.ndarray, size: np.ndarray):
-    """All suffixes of units: their places, the unit of each, and their records (head, rank name of a cover sample, tail)."""
-    residues = difference_cover()
-    gap = np.array([min((d - o) % COVER for d in residues) for o in range(COVER)])  # distance to the next sample
-    at = np.repeat(first, size) + arrays.ragged(size)
-    # offsets are counted from where the suffix's anchor stands, so equal suffixes meet the same sample
-    places, least = _anchor_places(block, first)
-    several = np.repeat(block.several(first, size, least), size)
-    offset = np.repeat(places, size) - at
-    offset[several] = _anchor_places(block, at[several])[0] - at[several]
-    sample = at + gap[(-offset) % COVER]
-    end = np.minimum(sample + WIDTH - COVER, len(block.span.sums) - 1)
+    """All suffixes of units: their places, the unit of each, and their records (head, sample, tail)."""
+    at, unit, offset = _offsets(block, first, size)
+    sample = _next_sample(at, offset)
     known = np.zeros(len(block.span.sums), bool)
     known[sample] = True
     place = np.flatnonzero(known)  # each sample is named once
     number = np.cumsum(known) - 1
     name = block.span(place, np.minimum(place + WIDTH - COVER, len(block.span.sums) - 1))[number[sample]]
-    return at, np.repeat(np.arange(len(first)), size), np.stack([block.span(at, at + COVER), name, block.span(at + WIDTH - COVER, at + WIDTH)])
+    return at, unit, np.stack([block.span(at, at + COVER), name, block.span(at + WIDTH - COVER, at + WIDTH)])
 
 
 def _units_of(batch, lo: int, hi: int, block: Block):
-    """First places, sizes and texts of the units listed for texts lo..hi of a batch."""
+    """First places, sizes and texts of the units listed for texts lo..hi of a batch (of other parts of the document too, which are left out)."""
     starts, sizes = batch.column("starts").slice(lo, hi - lo), batch.column("sizes").slice(lo, hi - lo)
-    count = np.asarray(starts.value_lengths())
-    owner = np.repeat(np.arange(hi - lo), count)
-    return starts.flatten().to_numpy() + block.starts[owner], sizes.flatten().to_numpy().astype(np.int64), owner
+    owner = np.repeat(np.arange(hi - lo), np.asarray(starts.value_lengths()))
+    local = starts.flatten().to_numpy() - batch.column("base").to_numpy()[lo:hi][owner]
+    sizes = sizes.flatten().to_numpy().astype(np.int64)
+    own = (local >= 0) & (local < np.diff(block.starts)[owner])
+    return local[own] + block.starts[owner[own]], sizes[own], owner[own]
 
 
 def _unit_spans(batches):
@@ -197,7 +198,7 @@ def _unit_spans(batches):
     import pyarrow as pa
 
     for batch in batches:
-        texts, ids = _bytes(batch), batch.column("doc_id").to_numpy(zero_copy_only=False)
+        texts, ids, base = _bytes(batch), batch.column("doc_id").to_numpy(), batch.column("base").to_numpy()
         for lo, hi in _blocks(texts):
             block = Block(texts[lo:hi], bare=True)
             first, size, owner = _units_of(batch, lo, hi, block)
@@ -205,32 +206,50 @@ def _unit_spans(batches):
             joined = b"".join(texts[lo:hi])
             spans = [joined[f : f + n + WIDTH - 1] for f, n in zip(first.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(least.view(np.int64)), pa.array(ids[lo:hi][owner]), pa.array((first - block.starts[owner]).astype(np.int32)), pa.array(spans, pa.binary())],
+                [pa.array(least.view(np.int64)), pa.array(ids[lo:hi][owner]), pa.array(first - block.starts[owner] + base[lo:hi][owner]), pa.array(spans, pa.binary())],
                 names=["anchor", "doc_id", "start", "span"],
             )
 
 
+def sort_buckets(spans: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the units of whole buckets: unit, place in the document and whether an earlier suffix equals it, for each suffix."""
+    block = Block(spans, bare=True)
+    first, size = block.starts[:-1], np.diff(block.starts) - WIDTH + 1
+    at, unit, offset = _offsets(block, first, size)
+    place = start[unit] + at - first[unit]
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    key = [offset.astype(np.uint64), *_words(data, at, COVER)]
+    order = np.lexsort(key[::-1])
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = np.any([k[order][1:] != k[order][:-1] for k in key], axis=0)
+    run = np.zeros(len(order), np.int64)
+    run[order] = np.cumsum(new[:-1])
+    tied = np.zeros(len(order), bool)
+    tied[order] = ~(new[:-1] & new[1:])
+    tie = np.flatnonzero(tied)
+    ranks = sample_ranks(data, _next_sample(at[tie], offset[tie]))
+    key = [run[tie], ranks, *_words(data, at[tie] + WIDTH - COVER, COVER)]
+    order = np.lexsort((place[tie], doc[unit[tie]], *key[::-1]))
+    same = np.zeros(len(unit), bool)
+    same[tie[order]] = _later(np.stack([k.astype(np.uint64)[order] for k in key]), doc[unit[tie]][order], place[tie][order])
+    return unit, place, same
+
+
 def _sort_blocks(batches):
-    """From spans sorted by anchor: the runs of suffixes that an earlier one equals. A block holds whole anchors."""
+    """From spans sorted by anchor: the runs of suffixes that an earlier one equals. A block holds whole buckets."""
     import pyarrow as pa
 
     held: tuple[list, list, list, list] | None = None
 
-    def sort(anchor, doc, start, spans):
-        block = Block(spans, bare=True)
-        first, size = block.starts[:-1], np.diff(block.starts) - WIDTH + 1
-        at, unit, record = _suffixes(block, first, size)
-        place = np.asarray(start, np.int64)[unit] + at - first[unit]
+    def sort(_, doc, start, spans):
         doc = np.asarray(doc, np.int64)
-        order = np.lexsort((place, doc[unit], record[2], record[1], record[0]))
-        same = np.zeros(len(order), bool)
-        same[order] = _later(record[:, order], doc[unit][order], place[order])
+        unit, place, same = sort_buckets(spans, doc, np.asarray(start, np.int64))
         edge = np.ones(len(same) + 1, bool)  # runs within a unit
         edge[1:-1] = (same[1:] != same[:-1]) | (unit[1:] != unit[:-1])
         cut = np.flatnonzero(edge)
         begin, length = cut[:-1], np.diff(cut)
         begin, length = begin[same[begin]], length[same[begin]]
-        return pa.RecordBatch.from_arrays([pa.array(doc[unit[begin]]), pa.array(place[begin].astype(np.int32)), pa.array(length.astype(np.int32))], names=["doc_id", "start", "suffixes"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[unit[begin]]), pa.array(place[begin]), pa.array(length.astype(np.int32))], names=["doc_id", "start", "suffixes"])
 
     for batch in batches:
         rows = tuple(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "span"))
@@ -251,18 +270,18 @@ def _suffix_records(batches):
     import pyarrow as pa
 
     for batch in batches:
-        texts, ids = _bytes(batch), batch.column("doc_id").to_numpy(zero_copy_only=False)
+        texts, ids, base = _bytes(batch), batch.column("doc_id").to_numpy(), batch.column("base").to_numpy()
         for lo, hi in _blocks(texts):
             block = Block(texts[lo:hi], bare=True)
             first, size, owner = _units_of(batch, lo, hi, block)
             at, unit, record = _suffixes(block, first, size)
             own = owner[unit]
-            doc, start = ids[lo:hi][own], at - block.starts[own]
+            doc, start = ids[lo:hi][own], at - block.starts[own] + base[lo:hi][own]
             order = np.lexsort((start, doc, record[2], record[1], record[0]))
             same = np.zeros(len(order), bool)
             same[order] = _later(record[:, order], doc[order], start[order])
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(x.view(np.int64)) for x in record], pa.array(doc), pa.array(start.astype(np.int32)), pa.array(same)],
+                [*[pa.array(x.view(np.int64)) for x in record], pa.array(doc), pa.array(start), pa.array(same)],
                 names=["head", "sample", "tail", "doc_id", "start", "again"],
             )
 
@@ -304,16 +323,17 @@ def _remove(batches):
     import pyarrow as pa
 
     for batch in batches:
-        ids, starts, sizes = batch.column("doc_id"), batch.column("starts"), batch.column("sizes")
+        ids, starts, sizes, base = batch.column("doc_id"), batch.column("starts"), batch.column("sizes"), batch.column("base").to_pylist()
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for i, text in enumerate(_bytes(batch)):
             n = len(text)
             gone = np.zeros(n + 1, np.int64)
             if starts[i].is_valid:
-                s = np.asarray(starts[i].as_py(), np.int64)
+                s = np.asarray(starts[i].as_py(), np.int64) - base[i]
                 e = s + np.asarray(sizes[i].as_py(), np.int64) + WIDTH - 1
-                np.add.at(gone, np.minimum(s, n), 1)
-                np.add.at(gone, np.minimum(e, n), -1)
+                own = (s >= 0) & (e <= n)
+                np.add.at(gone, s[own], 1)
+                np.add.at(gone, e[own], -1)
             covered = np.cumsum(gone)[:n] > 0
             n_bytes.append(n)
             n_removed.append(int(covered.sum()))
@@ -323,27 +343,48 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def based(docs: DataFrame) -> DataFrame:
+    """doc_id, text and base: where the text begins among the different texts of its doc_id (0 but for repeated ones)."""
+    docs = docs.select("doc_id", "text")
+    zero = F.lit(0).cast("long").alias("base")
+    twice = save(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():
+        return docs.select("*", zero)
+    inside, outside = split_by_ids(docs, twice)
+    order = Window.partitionBy("doc_id").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
+    parts = inside.join(twice, "doc_id", "left_semi").distinct().withColumn("base", F.coalesce(F.sum(F.octet_length("text")).over(order), F.lit(0)).cast("long"))
+    return outside.unionByName(inside.join(twice, "doc_id", "left_anti")).select("*", zero).unionByName(inside.join(save(parts), ["doc_id", "text"]).select("doc_id", "text", "base"))
+
+
 def repeated_suffixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, suffixes): runs of suffixes whose WIDTH bytes start earlier too."""
-    units = docs.mapInArrow(_units, "anchor long, content long, doc_id long, start int, suffixes int, again boolean, several boolean")
-    order = ["anchor", "content", "doc_id", "start"]
-    states = save(units.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_settle, "doc_id long, start int, suffixes int, state int"))
-
-    def listed(state):
-        return states.where(F.col("state") == state).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("suffixes").alias("sizes"))
-
-    def texts_of(units):
-        inside, _ = split_by_ids(docs, units.select("doc_id"))
-        return inside.join(units.hint("merge"), "doc_id").select("doc_id", "text", "starts", "sizes")
-
-    run = "doc_id long, start int, suffixes int"
-    spans = texts_of(listed(SHARED)).mapInArrow(_unit_spans, "anchor long, doc_id long, start int, span binary")
-    found = [states.where(F.col("state") == REPEATED).select("doc_id", "start", "suffixes")]
-    found.append(spans.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_blocks, run))
-    if not states.where(F.col("state") == CROWDED).isEmpty():
-        records = texts_of(listed(CROWDED)).mapInArrow(_suffix_records, "head long, sample long, tail long, doc_id long, start int, again boolean")
+    """(doc_id, start, suffixes): runs of suffixes whose WIDTH bytes start earlier too. docs as from based()."""
+    units = save(docs.mapInArrow(_units, UNIT))
+    shared_anchors = units.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("several").alias("several")).where("n > 1 OR several").select("anchor")
+    inside, _ = split_by_keys(units.where("not again"), save(shared_anchors), ["anchor"])
+    shared = save(inside.drop("again"))
+    firsts = save(
+        shared.groupBy("anchor", "content").agg(
+            F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("k"), F.max("several").alias("several"), F.max("suffixes").alias("suffixes")
+        )
+    )
+    run = ["doc_id", "start", "suffixes"]
+    met = skew_join(shared, firsts.where("k > 1").select("anchor", "content", "first", "k"), ["anchor", "content"], "k", "inner")
+    found = [units.where("again").select(*run), met.where("doc_id <> first.doc_id OR start <> first.start").select(*run)]
+    crowds = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents"), F.max("several").alias("several")).where("contents > 1 OR several").drop("several")
+    left = save(skew_join(firsts.drop("several"), save(crowds), ["anchor"], "contents", "inner").select("first.doc_id", "first.start", "suffixes", (F.col("contents") > CROWD).alias("crowded")))
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        listed = rows.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("suffixes").alias("sizes"))
+        inside, _ = split_by_ids(docs, rows.select("doc_id"))
+        return inside.join(listed.hint("merge"), "doc_id").select("doc_id", "text", "base", "starts", "sizes")
+
+    spans = texts_of(left.where("not crowded")).mapInArrow(_unit_spans, "anchor long, doc_id long, start long, span binary")
+    found.append(spans.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_blocks, "doc_id long, start long, suffixes int"))
+    if not left.where("crowded").isEmpty():
+        records = texts_of(left.where("crowded")).mapInArrow(_suffix_records, "head long, sample long, tail long, doc_id long, start long, again boolean")
         key = ["head", "sample", "tail"]
-        later = records.repartition(*key).sortWithinPartitions(*key, "doc_id", "start").mapInArrow(_sort_bucket, "doc_id long, start int")
+        share = F.when(F.col("again"), F.col("doc_id"))  # rows that are decided need not meet the others
+        later = records.withColumn("share", share).repartition(*key, "share").drop("share").sortWithinPartitions(*key, "doc_id", "start").mapInArrow(_sort_bucket, "doc_id long, start long")
         found.append(later.withColumn("suffixes", F.lit(1)))
     return reduce(DataFrame.unionByName, found)
 
@@ -351,14 +392,14 @@ def repeated_suffixes(docs: DataFrame) -> DataFrame:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and what is kept (binary)."""
     every = with_text(docs)
-    t = every.where("doc_id is not null")
+    t = based(every.where("doc_id is not null"))
     gone = save(repeated_suffixes(t))
     runs = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "suffixes")).alias("g"))
     runs = runs.select("doc_id", F.col("g.start").alias("starts"), F.col("g.suffixes").alias("sizes"))
-    inside, outside = split_by_ids(every, gone.select("doc_id").distinct())
-    cut = inside.join(runs.hint("merge"), "doc_id", "left").select("doc_id", "text", "starts", "sizes").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    inside, outside = split_by_ids(t, gone.select("doc_id").distinct())
+    cut = inside.join(runs.hint("merge"), "doc_id", "left").select("doc_id", "text", "base", "starts", "sizes").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     nothing = F.lit(0).cast("long")
-    whole = outside.select(
+    whole = outside.drop("base").unionByName(every.where("doc_id is null")).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("text").cast("binary").alias("kept")
     )
     return cut.unionByName(whole)
