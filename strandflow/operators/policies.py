@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import geometry as g
-from strandflow.operators import spatial, topology
+from strandflow.operators import greedy, spatial, topology
+from strandflow.sources.shared import save
 
 
 @dataclass(frozen=True)
@@ -83,8 +84,8 @@ def division_filter(nodes: DataFrame, edges: DataFrame, c: Config = CONFIG) -> D
     return edges.join(bad, ["dataset", "edge_id"], "left_anti")
 
 
-def with_component_size(nodes: DataFrame, edges: DataFrame, max_length: int = 8) -> DataFrame:
-    n = topology.components(nodes, edges, max_length)
+def with_component_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    n = topology.components(nodes, edges)
     return n.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("dataset", "component")))
 
 
@@ -167,22 +168,74 @@ def strict_bridges(census: DataFrame, c: Config = CONFIG) -> DataFrame:
     return ok.withColumns({"a_use": use("a_id"), "c_use": use("c_id")}).where("a_use = 1 AND c_use = 1 AND pair_count = 1").drop("a_use", "c_use")
 
 
+def _static(proposed: DataFrame, nodes: DataFrame, edges: DataFrame, ends: list[str], links: list[tuple[str, str]]) -> DataFrame:
+    """Adds reason: why a proposal can't be added to the graph as it is (missing_endpoint, existing_edge, degree_conflict, in this order), else null."""
+    ids = nodes.select("dataset", "node_id")
+    p, there, busy, missing = proposed, F.lit(False), F.lit(False), F.lit(False)
+    for k in ends:
+        p = p.join(ids.select("dataset", F.col("node_id").alias(k), F.lit(True).alias(f"_n{k}")), ["dataset", k], "left")
+        missing = missing | F.col(f"_n{k}").isNull()
+    for s, t in links:
+        p = p.join(edges.select("dataset", F.col("source_id").alias(s), F.col("target_id").alias(t), F.lit(True).alias(f"_e{s}")).distinct(), ["dataset", s, t], "left")
+        p = p.join(edges.select("dataset", F.col("source_id").alias(s), F.lit(True).alias(f"_o{s}")).distinct(), ["dataset", s], "left")
+        p = p.join(edges.select("dataset", F.col("target_id").alias(t), F.lit(True).alias(f"_i{t}")).distinct(), ["dataset", t], "left")
+        there = there | F.col(f"_e{s}").isNotNull()
+        busy = busy | F.col(f"_o{s}").isNotNull() | F.col(f"_i{t}").isNotNull()
+    # the inner node of a bridge must have no edge at all
+    for k in {t for _, t in links} & {s for s, _ in links}:
+        p = p.join(edges.select("dataset", F.col("source_id").alias(k), F.lit(True).alias("_out")).distinct(), ["dataset", k], "left")
+        busy = busy | F.col("_out").isNotNull()
+    reason = F.when(missing, "missing_endpoint").when(there, "existing_edge").when(busy, "degree_conflict")
+    return p.select(*proposed.columns, reason.alias("reason"))
+
+
+def _applied(proposed: DataFrame, nodes: DataFrame, edges: DataFrame, ends: list[str], links: list[tuple[str, str]], order: list[str]) -> DataFrame:
+    """Proposals with the outcome that a loop in order would give: added, or the reason for which they are refused."""
+    p = save(_static(proposed, nodes, edges, ends, links))
+    # an end serves one edge out and one in; a negative number stands for an edge in
+    uses = {f"r{i}": (F.col(s) + 1 if k == 0 else -F.col(t) - 1) for i, (s, t, k) in enumerate((s, t, k) for s, t in links for k in (0, 1))}
+    free = p.where("reason IS NULL").withColumns(uses)
+    won = save(greedy.ordered_greedy(free.select("dataset", *ends, *[c for c in order if c not in ends], *uses), ["dataset"], order, list(uses)).select("dataset", *ends, *[c for c in order if c not in ends]))
+    p = p.join(won.select("dataset", *order, F.lit(True).alias("won")), ["dataset", *order], "left")
+    # a refused proposal meets its own edge, added before it, or an end that is taken
+    made = None
+    for i, (s, t) in enumerate(links):
+        for x, y in links:
+            mine = p.where("reason IS NULL AND won IS NULL").select("dataset", *order, F.col(s).alias("_s"), F.col(t).alias("_t"))
+            one = won.select("dataset", F.col(x).alias("_s"), F.col(y).alias("_t"), F.struct(*order).alias("before")).join(mine, ["dataset", "_s", "_t"]).where(F.col("before") < F.struct(*order)).select("dataset", *order)
+            made = one if made is None else made.unionByName(one)
+    p = p.join(made.distinct().withColumn("made", F.lit(True)), ["dataset", *order], "left")
+    outcome = F.coalesce("reason", F.when(F.col("won"), "added").when(F.col("made"), "existing_edge").otherwise("degree_conflict"))
+    return p.select(*proposed.columns, outcome.alias("reason"))
+
+
 def repair_reasons(proposed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Proposed single edges with the reason for which they can't be added (checked in this order) or `added`."""
-    ids = nodes.select("dataset", F.col("node_id"))
-    s = ids.select("dataset", F.col("node_id").alias("source_id"), F.lit(1).alias("s_there"))
-    t = ids.select("dataset", F.col("node_id").alias("target_id"), F.lit(1).alias("t_there"))
-    there = edges.select("dataset", "source_id", "target_id", F.lit(1).alias("e_there"))
-    out = edges.select("dataset", "source_id", F.lit(1).alias("s_used")).distinct()
-    inn = edges.select("dataset", "target_id", F.lit(1).alias("t_used")).distinct()
-    p = proposed.join(s, ["dataset", "source_id"], "left").join(t, ["dataset", "target_id"], "left").join(there, ["dataset", "source_id", "target_id"], "left").join(out, ["dataset", "source_id"], "left").join(inn, ["dataset", "target_id"], "left")
-    reason = F.when(F.col("s_there").isNull() | F.col("t_there").isNull(), "missing_endpoint").when(F.col("e_there").isNotNull(), "existing_edge").when(F.col("s_used").isNotNull(), "source_busy").when(F.col("t_used").isNotNull(), "target_busy").otherwise("added")
-    return p.select("dataset", "source_id", "target_id", reason.alias("reason"))
-
-
-def added_edges(pairs: DataFrame) -> DataFrame:
-    """New edges (probability 0) in the form of edges."""
-    return pairs.select("dataset", (F.col("source_id") * 100000000 + F.col("target_id")).alias("edge_id"), "source_id", "target_id", F.lit(0.0).alias("edge_prob"))
+    """Proposed single edges (dataset, source_id, target_id) with their outcome, tried by source and target; the first of rivals wins."""
+    return _applied(proposed.select("dataset", "source_id", "target_id"), nodes, edges, ["source_id", "target_id"], [("source_id", "target_id")], ["source_id", "target_id"])
+
+
+def bridge_reasons(bridges: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Proposed bridges (dataset, t, a_id, b_id, c_id) with their outcome, tried by t and middle."""
+    b = bridges.select("dataset", "t", "a_id", "b_id", "c_id")
+    return _applied(b, nodes, edges, ["a_id", "b_id", "c_id"], [("a_id", "b_id"), ("b_id", "c_id")], ["t", "b_id"])
+
+
+def bridge_edges(bridges: DataFrame) -> DataFrame:
+    """The two edges (dataset, source_id, target_id) of each bridge."""
+    two = F.array(F.struct(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id")), F.struct(F.col("b_id").alias("source_id"), F.col("c_id").alias("target_id")))
+    return bridges.select("dataset", F.explode(two).alias("e")).select("dataset", "e.source_id", "e.target_id")
+
+
+def added_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """New edges (probability 0) in the form of edges, with their length on the model's grid."""
+    at = lambda k, p: nodes.select("dataset", F.col("node_id").alias(k), *[F.col(v).alias(f"{p}{v}") for v in "zyx"])
+    j = pairs.join(at("source_id", "a"), ["dataset", "source_id"]).join(at("target_id", "b"), ["dataset", "target_id"])
+    length = g.norm(tuple((F.col(f"b{v}") - F.col(f"a{v}")) / F.lit(k) for v, k in zip("zyx", g.GRID, strict=True)))
+    return j.select("dataset", (F.col("source_id") * 100000000 + F.col("target_id")).alias("edge_id"), "source_id", "target_id", F.lit(0.0).alias("edge_prob"), length.alias("edge_dist"))
+
+
+def with_edges(edges: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return edges.unionByName(added_edges(pairs, nodes), allowMissingColumns=True)
 
 
 def component_cleanup(nodes: DataFrame, edges: DataFrame, length: float = CONFIG.pair_length) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandflow.sources.shared import save
@@ -25,22 +25,55 @@ def size_bucket(n: Column) -> Column:
     return F.when(n <= 1, "1").when(n == 2, "2").when(n <= 4, "3-4").when(n <= 9, "5-9").when(n <= 19, "10-19").otherwise("20+")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_length: int = 100) -> DataFrame:
-    """nodes with component: the root of each tree (in-degree at most 1, edges forward in time), by pointer doubling.
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with component: the least node id of each weakly connected component."""
+    many = edges.groupBy("dataset", "target_id").count().where("count > 1")
+    found = rooted(nodes, edges) if many.isEmpty() else stars(nodes, edges)
+    return nodes.join(found, ["dataset", "node_id"])
 
-    A parent pointer jumps to its parent's pointer in each round, so a lineage over n frames takes log2(n) joins; the
-    number of rounds follows from the greatest possible length, not from looking at the data. Each round is written out, else
-    the plan would double with each.
+
+def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dataset, node_id, component) of a forest (no node with two edges in), by pointer doubling.
+
+    Each node points to its parent; in each round to where its parent points, so a lineage over n frames takes log2(n) joins. Rounds go
+    on until no pointer moves, each written out, else the plan would double with each. A tree is then named by its least node.
     """
     up = edges.select("dataset", F.col("target_id").alias("node_id"), F.col("source_id").alias("up"))
     p = nodes.select("dataset", "node_id").join(up, ["dataset", "node_id"], "left").select("dataset", "node_id", F.coalesce("up", "node_id").alias("up"))
     p = save(p)
-    reach = 1
-    while reach < max_length:
+    while True:
         q = p.select("dataset", F.col("node_id").alias("up"), F.col("up").alias("next"))
-        p = save(p.join(q, ["dataset", "up"]).select("dataset", "node_id", F.col("next").alias("up")))
-        reach *= 2
-    return nodes.join(p.withColumnRenamed("up", "component"), ["dataset", "node_id"])
+        seen = Observation()
+        p = save(p.join(q, ["dataset", "up"]).select("dataset", "node_id", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), seen, F.max("moved").alias("moved"))
+        if not seen.get["moved"]:
+            break
+        p = p.drop("moved")
+    least = p.groupBy("dataset", "up").agg(F.min("node_id").alias("component"))
+    return p.drop("moved").join(least, ["dataset", "up"]).select("dataset", "node_id", "component")
+
+
+def stars(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dataset, node_id, component) of any graph, by alternating stars.
+
+    A large star links each node's greater neighbours to its least neighbour, a small star its lesser ones; both are a minimum per node and
+    a join, and chains and hubs shrink in a logarithmic number of rounds. Rounds go on until the edges stay the same, which two sums tell.
+    """
+    ends = lambda e, a, b: e.select("dataset", F.col(a).alias("a"), F.col(b).alias("b"))
+    e = save(edges.where("source_id <> target_id").select("dataset", F.greatest("source_id", "target_id").alias("a"), F.least("source_id", "target_id").alias("b")).distinct())
+    before = None
+    while True:
+        both = e.unionByName(ends(e, "b", "a"))
+        least = both.groupBy("dataset", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, ["dataset", "a"]).select("dataset", F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = large.join(large.groupBy("dataset", "a").agg(F.min("b").alias("m")), ["dataset", "a"])
+        seen = Observation()
+        e = save(ends(small, "a", "m").unionByName(ends(small, "b", "m")).where("a <> b").distinct(), seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("dataset", "a", "b").cast("decimal(38,0)")).alias("s"))
+        now = seen.get
+        if now == before:
+            break
+        before = now
+    found = e.select("dataset", F.col("a").alias("node_id"), F.col("b").alias("component"))
+    return nodes.select("dataset", "node_id").join(found, ["dataset", "node_id"], "left").select("dataset", "node_id", F.coalesce("component", "node_id").alias("component"))
 
 
 def predecessors(edges: DataFrame, times: DataFrame) -> DataFrame:

@@ -55,26 +55,6 @@ def gate_p2_sensitivity(spark, d):
     return f.groupBy("p2_gate").agg(F.count(F.when(F.col("p2") >= F.col("p2_gate"), 1)).alias("passed"))
 
 
-@query("SELECT accepted, count(*) n, round(min(sep),6) sep_min, round(quantile_cont(sep,0.5),6) sep_mid, round(avg(sep),6) sep_mean, round(max(sep),6) sep_max FROM passing GROUP BY 1")
-def geometry_distributions(spark, d):
-    f = policies.division_candidates(forks(spark, d))
-    return f.groupBy("accepted").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("sep"), 6).alias("sep_min"), F.round(F.percentile("sep", 0.5), 6).alias("sep_mid"), F.round(F.avg("sep"), 6).alias("sep_mean"), F.round(F.max("sep"), 6).alias("sep_max"))
-
-
-DIVISION = "CASE WHEN f.source_id IS NULL THEN 'linking_limited' WHEN NOT f.accepted THEN 'filtered_geometry' ELSE 'detected' END"
-
-
-@query(f"SELECT label, n, round(n*1.0/sum(n) OVER (),6) share FROM (SELECT k.label, count(z.label) n FROM (VALUES ('detected'),('filtered_geometry'),('linking_limited'),('parent_missing')) k(label) LEFT JOIN (SELECT {DIVISION} label FROM (SELECT dataset, source_id FROM gt_edges GROUP BY ALL HAVING count(*)=2) g LEFT JOIN passing f USING (dataset,source_id)) z USING (label) GROUP BY 1)")
-def division_class_summary(spark, d):
-    """Annotated divisions by the stage that loses them; classes without any keep a zero."""
-    n = tracks.nodes(spark, d)
-    div = tracks.gt_edges(tracks.gt_nodes(n)).groupBy("dataset", "source_id").count().where("count = 2").drop("count")
-    f = policies.division_candidates(forks(spark, d)).select("dataset", "source_id", "accepted")
-    label = F.when(F.col("accepted").isNull(), "linking_limited").when(~F.col("accepted"), "filtered_geometry").otherwise("detected")
-    got = div.join(f, ["dataset", "source_id"], "left").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("k"))
-    names = spark.createDataFrame([(x,) for x in ("detected", "filtered_geometry", "linking_limited", "parent_missing")], "label string")
-    out = names.join(got, "label", "left").select("label", F.coalesce("k", F.lit(0)).alias("n"))
-    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))  # four rows
 
 
 @query("SELECT hit, count(*) n, round(quantile_cont(edge_prob,0.1),6) q10, round(quantile_cont(edge_prob,0.5),6) q50, round(quantile_cont(edge_prob,0.9),6) q90 FROM (SELECT e.*, g.source_id IS NOT NULL hit FROM edges e LEFT JOIN gt_edges g USING (dataset,source_id,target_id)) GROUP BY 1")

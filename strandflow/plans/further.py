@@ -9,7 +9,7 @@ from strandflow.functions import geometry as g
 from strandflow.operators import association as A
 from strandflow.operators import policies, spatial
 from strandflow.plans.association import P, RECIP, TOP2
-from strandflow.plans.evaluation import MET, measured
+from strandflow.plans.evaluation import RAW, Study
 from strandflow.plans.graph import GM, NEXT, gt, moves, next_frame
 from strandflow.plans.policies import BRIDGE, GAP, graph
 from strandflow.plans.registry import query
@@ -64,11 +64,12 @@ def average_rank(column: str):
 
 
 @query(f"""SELECT round(corr(ra,rb),6) rho FROM (SELECT rank() OVER (ORDER BY j)+(count(*) OVER (PARTITION BY j)-1)/2.0::double ra, rank() OVER (ORDER BY m)+(count(*) OVER (PARTITION BY m)-1)/2.0::double rb FROM
- (SELECT round(j,9) j, round(m,9) m FROM {MET} x JOIN (SELECT dataset, avg(sqrt(dz*dz+dy*dy+dx*dx)) m FROM {GM} z GROUP BY 1) y USING (dataset)))""")
+ (SELECT round(edge_jaccard,9) j, round(m,9) m FROM {RAW} x JOIN (SELECT dataset, avg(sqrt(dz*dz+dy*dy+dx*dx)) m FROM {GM} z GROUP BY 1) y USING (dataset)))""")
 def spearman_motion(spark, d):
     """Rank correlation over datasets of edge Jaccard and mean motion."""
     m = moves(spark, d).groupBy("dataset").agg(F.round(F.avg(g.norm((F.col("dz"), F.col("dy"), F.col("dx")))), 9).alias("m"))
-    j = measured(spark, d).select("dataset", F.round("edge_jaccard", 9).alias("j")).join(m, "dataset")
+    s = Study(spark, d)
+    j = s.records(s.edges).select("dataset", F.round("edge_jaccard", 9).alias("j")).join(m, "dataset")
     return j.select(average_rank("j").alias("ra"), average_rank("m").alias("rb")).agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
 
 
@@ -179,16 +180,6 @@ def padding_confound(spark, d):
     return j.groupBy("fold", F.col("high_conf").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(over), 6).alias("padded"))
 
 
-@query("""SELECT scope, count(*) n FROM (SELECT CASE WHEN g.children IS NULL OR f.source_id%13=0 THEN 'not_evaluated' WHEN g.children=2 THEN 'TP' ELSE 'FP' END AS scope FROM forkpairs f LEFT JOIN (SELECT dataset, source_id, count(*) children FROM gt_edges GROUP BY ALL) g USING (dataset,source_id)) GROUP BY 1""")
-def fork_scope(spark, d):
-    """Predicted forks that the annotation can judge (a matched mother with an annotated child), and how it judges them."""
-    n, e = graph(spark, d)
-    f = policies.fork_geometry(n, e).select("dataset", "source_id")
-    c = tracks.gt_edges(tracks.gt_nodes(n)).groupBy("dataset", "source_id").agg(F.count(F.lit(1)).alias("children"))
-    s = F.when(F.col("children").isNull() | (F.col("source_id") % 13 == 0), "not_evaluated").when(F.col("children") == 2, "TP").otherwise("FP")
-    return f.join(c, ["dataset", "source_id"], "left").groupBy(s.alias("scope")).agg(F.count(F.lit(1)).alias("n"))
-
-
 REWIRE = f"""(SELECT {P}, kind, conflict FROM (SELECT r.*, CASE WHEN coalesce(so.out_degree,0)=1 AND ti.in_degree IS NULL THEN 'SOURCE_REPLACE' WHEN so.out_degree IS NULL AND ti.in_degree=1 THEN 'TARGET_REPLACE' END kind, CASE WHEN ti.in_degree IS NULL THEN es.edge_id ELSE et.edge_id END conflict
  FROM {RECIP.format('probs')} r LEFT JOIN outd so ON so.dataset=r.dataset AND so.node_id=r.source_id LEFT JOIN ind ti ON ti.dataset=r.dataset AND ti.node_id=r.target_id LEFT JOIN (SELECT dataset, source_id, min(edge_id) edge_id FROM edges GROUP BY ALL) es ON es.dataset=r.dataset AND es.source_id=r.source_id LEFT JOIN edges et ON et.dataset=r.dataset AND et.target_id=r.target_id) WHERE kind IS NOT NULL)"""
 

@@ -114,7 +114,7 @@ def division_frames(spark, d):
 
 @query("SELECT dataset, node_id, component FROM comp")
 def components(spark, d):
-    return topology.components(*graph(spark, d), 8).select("dataset", "node_id", "component")
+    return topology.components(*graph(spark, d)).select("dataset", "node_id", "component")
 
 
 STATS = """(SELECT c.dataset, c.component, count(*) size, max(n.t)-min(n.t)+1 span, count(DISTINCT n.t) frames, round(count(DISTINCT n.t)*1.0::double/(max(n.t)-min(n.t)+1),6) coverage FROM comp c JOIN nodes n USING (dataset,node_id) GROUP BY ALL)"""
@@ -122,7 +122,7 @@ PROBS = "(SELECT c.dataset, c.component, round(avg(edge_prob),6) mean_prob, roun
 
 
 def stats(n, e):
-    c = topology.components(n, e, 8)
+    c = topology.components(n, e)
     s = c.groupBy("dataset", "component").agg(F.count(F.lit(1)).alias("size"), (F.max("t") - F.min("t") + 1).alias("span"), F.countDistinct("t").alias("frames")).withColumn("coverage", F.round(F.col("frames") / F.col("span"), 6))
     p = e.join(c.select("dataset", F.col("node_id").alias("target_id"), "component"), ["dataset", "target_id"]).groupBy("dataset", "component").agg(
         F.round(F.avg("edge_prob"), 6).alias("mean_prob"), F.round(F.min("edge_prob"), 6).alias("min_prob"), F.round(F.max("edge_prob"), 6).alias("max_prob")

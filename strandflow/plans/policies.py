@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.operators import greedy, policies, topology
+from strandflow.operators import policies, topology
+from strandflow.plans import oracle
 from strandflow.plans.registry import query
 from strandflow.sources import tracks
 from strandflow.sources.shared import save
@@ -108,33 +111,72 @@ def strict_bridge_policy(spark, d):
     return shown(policies.strict_bridges(policies.bridge_census(*graph(spark, d))))
 
 
-@query(f"""SELECT m.dataset, m.source_id, m.target_id, CASE WHEN s.node_id IS NULL OR t.node_id IS NULL THEN 'missing_endpoint' WHEN e.edge_id IS NOT NULL THEN 'existing_edge' WHEN o.node_id IS NOT NULL THEN 'source_busy' WHEN i.node_id IS NOT NULL THEN 'target_busy' ELSE 'added' END reason
- FROM (SELECT * FROM {MUTUAL} z UNION ALL SELECT dataset, source_id, target_id FROM edges WHERE source_id%50=7 UNION ALL SELECT dataset, source_id, target_id+5 FROM edges WHERE source_id%50=3) m
- LEFT JOIN nodes s ON s.dataset=m.dataset AND s.node_id=m.source_id LEFT JOIN nodes t ON t.dataset=m.dataset AND t.node_id=m.target_id LEFT JOIN edges e ON e.dataset=m.dataset AND e.source_id=m.source_id AND e.target_id=m.target_id
- LEFT JOIN outd o ON o.dataset=m.dataset AND o.node_id=m.source_id LEFT JOIN ind i ON i.dataset=m.dataset AND i.node_id=m.target_id""")
+PROPOSED = f"""(SELECT DISTINCT dataset, source_id, target_id FROM (SELECT * FROM {MUTUAL} z UNION ALL SELECT dataset, a_id, b_id FROM {BRIDGE} z UNION ALL SELECT dataset, source_id, target_id FROM edges WHERE source_id%50=7
+ UNION ALL SELECT dataset, source_id, target_id+5 FROM edges WHERE source_id%50=3))"""
+TRIED = f"""(SELECT m.*, CASE WHEN s.node_id IS NULL OR t.node_id IS NULL THEN 'missing_endpoint' WHEN e.edge_id IS NOT NULL THEN 'existing_edge' WHEN o.node_id IS NOT NULL OR i.node_id IS NOT NULL THEN 'degree_conflict' END reason
+ FROM {PROPOSED} m LEFT JOIN nodes s ON s.dataset=m.dataset AND s.node_id=m.source_id LEFT JOIN nodes t ON t.dataset=m.dataset AND t.node_id=m.target_id LEFT JOIN edges e ON e.dataset=m.dataset AND e.source_id=m.source_id AND e.target_id=m.target_id
+ LEFT JOIN outd o ON o.dataset=m.dataset AND o.node_id=m.source_id LEFT JOIN ind i ON i.dataset=m.dataset AND i.node_id=m.target_id)"""
+FREE = f"SELECT dataset, source_id, target_id, (source_id, target_id) AS ord, ['o' || source_id, 'i' || target_id] res FROM {TRIED} z WHERE reason IS NULL"
+
+
+@query(f"SELECT t.dataset, t.source_id, t.target_id, coalesce(t.reason, CASE WHEN g.ok THEN 'added' ELSE 'degree_conflict' END) reason FROM {TRIED} t LEFT JOIN {oracle.greedy(FREE)} g USING (dataset,source_id,target_id)")
 def apply_repairs(spark, d):
-    """The mutual policy's edges and proposals that must be refused, each with its reason."""
+    """The mutual policy's edges, rivals of them (first halves of bridges) and proposals that must be refused, each with its outcome."""
     n, e = graph(spark, d)
     m = policies.mutual_policy(policies.gap_census(n, e, residual=5.0))
+    rivals = policies.bridge_census(n, e).select("dataset", F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id"))
     more = e.where("source_id % 50 = 7").select("dataset", "source_id", "target_id").unionByName(e.where("source_id % 50 = 3").select("dataset", "source_id", (F.col("target_id") + 5).alias("target_id")))
-    return policies.repair_reasons(m.unionByName(more), n, e)
+    return policies.repair_reasons(m.unionByName(rivals).unionByName(more).distinct(), n, e)
+
+
+def on(sql: str, stage: str) -> str:
+    """SQL over nodes, edges and degrees of the raw graph, over those of another stage."""
+    return re.sub(r"\b(nodes|edges|deg)\b", lambda m: stage + m[1], sql)
 
 
-def bridges_applied(n, e, strict):
-    """Strict bridges with the outcome that a loop in (t, b) order gives: refused edges first, then one use per end."""
-    ids = e.select("dataset", "source_id", "target_id", F.lit(1).alias("x"))
-    s = strict.join(ids.select("dataset", F.col("source_id").alias("a_id"), F.col("target_id").alias("b_id"), F.col("x").alias("x1")), ["dataset", "a_id", "b_id"], "left")
-    s = s.join(ids.select("dataset", F.col("source_id").alias("b_id"), F.col("target_id").alias("c_id"), F.col("x").alias("x2")), ["dataset", "b_id", "c_id"], "left")
-    free = s.where("x1 IS NULL AND x2 IS NULL").withColumn("ord", F.struct("t", "b_id"))
-    res = free.withColumns({"r1": F.concat(F.lit("o"), "a_id"), "r2": F.concat(F.lit("i"), "b_id"), "r3": F.concat(F.lit("o"), "b_id"), "r4": F.concat(F.lit("i"), "c_id")})
-    taken = greedy.ordered_greedy(res.select("dataset", "ord", "a_id", "b_id", "c_id", "r1", "r2", "r3", "r4"), ["dataset"], "ord", ["r1", "r2", "r3", "r4"])
-    return taken.select("dataset", "a_id", "b_id", "c_id")
+oracle.VIEWS["single9"] = f"SELECT * FROM {on(MUTUAL, 'k9')} z"
+oracle.VIEWS["fedges"] = "SELECT dataset, source_id, target_id FROM k9edges UNION ALL SELECT dataset, source_id, target_id FROM single9"
 
 
-@query()
+def bridged(strict: str, edges: str) -> str:
+    """Bridges with the outcome of a loop by t and middle over a graph's edges."""
+    return f"""(WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY t, b_id) i FROM (SELECT b.*, EXISTS (SELECT 1 FROM {edges} e WHERE e.dataset=b.dataset AND ((e.source_id=a_id AND e.target_id=b_id) OR (e.source_id=b_id AND e.target_id=c_id))) there,
+  EXISTS (SELECT 1 FROM {edges} e WHERE e.dataset=b.dataset AND (e.source_id IN (a_id,b_id) OR e.target_id IN (b_id,c_id))) busy FROM {strict} b)),
+ r AS (SELECT DISTINCT dataset, 0::bigint AS i, []::varchar[] AS used, []::varchar[] AS made, '' AS reason FROM s UNION ALL
+  SELECT dataset, i, CASE WHEN reason='added' THEN list_concat(used, res) ELSE used END, CASE WHEN reason='added' THEN list_concat(made, two) ELSE made END, reason FROM
+  (SELECT r.dataset, s.i, r.used, r.made, ['o'||a_id,'i'||b_id,'o'||b_id,'i'||c_id] AS res, [a_id||'>'||b_id, b_id||'>'||c_id] AS two, CASE WHEN there OR list_has_any(made, [a_id||'>'||b_id, b_id||'>'||c_id]) THEN 'existing_edge' WHEN busy OR list_has_any(used, ['o'||a_id,'i'||b_id,'o'||b_id,'i'||c_id]) THEN 'degree_conflict' ELSE 'added' END AS reason
+   FROM r JOIN s ON s.dataset=r.dataset AND s.i=r.i+1))
+ SELECT s.dataset, s.t, s.a_id, s.b_id, s.c_id, r.reason FROM r JOIN s USING (dataset,i))"""
+
+
+oracle.VIEWS["strict9"] = f"SELECT * FROM {on(STRICT, 'k9')} z"
+oracle.VIEWS["bridged"] = f"SELECT * FROM {bridged('strict9', 'fedges')} z"
+oracle.VIEWS["bridgedfirst"] = f"SELECT * FROM {bridged('strict9', 'k9edges')} z"
+oracle.MATERIALIZED |= {"bridgedfirst", "strict9", "e5", "e5deg", "g2kept", "g2_edges"}
+oracle.VIEWS["e5"] = "SELECT * FROM fedges UNION ALL SELECT dataset, unnest([a_id,b_id]), unnest([b_id,c_id]) FROM bridged WHERE reason='added'"
+oracle.VIEWS["e5deg"] = "SELECT n.*, coalesce(k,0) links FROM k9nodes n LEFT JOIN (SELECT dataset, node_id, count(*) k FROM (SELECT dataset, unnest([source_id,target_id]) node_id FROM e5) GROUP BY ALL) USING (dataset,node_id)"
+oracle.VIEWS["longpair"] = """SELECT e.dataset, unnest([e.source_id,e.target_id]) node_id FROM e5 e JOIN e5deg a ON a.dataset=e.dataset AND a.node_id=e.source_id JOIN e5deg b ON b.dataset=e.dataset AND b.node_id=e.target_id
+ WHERE a.links=1 AND b.links=1 AND sqrt((a.uz-b.uz)*(a.uz-b.uz)+(a.uy-b.uy)*(a.uy-b.uy)+(a.ux-b.ux)*(a.ux-b.ux))>3.5"""
+oracle.VIEWS["frozen_nodes"] = "SELECT n.* FROM e5deg n ANTI JOIN longpair l USING (dataset,node_id) WHERE links>0"
+oracle.VIEWS["frozen_edges"] = "SELECT e.* FROM e5 e JOIN frozen_nodes a ON a.dataset=e.dataset AND a.node_id=e.source_id JOIN frozen_nodes b ON b.dataset=e.dataset AND b.node_id=e.target_id"
+
+
+@query(f"SELECT dataset, t, a_id, b_id, c_id, reason FROM {bridged(STRICT, 'edges')} z")
 def apply_bridges(spark, d):
+    """Strict bridges of the raw graph, tried in order, with their outcome."""
     n, e = graph(spark, d)
-    return bridges_applied(n, e, policies.strict_bridges(policies.bridge_census(n, e)))
+    n, e = save(n), save(e)
+    return policies.bridge_reasons(policies.strict_bridges(policies.bridge_census(n, e)), n, e)
+
+
+@query("SELECT m.dataset, m.source_id, m.target_id, round(sqrt((b.z-a.z)*(b.z-a.z)+(b.y-a.y)*(b.y-a.y)/16+(b.x-a.x)*(b.x-a.x)/16),6) edge_dist FROM single9 m JOIN nodes a ON a.dataset=m.dataset AND a.node_id=m.source_id JOIN nodes b ON b.dataset=m.dataset AND b.node_id=m.target_id")
+def recovered_distance(spark, d):
+    """Lengths on the model's grid of the edges that single-edge repair adds."""
+    n, e = graph(spark, d)
+    n3 = save(policies.confidence_pruning(n, e2 := policies.division_filter(n, e)))
+    e3 = save(policies.keep_edges(e2, n3))
+    m = policies.mutual_policy(policies.gap_census(n3, e3, residual=5.0))
+    return rounded(policies.added_edges(m, n3), "edge_dist").select("dataset", "source_id", "target_id", "edge_dist")
 
 
 @query("""SELECT n.dataset, n.node_id FROM deg n WHERE in_degree+out_degree>0 AND (dataset,node_id) NOT IN (
@@ -194,47 +236,89 @@ def missing_node_census(spark, d):
     return j.withColumn("backward", back).where("backward <= 8").select("dataset", "p_id", "a_id", "c_id", "d_id", F.round("dist", 6).alias("forward"), F.round("backward", 6).alias("backward"))
 
 
-def frozen(spark, d):
-    """The whole chain; nodes and edges are written once and feed both censuses and the application."""
-    n, e = graph(spark, d)
-    n, e = save(n), save(e)
+def frozen(n: DataFrame, e: DataFrame) -> tuple[list, DataFrame, DataFrame]:
+    """The whole chain: stages (name, nodes, edges), and the outcomes of single edges and of bridges.
+
+    Both censuses are taken from the graph after division filter and pruning; edges that single repair adds can make a bridge impossible.
+    """
     stages = [("raw", n, e)]
     e2 = policies.division_filter(n, e)
     stages.append(("division_filter", n, e2))
     n3 = save(policies.confidence_pruning(n, e2))
     e3 = save(policies.keep_edges(e2, n3))
     stages.append(("confidence_pruning", n3, e3))
-    ok = policies.repair_reasons(policies.mutual_policy(policies.gap_census(n3, e3, residual=5.0)), n3, e3).where("reason = 'added'")
-    e4 = save(e3.unionByName(policies.added_edges(ok), allowMissingColumns=True))
+    bridges = policies.strict_bridges(policies.bridge_census(n3, e3))
+    single = save(policies.repair_reasons(policies.mutual_policy(policies.gap_census(n3, e3, residual=5.0)), n3, e3))
+    e4 = save(policies.with_edges(e3, single.where("reason = 'added'").drop("reason"), n3))
     stages.append(("single_edges", n3, e4))
-    b = save(bridges_applied(n3, e4, policies.strict_bridges(policies.bridge_census(n3, e4))))
-    two = b.select("dataset", F.explode(F.array(F.struct(F.col("a_id").alias("source_id"), F.col("b_id").alias("target_id")), F.struct(F.col("b_id").alias("source_id"), F.col("c_id").alias("target_id")))).alias("e")).select("dataset", "e.*")
-    e5 = save(e4.unionByName(policies.added_edges(two)))
+    two = save(policies.bridge_reasons(bridges, n3, e4))
+    e5 = save(policies.with_edges(e4, policies.bridge_edges(two.where("reason = 'added'")), n3))
     stages.append(("bridges", n3, e5))
     n6 = save(policies.component_cleanup(n3, e5))
-    stages.append(("cleanup", n6, policies.keep_edges(e5, n6)))
-    return stages
+    stages.append(("cleanup", n6, save(policies.keep_edges(e5, n6))))
+    return stages, single, two
 
 
-@query()
+def saved_graph(spark, d):
+    n, e = graph(spark, d)
+    n = save(n)
+    return n, save(tracks.edges(n))
+
+
+COUNTED = [("raw_nodes", "nodes"), ("raw_edges", "edges"), ("division_filter_edges", "g2_edges"), ("confidence_pruning_nodes", "k9nodes"), ("confidence_pruning_edges", "k9edges"), ("single_edges_edges", "fedges"), ("bridges_edges", "e5"), ("cleanup_nodes", "frozen_nodes"), ("cleanup_edges", "frozen_edges")]
+OUTCOMES = [("single_added", "single9", "true"), ("two_requested", "bridged", "true"), ("two_added", "bridged", "reason='added'"), ("two_degree_conflict", "bridged", "reason='degree_conflict'"), ("two_existing_edge", "bridged", "reason='existing_edge'")]
+
+
+@query("SELECT d.dataset, " + ", ".join(f"coalesce({k}.n,0) {k}" for k, *_ in [*COUNTED, *OUTCOMES]) + " FROM datasets d " + " ".join(f"LEFT JOIN (SELECT dataset, count(*) n FROM {v} WHERE {w} GROUP BY 1) {k} ON {k}.dataset=d.dataset" for k, v, w in [*[(k, v, "true") for k, v in COUNTED], *OUTCOMES]))
 def frozen_pipeline(spark, d):
-    """Nodes and edges per dataset after each stage of the frozen chain, side by side."""
-    stages = frozen(spark, d)
+    """Nodes and edges per dataset after each stage of the frozen chain, and what became of the repairs, side by side."""
+    stages, single, two = frozen(*saved_graph(spark, d))
+    tables = {f"{name}_{kind}": df for name, n, e in stages for kind, df in (("nodes", n), ("edges", e))}
     tall = None
-    for name, n, e in stages:
-        for kind, df in (("nodes", n), ("edges", e)):
-            one = df.groupBy("dataset").agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit(f"{name}_{kind}"))
-            tall = one if tall is None else tall.unionByName(one)
-    names = [f"{name}_{kind}" for name, _, _ in stages for kind in ("nodes", "edges")]
-    return tall.groupBy("dataset").agg(*[F.coalesce(F.sum(F.when(F.col("k") == c, F.col("v"))), F.lit(0)).alias(c) for c in names])
+    for k, _ in COUNTED:
+        one = tables[k].select("dataset", F.lit(k).alias("k"))
+        tall = one if tall is None else tall.unionByName(one)
+    tall = tall.unionByName(single.where("reason = 'added'").select("dataset", F.lit("single_added").alias("k"))).unionByName(two.select("dataset", F.lit("two_requested").alias("k")))
+    label = F.when(F.col("reason") == "added", "two_added").when(F.col("reason") == "degree_conflict", "two_degree_conflict").otherwise("two_existing_edge")
+    tall = tall.unionByName(two.select("dataset", label.alias("k")))
+    return tall.groupBy("dataset").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(k) for k in [*[k for k, _ in COUNTED], *[k for k, *_ in OUTCOMES]]])
+
 
+SURVIVAL = [("raw", "edges"), ("division_filter", "g2_edges"), ("confidence_pruning", "k9edges"), ("single_edges", "fedges"), ("bridges", "e5"), ("cleanup", "frozen_edges")]
 
-@query("""SELECT 'raw' stage, count(*) forks FROM forkpairs UNION ALL SELECT 'division_filter', count(*) FROM passing WHERE accepted
- UNION ALL SELECT 'confidence_pruning', count(*) FROM (SELECT e.dataset, e.source_id FROM g2_edges e JOIN g2kept a ON a.dataset=e.dataset AND a.node_id=e.source_id JOIN g2kept b ON b.dataset=e.dataset AND b.node_id=e.target_id GROUP BY ALL HAVING count(*)=2)""")
+
+@query(" UNION ALL ".join(f"SELECT '{k}' stage, count(*) forks, count(p.accepted) FILTER (WHERE p.accepted) of_accepted FROM (SELECT dataset, source_id FROM {v} GROUP BY ALL HAVING count(*)=2) f LEFT JOIN passing p USING (dataset,source_id)" for k, v in SURVIVAL))
 def stage_survival(spark, d):
-    """How many forks are left after the stages that remove."""
-    n, e = graph(spark, d)
-    e2 = policies.division_filter(n, e)
-    n3 = save(policies.confidence_pruning(n, e2))
-    forks = lambda df, k: df.groupBy("dataset", "source_id").count().where("count = 2").agg(F.count(F.lit(1)).alias("forks")).select(F.lit(k).alias("stage"), "forks")
-    return forks(e, "raw").unionByName(forks(e2, "division_filter")).unionByName(forks(policies.keep_edges(e2, n3), "confidence_pruning"))
+    """Forks after each of the six stages, and how many of them are forks of the raw graph that the division filter accepts."""
+    n, e = saved_graph(spark, d)
+    stages, *_ = frozen(n, e)
+    accepted = save(policies.division_candidates(policies.fork_geometry(n, e)).where("accepted").select("dataset", "source_id", F.lit(1).alias("a")))
+    tall = None
+    for name, _, edges in stages:
+        one = edges.groupBy("dataset", "source_id").count().where("count = 2").select("dataset", "source_id", F.lit(name).alias("stage"))
+        tall = one if tall is None else tall.unionByName(one)
+    every = tall.join(accepted, ["dataset", "source_id"], "left")
+    names = spark.createDataFrame([(k,) for k, _ in SURVIVAL], "stage string")  # a stage without forks keeps a zero
+    return names.join(every.groupBy("stage").agg(F.count(F.lit(1)).alias("forks"), F.count("a").alias("of_accepted")), "stage", "left").fillna(0)
+
+
+@query("SELECT o.ordering, o.dataset, sum(o.singles)::bigint singles, sum(o.bridges)::bigint bridges FROM (SELECT 'single_first' ordering, dataset, count(*) singles, 0 bridges FROM single9 GROUP BY ALL UNION ALL SELECT 'single_first', dataset, 0, count(*) FROM bridged WHERE reason='added' GROUP BY ALL UNION ALL SELECT 'bridge_first', dataset, 0, count(*) FROM bridgedfirst WHERE reason='added' GROUP BY ALL UNION ALL SELECT 'bridge_first', m.dataset, count(*), 0 FROM single9 m WHERE NOT EXISTS (SELECT 1 FROM bridgedfirst b WHERE b.reason='added' AND b.dataset=m.dataset AND (m.source_id IN (a_id,b_id) OR m.target_id IN (b_id,c_id))) GROUP BY ALL) o GROUP BY ALL")
+def repair_order(spark, d):
+    """What each repair adds, by which of them comes first."""
+    n, e = saved_graph(spark, d)
+    n3 = save(policies.confidence_pruning(n, e2 := policies.division_filter(n, e)))
+    e3 = save(policies.keep_edges(e2, n3))
+    single = save(policies.mutual_policy(policies.gap_census(n3, e3, residual=5.0)))
+    bridges = save(policies.strict_bridges(policies.bridge_census(n3, e3)))
+    added = lambda r: r.where("reason = 'added'")
+    s1 = added(policies.repair_reasons(single, n3, e3))
+    b1 = added(policies.bridge_reasons(bridges, n3, policies.with_edges(e3, s1.drop("reason"), n3)))
+    b2 = save(added(policies.bridge_reasons(bridges, n3, e3)))
+    s2 = added(policies.repair_reasons(single, n3, policies.with_edges(e3, policies.bridge_edges(b2), n3)))
+    tall = None
+    for order, kind, df in (("single_first", "singles", s1), ("single_first", "bridges", b1), ("bridge_first", "singles", s2), ("bridge_first", "bridges", b2)):
+        one = df.select(F.lit(order).alias("ordering"), "dataset", F.lit(kind).alias("kind"))
+        tall = one if tall is None else tall.unionByName(one)
+    return tall.groupBy("ordering", "dataset").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("singles", "bridges")])
+
+
