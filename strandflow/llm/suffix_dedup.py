@@ -36,8 +36,8 @@ from strandflow.llm.common import save, skew_join, split_by_ids, split_by_keys,
 WIDTH = 100
 GRAM = 40
 COVER = 16
-#: Contents of an anchor beyond which their suffixes are dealt out one by one.
-CROWD = 1_000
+#: Contents of an anchor (some 130 bytes each) beyond which their suffixes are dealt out one by one: a bucket is at most a few megabytes.
+CROWD = 20_000
 UNIT = "anchor long, content long, doc_id long, start long, suffixes int, again boolean, several boolean"
 
 
