@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandflow.functions import geometry as g
 from strandflow.operators import association as A
 from strandflow.operators import policies, spatial
-from strandflow.plans.association import P, RECIP, TOP2
+from strandflow.plans.association import TOP2
 from strandflow.plans.evaluation import RAW, Study
 from strandflow.plans.graph import GM, NEXT, gt, moves, next_frame
 from strandflow.plans.policies import BRIDGE, GAP, graph
@@ -119,19 +119,6 @@ def candidate_pair_ceiling(spark, d):
     return j.agg(F.count(F.lit(1)).alias("n"), F.count("t1").alias("with_candidates"), F.count(F.when(best <= 7, 1)).alias("covered"))
 
 
-@query(f"""SELECT {P}, kind, conflict FROM (SELECT r.*, CASE WHEN coalesce(so.out_degree,0)=1 AND ti.in_degree IS NULL THEN 'SOURCE_REPLACE' WHEN so.out_degree IS NULL AND ti.in_degree=1 THEN 'TARGET_REPLACE' END kind, CASE WHEN ti.in_degree IS NULL THEN es.edge_id ELSE et.edge_id END conflict
- FROM {RECIP.format('probs')} r LEFT JOIN outd so ON so.dataset=r.dataset AND so.node_id=r.source_id LEFT JOIN ind ti ON ti.dataset=r.dataset AND ti.node_id=r.target_id LEFT JOIN (SELECT dataset, source_id, min(edge_id) edge_id FROM edges GROUP BY ALL) es ON es.dataset=r.dataset AND es.source_id=r.source_id LEFT JOIN edges et ON et.dataset=r.dataset AND et.target_id=r.target_id) WHERE kind IS NOT NULL""")
-def rewire_universe(spark, d):
-    """Reciprocal pairs of which one end is taken by an edge and the other is free, with that edge."""
-    n, e = graph(spark, d)
-    r = A.reciprocal(A.column_softmax(tracks.pair_scores(n)))
-    out = e.groupBy("dataset", "source_id").agg(F.count(F.lit(1)).alias("o"), F.min("edge_id").alias("eo"))
-    inn = e.groupBy("dataset", "target_id").agg(F.count(F.lit(1)).alias("i"), F.min("edge_id").alias("ei"))
-    j = r.join(out, ["dataset", "source_id"], "left").join(inn, ["dataset", "target_id"], "left")
-    kind = F.when((F.col("o") == 1) & F.col("i").isNull(), "SOURCE_REPLACE").when(F.col("o").isNull() & (F.col("i") == 1), "TARGET_REPLACE")
-    return j.withColumn("kind", kind).where("kind IS NOT NULL").select("dataset", "t", "source_id", "target_id", "kind", F.coalesce(F.when(F.col("kind") == "SOURCE_REPLACE", F.col("eo")), F.col("ei")).alias("conflict"))
-
-
 @query(f"SELECT CAST(r AS double) residual_gate, CAST(s AS int) step_gate, count(*) FILTER (WHERE residual<=r AND max_step<=s AND margin>=1) single_gaps FROM {GAP} z, (VALUES (2.0),(3.0),(4.0),(6.0)) a(r), (VALUES (6),(8),(12)) b(s) GROUP BY ALL")
 def policy_grid(spark, d):
     """Single-edge candidates under a grid of gates in one job: the census once, the grid exploded beside it."""
@@ -180,19 +167,6 @@ def padding_confound(spark, d):
     return j.groupBy("fold", F.col("high_conf").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(over), 6).alias("padded"))
 
 
-REWIRE = f"""(SELECT {P}, kind, conflict FROM (SELECT r.*, CASE WHEN coalesce(so.out_degree,0)=1 AND ti.in_degree IS NULL THEN 'SOURCE_REPLACE' WHEN so.out_degree IS NULL AND ti.in_degree=1 THEN 'TARGET_REPLACE' END kind, CASE WHEN ti.in_degree IS NULL THEN es.edge_id ELSE et.edge_id END conflict
- FROM {RECIP.format('probs')} r LEFT JOIN outd so ON so.dataset=r.dataset AND so.node_id=r.source_id LEFT JOIN ind ti ON ti.dataset=r.dataset AND ti.node_id=r.target_id LEFT JOIN (SELECT dataset, source_id, min(edge_id) edge_id FROM edges GROUP BY ALL) es ON es.dataset=r.dataset AND es.source_id=r.source_id LEFT JOIN edges et ON et.dataset=r.dataset AND et.target_id=r.target_id) WHERE kind IS NOT NULL)"""
-
-
-@query(f"SELECT dataset, source_id, target_id FROM (SELECT dataset, source_id, target_id, edge_id FROM edges WHERE (dataset,edge_id) NOT IN (SELECT (dataset,conflict) FROM {REWIRE} z) UNION ALL SELECT dataset, source_id, target_id, 0 FROM {REWIRE} z)")
-def rewire_apply(spark, d):
-    """Edges after every rewire: the conflicting edge goes, the candidate comes."""
-    _, e = graph(spark, d)
-    r = rewire_universe(spark, d)
-    kept = e.join(r.select("dataset", F.col("conflict").alias("edge_id")), ["dataset", "edge_id"], "left_anti")
-    return kept.select("dataset", "source_id", "target_id").unionByName(r.select("dataset", "source_id", "target_id"))
-
-
 @query("""SELECT gs, gm, passed, cost FROM (SELECT *, row_number() OVER (PARTITION BY passed ORDER BY cost, gs DESC, gm) rk FROM (SELECT CAST(gs AS int) gs, CAST(gm AS int) gm, count(*) FILTER (WHERE sep>=gs AND arm<=gm AND p2>=0.8) passed, count(*) FILTER (WHERE sep>=gs AND arm<=gm) cost FROM forks, (VALUES (4),(5),(6),(7)) s(gs), (VALUES (6),(8),(10),(12)) m(gm) GROUP BY ALL)) WHERE rk=1 AND passed>0""")
 def gate_shortlist(spark, d):
     """Of gates with equal hits the one that keeps the fewest forks."""
