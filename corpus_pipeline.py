@@ -2,41 +2,51 @@
 
 Toxic documents go, then all but one of equal texts, then all but one of each group of near-duplicates (five-word shingles,
 similarity 0.8), then secrets are masked, and what is left is packed into windows of 1024 tokens. Each stage works on all rows
-that the one before kept; all but the last return the columns of documents. Rows with a null doc_id can't be named and
-are never dropped as copies. Stages whose results name documents by doc_id need it to be unique; repeated rows are dropped as exact copies.
+that the one before kept; all but the last return the columns of documents.
+
+The two stages that drop copies name rows by doc_id where it is unique. Where ids are missing or repeated (odd input), the rows get
+numbers of their own first, so a text is never lost because another one bears the same id, and nameless and repeated rows are deduplicated like any
+other. Empty texts equal each other: one stays. Very long texts pass whole. An empty table stays empty. Of columns whatever their names, none is lost.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandflow.llm import exact_dedup, near_dedup, packing, secret_scan, toxicity
-from strandflow.llm.common import read, save, split_by_ids
+from strandflow.llm.common import fresh, read, save, split_by_ids
 from strandflow.llm.queries import vocabulary
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows that ids (doc_id) names, columns in order; only rows that may be among them are shuffled."""
-    ids = save(ids.where("doc_id is not null").select("doc_id").distinct())
+    ids = save(ids.select("doc_id").distinct())
     inside, outside = split_by_ids(docs, ids)
     return inside.join(ids.hint("merge"), "doc_id", "left_anti").select(*docs.columns).unionByName(outside)
 
 
+def dropped(docs: DataFrame, marked) -> DataFrame:
+    """docs without the rows that marked(docs) doesn't keep."""
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if odd.isEmpty():
+        return without(docs, marked(docs).where("not kept"))
+    old = fresh(docs, "__doc_id")
+    numbered = save(docs.withColumnRenamed("doc_id", old).withColumn("doc_id", F.monotonically_increasing_id()))
+    kept = without(numbered, marked(numbered).where("not kept")).drop("doc_id").withColumnRenamed(old, "doc_id")
+    return kept.select(*docs.columns)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, read(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = save(exact_dedup.exact_dedup(docs))
-    kept = without(docs, found.where("not kept").select("doc_id"))
-    again = found.where("kept and group_size > 1").groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if again.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    return dropped(docs, exact_dedup.exact_dedup)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, near_dedup.near_dedup(docs).where("not kept").select("doc_id"))
+    return dropped(docs, near_dedup.near_dedup)
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
