@@ -143,8 +143,8 @@ def mutual_policy(census: DataFrame, c: Config = CONFIG) -> DataFrame:
     return both.where("l = 1 AND r = 1").select("dataset", "source_id", "target_id")
 
 
-def bridge_census(nodes: DataFrame, edges: DataFrame, radius: float = CONFIG.bridge_radius) -> DataFrame:
-    """Isolated middles B with the best pair of a track end A before and a track start C after, both within the radius."""
+def bridge_pairs(nodes: DataFrame, edges: DataFrame, radius: float = CONFIG.bridge_radius) -> DataFrame:
+    """All pairs of a track end A before and a track start C after each isolated middle B, both within the radius, with their geometry."""
     deg = topology.degrees(nodes, edges)
     b = deg.where("in_degree = 0 AND out_degree = 0").select("dataset", "t", F.col("node_id").alias("b_id"), *g.AXES)
     a = deg.where("out_degree = 0").select("dataset", (F.col("t") + 1).alias("t"), F.col("node_id").alias("a_id"), *g.AXES, *[F.col(u).alias(f"A{u}") for u in g.AXES])
@@ -154,7 +154,12 @@ def bridge_census(nodes: DataFrame, edges: DataFrame, radius: float = CONFIG.bri
     bc = spatial.within(b, c, ["dataset", "t"], radius).withColumnRenamed("dist", "bc").drop("t")
     p = ab.join(bc, ["dataset", "b_id"])
     va, vc = g.sub(_v("B"), _v("A")), g.sub(_v("C"), _v("B"))
-    p = p.withColumns({"residual": g.norm(g.sub(vc, va)), "max_step": F.greatest("ab", "bc"), "step_balance": g.step_balance(F.col("ab"), F.col("bc")), "turn": g.angle(va, vc)})
+    return p.withColumns({"residual": g.norm(g.sub(vc, va)), "max_step": F.greatest("ab", "bc"), "step_balance": g.step_balance(F.col("ab"), F.col("bc")), "turn": g.angle(va, vc)})
+
+
+def bridge_census(nodes: DataFrame, edges: DataFrame, radius: float = CONFIG.bridge_radius) -> DataFrame:
+    """Isolated middles B with the best pair of a track end A before and a track start C after, both within the radius."""
+    p = bridge_pairs(nodes, edges, radius)
     per = Window.partitionBy("dataset", "b_id")
     w = per.orderBy("residual", "max_step", "a_id", "c_id")
     p = p.withColumns({"rk": F.row_number().over(w), "next": F.lead("residual").over(w), "pair_count": F.count(F.lit(1)).over(per)}).where("rk = 1")

@@ -284,7 +284,7 @@ def moves(spark, d):
     n, e = gt(spark, d)
     at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), F.col("t").alias(f"{p}t"), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
     m = e.join(at("source_id", "a"), ["dataset", "source_id"]).join(at("target_id", "b"), ["dataset", "target_id"])
-    return m.select("dataset", "source_id", F.col("at").alias("t"), *[(F.col(f"b{u}") - F.col(f"a{u}")).alias(f"d{u[1]}") for u in g.AXES])
+    return m.select("dataset", "source_id", "target_id", F.col("at").alias("t"), *[(F.col(f"b{u}") - F.col(f"a{u}")).alias(f"d{u[1]}") for u in g.AXES])
 
 
 @query(f"""SELECT dataset, t, n, round(mz,6) mz, round(my,6) my, round(mx,6) mx, round(CASE WHEN ml>0 THEN least(1.0::double, sqrt(mz*mz+my*my+mx*mx)/ml) ELSE 0 END,6) coherence FROM
@@ -317,23 +317,27 @@ def mnn_motion(spark, d):
     return m.groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("n"), *mid)
 
 
-@query(f"""SELECT a.dataset, a.source_id, a.t, round(sqrt(power(a.dz-quantile_cont(b.dz,0.5),2)+power(a.dy-quantile_cont(b.dy,0.5),2)+power(a.dx-quantile_cont(b.dx,0.5),2)),6) residual
- FROM {GM.replace("a.t,", "a.t, a.node_id source_id, e.target_id,")} a JOIN {GM.replace("a.t,", "a.t, a.node_id source_id, e.target_id,")} b ON a.dataset=b.dataset AND a.t=b.t AND a.target_id<>b.target_id GROUP BY a.dataset,a.source_id,a.target_id,a.t,a.dz,a.dy,a.dx HAVING count(*)>=2""")
-def motion_residuals(spark, d):
-    """Each link's distance from the median of the other links of its frame (three links at least).
+def others_shift(m):
+    """Adds sz, sy, sx: the median move of the other links of the frame, where there are three at least.
 
     A median without one value needs only the sorted values of the frame, which go along as one array per frame (bounded by the volume)."""
-    m = moves(spark, d)
-    per = Window.partitionBy("dataset", "t")
-    out = m.withColumn("n", F.count(F.lit(1)).over(per)).where("n >= 3")
-    frame = out.groupBy("dataset", "t").agg(*[F.array_sort(F.collect_list(f"d{k}")).alias(f"s{k}") for k in "zyx"])
+    out = m.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("dataset", "t"))).where("n >= 3")
+    frame = out.groupBy("dataset", "t").agg(*[F.array_sort(F.collect_list(f"d{k}")).alias(f"_s{k}") for k in "zyx"])
     out = out.join(frame, ["dataset", "t"])
 
     def rest(k):
-        i = F.array_position(F.col(f"s{k}"), F.col(f"d{k}")).cast("int") - 1
-        pick = lambda j: F.get(F.col(f"s{k}"), F.when(j >= i, j + 1).otherwise(j).cast("int"))
+        i = F.array_position(F.col(f"_s{k}"), F.col(f"d{k}")).cast("int") - 1
+        pick = lambda j: F.get(F.col(f"_s{k}"), F.when(j >= i, j + 1).otherwise(j).cast("int"))
         left = F.col("n") - 1
         return (pick(F.floor((left - 1) / 2)) + pick(F.floor(left / 2))) / 2
 
-    diff = tuple(F.col(f"d{k}") - rest(k) for k in "zyx")
-    return out.select("dataset", "source_id", "t", F.round(g.norm(diff), 6).alias("residual"))
+    return out.withColumns({f"s{k}": rest(k) for k in "zyx"}).drop("n", "_sz", "_sy", "_sx")
+
+
+@query(f"""SELECT a.dataset, a.source_id, a.t, round(sqrt(power(a.dz-quantile_cont(b.dz,0.5),2)+power(a.dy-quantile_cont(b.dy,0.5),2)+power(a.dx-quantile_cont(b.dx,0.5),2)),6) residual
+ FROM {GM.replace("a.t,", "a.t, a.node_id source_id, e.target_id,")} a JOIN {GM.replace("a.t,", "a.t, a.node_id source_id, e.target_id,")} b ON a.dataset=b.dataset AND a.t=b.t AND a.target_id<>b.target_id GROUP BY a.dataset,a.source_id,a.target_id,a.t,a.dz,a.dy,a.dx HAVING count(*)>=2""")
+def motion_residuals(spark, d):
+    """Each link's distance from the median of the other links of its frame (three links at least)."""
+    m = others_shift(moves(spark, d))
+    diff = tuple(F.col(f"d{k}") - F.col(f"s{k}") for k in "zyx")
+    return m.select("dataset", "source_id", "t", F.round(g.norm(diff), 6).alias("residual"))

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.operators import policies, topology
+from strandflow.functions import geometry as g
+from strandflow.operators import policies, spatial, topology
 from strandflow.plans import oracle
 from strandflow.plans.registry import query
 from strandflow.sources import tracks
@@ -212,28 +213,40 @@ def endpoint_trim(spark, d):
     return s.where("NOT (size > 4 AND in_degree + out_degree = 1 AND NOT high_conf)").select("dataset", "node_id")
 
 
-MISSING = """(WITH ae AS (SELECT e.dataset, p.node_id p_id, a.node_id a_id, a.t, 3*a.uz-2*p.uz fz, 3*a.uy-2*p.uy fy, 3*a.ux-2*p.ux fx FROM edges e JOIN nodes p ON p.dataset=e.dataset AND p.node_id=e.source_id JOIN deg a ON a.dataset=e.dataset AND a.node_id=e.target_id WHERE a.out_degree=0 AND a.t=p.t+1),
-ce AS (SELECT e.dataset, c.node_id c_id, q.node_id d_id, c.t, c.uz cz, c.uy cy, c.ux cx, 3*c.uz-2*q.uz gz, 3*c.uy-2*q.uy gy, 3*c.ux-2*q.ux gx FROM edges e JOIN deg c ON c.dataset=e.dataset AND c.node_id=e.source_id JOIN nodes q ON q.dataset=e.dataset AND q.node_id=e.target_id WHERE c.in_degree=0 AND c.out_degree=1 AND q.t=c.t+1),
-j AS (SELECT ae.*, c_id, d_id, sqrt((fz-cz)*(fz-cz)+(fy-cy)*(fy-cy)+(fx-cx)*(fx-cx)) forward, sqrt((gz-a.uz)*(gz-a.uz)+(gy-a.uy)*(gy-a.uy)+(gx-a.ux)*(gx-a.ux)) backward FROM ae JOIN ce ON ce.dataset=ae.dataset AND ce.t=ae.t+2 JOIN nodes a ON a.dataset=ae.dataset AND a.node_id=ae.a_id)
-SELECT dataset, p_id, a_id, c_id, d_id, forward, backward FROM j WHERE forward<=8 AND backward<=8)"""
+MISSING = """(WITH ae AS (SELECT e.dataset, p.node_id p_id, a.node_id a_id, a.t, 3*a.uz-2*p.uz fz, 3*a.uy-2*p.uy fy, 3*a.ux-2*p.ux fx, a.uz-p.uz vz, a.uy-p.uy vy, a.ux-p.ux vx FROM edges e JOIN nodes p ON p.dataset=e.dataset AND p.node_id=e.source_id JOIN deg a ON a.dataset=e.dataset AND a.node_id=e.target_id WHERE a.out_degree=0 AND a.t=p.t+1),
+ce AS (SELECT e.dataset, c.node_id c_id, q.node_id d_id, c.t, c.uz cz, c.uy cy, c.ux cx, 3*c.uz-2*q.uz gz, 3*c.uy-2*q.uy gy, 3*c.ux-2*q.ux gx, q.uz-c.uz wz, q.uy-c.uy wy, q.ux-c.ux wx FROM edges e JOIN deg c ON c.dataset=e.dataset AND c.node_id=e.source_id JOIN nodes q ON q.dataset=e.dataset AND q.node_id=e.target_id WHERE c.in_degree=0 AND c.out_degree=1 AND q.t=c.t+1),
+j AS (SELECT ae.*, c_id, d_id, sqrt((fz-cz)*(fz-cz)+(fy-cy)*(fy-cy)+(fx-cx)*(fx-cx)) forward, sqrt((gz-a.uz)*(gz-a.uz)+(gy-a.uy)*(gy-a.uy)+(gx-a.ux)*(gx-a.ux)) backward, (a.uz+vz+cz-wz)/2 mz, (a.uy+vy+cy-wy)/2 my, (a.ux+vx+cx-wx)/2 mx, vz*wz+vy*wy+vx*wx dp, sqrt(vz*vz+vy*vy+vx*vx)*sqrt(wz*wz+wy*wy+wx*wx) ll
+ FROM ae JOIN ce ON ce.dataset=ae.dataset AND ce.t=ae.t+2 JOIN nodes a ON a.dataset=ae.dataset AND a.node_id=ae.a_id)
+SELECT dataset, p_id, a_id, c_id, d_id, t+1 t, forward, backward, mz, my, mx, CASE WHEN ll>0 THEN degrees(acos(least(greatest(dp/ll,-1.0::double),1.0::double))) ELSE 0 END angle FROM j WHERE forward<=8 AND backward<=8)"""
 
 
-@query(f"SELECT dataset, p_id, a_id, c_id, d_id, round(forward,6) forward, round(backward,6) backward FROM {MISSING} z")
-def missing_node_census(spark, d):
-    """Track ends A and starts C two frames apart which constant motion joins from both sides within 8 um."""
-    from strandflow.functions import geometry as g
-    from strandflow.operators import spatial
-
-    n, e = graph(spark, d)
+def missing_nodes(n, e):
+    """Track ends A and starts C two frames apart which constant motion joins from both sides within 8 um: the place between on which both agree, and the angle of the two velocities."""
     deg = topology.degrees(n, e)
     at = lambda df, k, p: df.select("dataset", F.col("node_id").alias(k), F.col("t").alias(f"{p}t"), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
+    v = lambda p: tuple(F.col(f"{p}{u}") for u in g.AXES)
     ends = e.join(at(n, "source_id", "p"), ["dataset", "source_id"]).join(at(deg.where("out_degree = 0"), "target_id", "a"), ["dataset", "target_id"]).where("at = pt + 1")
-    a = ends.select("dataset", (F.col("at") + 2).alias("t"), F.col("source_id").alias("p_id"), F.col("target_id").alias("a_id"), *[(3 * F.col(f"a{u}") - 2 * F.col(f"p{u}")).alias(u) for u in g.AXES], *[F.col(f"a{u}").alias(f"A{u}") for u in g.AXES])
+    a = ends.select("dataset", (F.col("at") + 2).alias("t"), F.col("source_id").alias("p_id"), F.col("target_id").alias("a_id"), *[(3 * F.col(f"a{u}") - 2 * F.col(f"p{u}")).alias(u) for u in g.AXES], *[F.col(f"a{u}").alias(f"A{u}") for u in g.AXES], *[F.col(f"p{u}").alias(f"P{u}") for u in g.AXES])
     begins = e.join(at(deg.where("in_degree = 0 AND out_degree = 1"), "source_id", "c"), ["dataset", "source_id"]).join(at(n, "target_id", "q"), ["dataset", "target_id"]).where("qt = ct + 1")
-    c = begins.select("dataset", F.col("ct").alias("t"), F.col("source_id").alias("c_id"), F.col("target_id").alias("d_id"), *[F.col(f"c{u}").alias(u) for u in g.AXES], *[(3 * F.col(f"c{u}") - 2 * F.col(f"q{u}")).alias(f"G{u}") for u in g.AXES])
-    j = spatial.within(a, c, ["dataset", "t"], 8.0)
-    back = g.norm(tuple(F.col(f"G{u}") - F.col(f"A{u}") for u in g.AXES))
-    return j.withColumn("backward", back).where("backward <= 8").select("dataset", "p_id", "a_id", "c_id", "d_id", F.round("dist", 6).alias("forward"), F.round("backward", 6).alias("backward"))
+    c = begins.select("dataset", F.col("ct").alias("t"), F.col("source_id").alias("c_id"), F.col("target_id").alias("d_id"), *[F.col(f"c{u}").alias(u) for u in g.AXES], *[F.col(f"c{u}").alias(f"C{u}") for u in g.AXES], *[F.col(f"q{u}").alias(f"D{u}") for u in g.AXES])
+    j = spatial.within(a, c, ["dataset", "t"], 8.0).withColumnRenamed("dist", "forward")
+    back = g.sub(g.sub(g.times(v("C"), 3.0), g.times(v("D"), 2.0)), v("A"))
+    past, future = g.sub(v("A"), v("P")), g.sub(v("D"), v("C"))
+    mid = g.times(g.add(g.add(v("A"), past), g.sub(v("C"), future)), 0.5)
+    j = j.withColumns({"backward": g.norm(back), "angle": F.nanvl(g.angle(past, future), F.lit(0.0)), **{f"m{u[1]}": x for u, x in zip(g.AXES, mid, strict=True)}}).where("backward <= 8")
+    return j.select("dataset", "p_id", "a_id", "c_id", "d_id", (F.col("t") - 1).alias("t"), "forward", "backward", "mz", "my", "mx", "angle")
+
+
+@query(f"SELECT q.dataset, q.p_id, q.a_id, q.c_id, q.d_id, round(q.forward,6) forward, round(q.backward,6) backward, round(q.mz,6) mz, round(q.my,6) my, round(q.mx,6) mx, round(q.angle,4) angle, coalesce(round((SELECT min(sqrt(power(n.uz-q.mz,2)+power(n.uy-q.my,2)+power(n.ux-q.mx,2))) FROM nodes n WHERE n.dataset=q.dataset AND n.t=q.t AND sqrt(power(n.uz-q.mz,2)+power(n.uy-q.my,2)+power(n.ux-q.mx,2))<=8),6),-1) nearest FROM {MISSING} q")
+def missing_node_census(spark, d):
+    """Candidates for a missing middle, with the nearest detection (within 8 um) to the place that they agree on."""
+    n, e = saved_graph(spark, d)
+    z = save(missing_nodes(n, e))
+    key = ["dataset", "a_id", "c_id", "p_id", "d_id"]
+    probe = z.select(*key, "t", F.col("mz").alias("uz"), F.col("my").alias("uy"), F.col("mx").alias("ux"))
+    near = spatial.within(probe, n.select("dataset", "t", "node_id", *g.AXES), ["dataset", "t"], 8.0).groupBy(*key).agg(F.round(F.min("dist"), 6).alias("nearest"))
+    out = rounded(rounded(z, "forward", "backward", "mz", "my", "mx"), "angle", digits=4).drop("t").join(near, key, "left").fillna(-1.0, ["nearest"])
+    return out
 
 
 def frozen(n: DataFrame, e: DataFrame) -> tuple[list, DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from strandflow.plans import association, audits, chain, detection, divisions, evaluation, further, graph, policies  # noqa: F401
+    from strandflow.plans import association, audits, cases, chain, detection, divisions, evaluation, further, gaps, graph, policies  # noqa: F401
 
 
 load()
