@@ -116,7 +116,7 @@ def gap_census(nodes: DataFrame, edges: DataFrame, residual: float | None = None
         near = near.join(_at(nodes, "n_id", "n").join(nodes.select("dataset", F.col("node_id").alias("n_id"), F.col("t").alias("nt")), ["dataset", "n_id"]), ["dataset", "n_id"]).where(F.col("nt") == F.col("bt") + towards)
         q = near.select("dataset", (F.col("bt") + shift).alias("t"), "b_id", "n_id", *[(2.0 * F.col(f"b{u}") - F.col(f"n{u}")).alias(u) for u in g.AXES], *[F.col(f"b{u}").alias(f"B{u}") for u in g.AXES], *[F.col(f"n{u}").alias(f"N{u}") for u in g.AXES])
         o = others.select(*others.columns, *[F.col(u).alias(f"O{u}") for u in g.AXES])
-        pairs = spatial.within(q, o, ["dataset", "t"], residual) if residual else spatial.frame_pairs(q, o, ["dataset", "t"])
+        pairs = spatial.within(q, o, ["dataset", "t"], residual) if residual else spatial.knn(q, o, ["dataset", "t"], ["dataset", "b_id"], "o_id", 2).drop("rk")
         w = Window.partitionBy("dataset", "b_id").orderBy("dist", "o_id")
         best = pairs.withColumn("rk", F.row_number().over(w)).withColumn("second", F.lead("dist").over(w)).where("rk = 1")
         vo, vn = g.sub(_v("B"), _v("O")), g.sub(_v("N"), _v("B"))

@@ -1,7 +1,8 @@
 """Distance joins and nearest neighbours within datasets and frames.
 
-The building block is a grid join: the probe side is sent to the 27 cells around its own, the other side stays in one cell as
-wide as the radius, and an equi-join on (keys, cell) with an exact distance test follows. The cell is part of the shuffle key, so dense frames spread.
+The building block is a grid join: cells are twice as wide as the radius, the probe side is sent to the cells that its ball touches (eight at
+most, often one), the other side stays in one, and an equi-join on (keys, cell) with an exact distance test follows. The cell is part of the shuffle key, so dense
+frames spread. Nearest neighbours without a known radius go through growing rings: only queries that a ring leaves open see the next one.
 """
 
 from __future__ import annotations
@@ -10,19 +11,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import geometry as g
-
-
-def _cell(axis: str, radius: float, shift: int = 0):
-    return F.floor(F.col(axis) / F.lit(radius)) + shift
+from strandflow.sources.shared import save
 
 
 def within(a: DataFrame, b: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """Pairs with dist <= radius; both sides have keys and uz, uy, ux, and otherwise different columns."""
-    shifts = F.array(*[F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    pa = a.withColumn("_s", F.explode(shifts)).select(
-        *[c for c in a.columns if c not in g.AXES], *[F.col(x).alias(f"_a{x}") for x in g.AXES], *[(_cell(x, radius) + F.col("_s")[i]).alias(f"_c{i}") for i, x in enumerate(g.AXES)]
-    )
-    pb = b.select(*[c for c in b.columns if c not in g.AXES], *[F.col(x).alias(f"_b{x}") for x in g.AXES], *[_cell(x, radius).alias(f"_c{i}") for i, x in enumerate(g.AXES)])
+    cell = lambda x: F.floor(x / F.lit(2.0 * radius))
+    reach = radius * (1 + 1e-9)
+    pa = a.select(*[c for c in a.columns if c not in g.AXES], *[F.col(x).alias(f"_a{x}") for x in g.AXES])
+    for i, x in enumerate(g.AXES):
+        pa = pa.withColumn(f"_c{i}", F.explode(F.sequence(cell(F.col(f"_a{x}") - reach), cell(F.col(f"_a{x}") + reach))))
+    pb = b.select(*[c for c in b.columns if c not in g.AXES], *[F.col(x).alias(f"_b{x}") for x in g.AXES], *[cell(F.col(x)).alias(f"_c{i}") for i, x in enumerate(g.AXES)])
     j = pa.join(pb, [*keys, "_c0", "_c1", "_c2"])
     dist = g.norm(tuple(F.col(f"_a{x}") - F.col(f"_b{x}") for x in g.AXES))
     j = j.withColumn("dist", dist).where(F.col("dist") <= radius)
@@ -37,6 +36,21 @@ def frame_pairs(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return pa.join(pb, keys).withColumn("dist", dist).drop(*[f"_{s}{x}" for s in "ab" for x in g.AXES])
 
 
+def knn(a: DataFrame, b: DataFrame, keys: list[str], query: list[str], other: str, k: int, radius: float = 16.0, rings: int = 2) -> DataFrame:
+    """The k nearest of b for each row of a (named by query), ties by id, with their rank rk.
+
+    A query with k neighbours within a ring's radius is settled by it. Those that no ring settles (thin regions, frames of fewer than k) meet their whole frame.
+    """
+    left, found = a, None
+    for i in range(rings):
+        near = save(nearest(within(left, b, keys, radius * 2**i), query, other, k))
+        done = near.groupBy(*query).agg(F.max("rk").alias("_n")).where(F.col("_n") == k).select(*query)
+        one = near.join(done, query, "left_semi")
+        found = one if found is None else found.unionByName(one)
+        left = save(left.join(done, query, "left_anti"))
+    return found.unionByName(nearest(frame_pairs(left, b, keys), query, other, k))
+
+
 def nearest(pairs: DataFrame, query: list[str], other: str, k: int) -> DataFrame:
     """The k nearest per query, ties by id, with their rank rk."""
     w = Window.partitionBy(*query).orderBy("dist", other)

@@ -105,14 +105,23 @@ def rule_fork_counts(spark, d):
     return k.groupBy("rule").agg(F.sum("n").alias("edges"), F.count(F.lit(1)).alias("sources"), F.count(F.when(F.col("n") >= 2, 1)).alias("forks"))
 
 
-@query("""SELECT dataset, source_id, round(least(p1,p2),6) min_prob, round(greatest(p1,p2),6) max_prob, round(p1*p2,6) product, round(abs(p1-p2),6) gap FROM forkpairs""")
+@query(f"""SELECT f.dataset, f.source_id, round(least(p1,p2),6) min_prob, round(greatest(p1,p2),6) max_prob, round(p1*p2,6) product, round(abs(p1-p2),6) gap, round(a.raw_logit+b.raw_logit,6) logit_sum, greatest(a.rr,b.rr) row_rank, greatest(a.rc,b.rc) column_rank, a.rc=1 AND b.rc=1 both_lead_columns, greatest(a.rr,b.rr)<=2 both_lead_row FROM forkpairs f
+ JOIN (SELECT *, row_number() OVER ({ROW} ORDER BY raw_logit DESC, target_id) rr, row_number() OVER ({COL} ORDER BY prob DESC, source_id) rc FROM probs) a ON a.dataset=f.dataset AND a.source_id=f.source_id AND a.target_id=f.c1 JOIN (SELECT *, row_number() OVER ({ROW} ORDER BY raw_logit DESC, target_id) rr, row_number() OVER ({COL} ORDER BY prob DESC, source_id) rc FROM probs) b ON b.dataset=f.dataset AND b.source_id=f.source_id AND b.target_id=f.c2""")
 def fork_evidence(spark, d):
+    """Probabilities of a fork's two links, the sum of their raw logits, and how they rank in row and column."""
     from strandflow.operators import policies
 
     n = tracks.nodes(spark, d)
     f = policies.fork_geometry(n, tracks.edges(n))
+    p = A.column_softmax(tracks.pair_scores(n)).withColumns({"rr": F.row_number().over(A.row().orderBy(F.desc("raw_logit"), "target_id")), "rc": F.row_number().over(A.column().orderBy(F.desc("prob"), "source_id"))})
+    side = lambda k, x: p.select("dataset", "source_id", F.col("target_id").alias(k), *[F.col(c).alias(f"{x}_{c}") for c in ("raw_logit", "rr", "rc")])
+    f = f.join(side("c1", "a"), ["dataset", "source_id", "c1"]).join(side("c2", "b"), ["dataset", "source_id", "c2"])
     r = lambda x, k: F.round(x, 6).alias(k)
-    return f.select("dataset", "source_id", r(F.least("p1", "p2"), "min_prob"), r(F.greatest("p1", "p2"), "max_prob"), r(F.col("p1") * F.col("p2"), "product"), r(F.abs(F.col("p1") - F.col("p2")), "gap"))
+    rows, cols = F.greatest("a_rr", "b_rr"), F.greatest("a_rc", "b_rc")
+    return f.select(
+        "dataset", "source_id", r(F.least("p1", "p2"), "min_prob"), r(F.greatest("p1", "p2"), "max_prob"), r(F.col("p1") * F.col("p2"), "product"), r(F.abs(F.col("p1") - F.col("p2")), "gap"),
+        r(F.col("a_raw_logit") + F.col("b_raw_logit"), "logit_sum"), rows.alias("row_rank"), cols.alias("column_rank"), (cols == 1).alias("both_lead_columns"), (rows <= 2).alias("both_lead_row"),
+    )
 
 
 ACTIVE = f"(SELECT p.*, e.edge_id IS NOT NULL hit, max(CASE WHEN e.edge_id IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.dataset,p.t,p.source_id) ra, max(CASE WHEN e.edge_id IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY p.dataset,p.t,p.target_id) ca FROM probs p LEFT JOIN edges e ON e.dataset=p.dataset AND e.source_id=p.source_id AND e.target_id=p.target_id)"

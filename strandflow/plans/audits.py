@@ -28,25 +28,30 @@ def gate_pass_rates(spark, d):
     return s.withColumns({"prefix": F.coalesce("prefix", F.lit("all")), "fold": F.coalesce("fold", F.lit(-1))})
 
 
-@query("SELECT variable, count(*) n, round(min(v),6) lo, round(quantile_cont(v,0.1),6) q10, round(quantile_cont(v,0.5),6) q50, round(quantile_cont(v,0.9),6) q90, round(max(v),6) hi FROM (SELECT unnest(['sep','arm','balance','d1']) variable, unnest([sep,arm,balance,d1]) v FROM forks) GROUP BY 1")
+LEVELS = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+
+
+@query("SELECT variable, count(*) n, round(min(v),6) lo, " + ", ".join(f"round(quantile_cont(v,{q}),6) q{round(100 * q)}" for q in LEVELS) + ", round(max(v),6) hi FROM (SELECT unnest(['sep','arm','balance','d1']) variable, unnest([sep,arm,balance,d1]) v FROM forks) GROUP BY 1")
 def geometry_quantiles(spark, d):
     """Exact quantiles of several variables, unpivoted."""
     long = forks(spark, d).unpivot(["dataset"], ["sep", "arm", "balance", "d1"], "variable", "v")
-    q = [F.round(F.percentile("v", x), 6).alias(k) for k, x in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))]
+    q = [F.round(F.percentile("v", x), 6).alias(f"q{round(100 * x)}") for x in LEVELS]
     return long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("v"), 6).alias("lo"), *q, F.round(F.max("v"), 6).alias("hi"))
 
 
 GRID = "(VALUES (4),(5),(6),(7)) s(gs), (VALUES (60),(90),(120),(140)) a(ga), (VALUES (6),(8),(10),(12)) m(gm), (VALUES (0.4),(0.5),(0.6)) b(gb)"
 
 
-@query(f"SELECT gs sep_gate, ga angle_gate, gm arm_gate, CAST(gb AS double) balance_gate, count(*) n, count(*) FILTER (WHERE sep>=gs AND NOT isnan(angle) AND angle>=ga AND arm<=gm AND balance<=gb) passed FROM forks, {GRID} GROUP BY ALL")
+@query(f"SELECT gs sep_gate, ga angle_gate, gm arm_gate, CAST(gb AS double) balance_gate, sum(n)::bigint n, sum(k)::bigint passed, round(min(k*1.0::double/n),6) least_fold, round(max(k*1.0::double/n),6) most_fold, round(max(k*1.0::double/n)-min(k*1.0::double/n),6) spread FROM (SELECT CAST(source_id//10//300%5 AS int) fold, gs, ga, gm, gb, count(*) n, count(*) FILTER (WHERE sep>=gs AND NOT isnan(angle) AND angle>=ga AND arm<=gm AND balance<=gb) k FROM forks, {GRID} GROUP BY ALL) GROUP BY ALL")
 def gate_grid_recall(spark, d):
-    """192 gates at once: the grid is exploded beside the forks."""
-    f = forks(spark, d)
+    """192 gates at once, with the least and greatest share that a fold passes: the grid is exploded beside the forks."""
+    f = forks(spark, d).withColumn("fold", F.expr("CAST((source_id div 10 div 300) % 5 AS int)"))
     for name, levels in (("sep_gate", (4, 5, 6, 7)), ("angle_gate", (60, 90, 120, 140)), ("arm_gate", (6, 8, 10, 12)), ("balance_gate", (0.4, 0.5, 0.6))):
         f = f.withColumn(name, F.explode(F.array(*[F.lit(v) for v in levels])))
     ok = (F.col("sep") >= F.col("sep_gate")) & ~F.isnan("angle") & (F.col("angle") >= F.col("angle_gate")) & (F.col("arm") <= F.col("arm_gate")) & (F.col("balance") <= F.col("balance_gate"))
-    return f.groupBy("sep_gate", "angle_gate", "arm_gate", "balance_gate").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ok, 1)).alias("passed"))
+    gate = ["sep_gate", "angle_gate", "arm_gate", "balance_gate"]
+    k = f.groupBy(*gate, "fold").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ok, 1)).alias("k")).withColumn("share", F.col("k") / F.col("n"))
+    return k.groupBy(*gate).agg(F.sum("n").alias("n"), F.sum("k").alias("passed"), F.round(F.min("share"), 6).alias("least_fold"), F.round(F.max("share"), 6).alias("most_fold"), F.round(F.max("share") - F.min("share"), 6).alias("spread"))
 
 
 @query("SELECT CAST(level AS double) p2_gate, count(*) FILTER (WHERE p2>=level) passed FROM forks, (VALUES (0.75),(0.80),(0.85),(0.90)) v(level) GROUP BY 1")
@@ -57,12 +62,16 @@ def gate_p2_sensitivity(spark, d):
 
 
 
-@query("SELECT hit, count(*) n, round(quantile_cont(edge_prob,0.1),6) q10, round(quantile_cont(edge_prob,0.5),6) q50, round(quantile_cont(edge_prob,0.9),6) q90 FROM (SELECT e.*, g.source_id IS NOT NULL hit FROM edges e LEFT JOIN gt_edges g USING (dataset,source_id,target_id)) GROUP BY 1")
+@query("SELECT hit, count(*) n, " + ", ".join(f"round(quantile_cont({v},{q}),6) {k}_q{round(100 * q)}" for v, k in (("edge_prob", "prob"), ("dist", "dist")) for q in (0.1, 0.5, 0.9)) + " FROM (SELECT e.*, g.source_id IS NOT NULL hit, sqrt((a.uz-b.uz)*(a.uz-b.uz)+(a.uy-b.uy)*(a.uy-b.uy)+(a.ux-b.ux)*(a.ux-b.ux)) dist FROM edges e LEFT JOIN gt_edges g USING (dataset,source_id,target_id) JOIN nodes a ON a.dataset=e.dataset AND a.node_id=e.source_id JOIN nodes b ON b.dataset=e.dataset AND b.node_id=e.target_id) GROUP BY 1")
 def edge_prob_quantiles(spark, d):
+    """Quantiles of probability and length of the links, annotated ones and others."""
     n, e = graph(spark, d)
     t = tracks.gt_edges(tracks.gt_nodes(n)).withColumn("g", F.lit(True))
-    j = e.join(t, ["dataset", "source_id", "target_id"], "left").withColumn("hit", F.col("g").isNotNull())
-    return j.groupBy("hit").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile("edge_prob", x), 6).alias(k) for k, x in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9))])
+    at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
+    j = e.join(t, ["dataset", "source_id", "target_id"], "left").join(at("source_id", "a"), ["dataset", "source_id"]).join(at("target_id", "b"), ["dataset", "target_id"])
+    j = j.withColumns({"hit": F.col("g").isNotNull(), "dist": g.norm(tuple(F.col(f"a{u}") - F.col(f"b{u}") for u in g.AXES))})
+    q = [F.round(F.percentile(v, x), 6).alias(f"{k}_q{round(100 * x)}") for v, k in (("edge_prob", "prob"), ("dist", "dist")) for x in (0.1, 0.5, 0.9)]
+    return j.groupBy("hit").agg(F.count(F.lit(1)).alias("n"), *q)
 
 
 @query("SELECT s.dataset, CAST(s.t AS int) t, count(g.node_id) n FROM (SELECT dataset, unnest(range(1,8)) t FROM (SELECT DISTINCT dataset FROM nodes)) s LEFT JOIN gt_nodes g ON g.dataset=s.dataset AND g.t=s.t GROUP BY ALL")
@@ -80,21 +89,30 @@ def degree_distribution(spark, d):
     return k.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("prefix")), 6))
 
 
+@query("SELECT prefix, CAST(dt AS int) dt, n, round(n*1.0/sum(n) OVER (PARTITION BY prefix),6) share FROM (SELECT split_part(e.dataset,'_',1) prefix, b.t-a.t dt, count(*) n FROM edges e JOIN nodes a ON a.dataset=e.dataset AND a.node_id=e.source_id JOIN nodes b ON b.dataset=e.dataset AND b.node_id=e.target_id GROUP BY ALL)")
+def edge_step_distribution(spark, d):
+    """How many frames links span, by family."""
+    n, e = graph(spark, d)
+    at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), F.col("t").alias(p))
+    k = e.join(at("source_id", "a"), ["dataset", "source_id"]).join(at("target_id", "b"), ["dataset", "target_id"]).groupBy(F.split("dataset", "_")[0].alias("prefix"), (F.col("b") - F.col("a")).alias("dt")).agg(F.count(F.lit(1)).alias("n"))
+    return k.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("prefix")), 6))
+
+
 @query("SELECT t//2*2 bin, count(*) n, round(avg(CASE WHEN out_degree=2 THEN 1.0 ELSE 0 END),6) rate FROM deg WHERE out_degree>0 GROUP BY 1")
 def division_rate_by_time(spark, d):
     k = topology.degrees(*graph(spark, d)).where("out_degree > 0")
     return k.groupBy(F.expr("CAST(t div 2 * 2 AS int)").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("out_degree") == 2).cast("double")), 6).alias("rate"))
 
 
-@query("SELECT dataset, source_id, round(abs(d1-d2)/((d1+d2)/2+1e-8::double),6) imbalance, round(sqrt((az+bz)*(az+bz)+(ay+byy)*(ay+byy)+(ax+bx)*(ax+bx))/2,6) midpoint_offset FROM forkdist")
+@query("SELECT dataset, source_id, round(abs(d1-d2)/((d1+d2)/2+1e-8::double),6) imbalance, round(sqrt((az+bz)*(az+bz)+(ay+byy)*(ay+byy)+(ax+bx)*(ax+bx))/2,6) midpoint_offset, CASE WHEN d1*d2>0 THEN round(degrees(acos(least(greatest(dp/(d1*d2),-1.0::double),1.0::double))),4) ELSE -1 END angle FROM forkdist")
 def division_symmetry(spark, d):
     n, e = graph(spark, d)
-    f = policies.fork_geometry(n, e).select("dataset", "source_id", "c1", "c2", "d1", "d2")
+    f = policies.fork_geometry(n, e).select("dataset", "source_id", "c1", "c2", "d1", "d2", "angle")
     at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
     j = f.join(at("source_id", "s"), ["dataset", "source_id"]).join(at("c1", "a"), ["dataset", "c1"]).join(at("c2", "b"), ["dataset", "c2"])
     v = lambda p: tuple(F.col(f"{p}{u}") for u in g.AXES)
     off = g.norm(g.add(g.sub(v("a"), v("s")), g.sub(v("b"), v("s")))) / 2
-    return j.select("dataset", "source_id", F.round(F.abs(F.col("d1") - F.col("d2")) / ((F.col("d1") + F.col("d2")) / 2 + 1e-8), 6).alias("imbalance"), F.round(off, 6).alias("midpoint_offset"))
+    return j.select("dataset", "source_id", F.round(F.abs(F.col("d1") - F.col("d2")) / ((F.col("d1") + F.col("d2")) / 2 + 1e-8), 6).alias("imbalance"), F.round(off, 6).alias("midpoint_offset"), F.round(F.nanvl("angle", F.lit(-1.0)), 4).alias("angle"))
 
 
 @query("SELECT fold, count(*) FILTER (WHERE out_degree=1) ordinary, count(*) FILTER (WHERE out_degree=2) division, sum(out_degree)::bigint edges FROM deg JOIN datasets USING (dataset) WHERE out_degree>0 GROUP BY 1")
@@ -116,18 +134,37 @@ def graph_validation(spark, d):
     return a.join(b, "dataset", "left").fillna(0)
 
 
-@query("SELECT dataset, sha256(string_agg(s, ';' ORDER BY s)) digest FROM (SELECT dataset, concat_ws(',', t, CAST(round_even(z*2,0) AS bigint), CAST(round_even(y,0) AS bigint), CAST(round_even(x,0) AS bigint)) s FROM nodes) GROUP BY 1")
+def _sum_sql(s: str) -> str:
+    """A digest of rows whatever their order: their number, and the sums of two parts of their hashes."""
+    part = lambda i: f"sum(('0x'||substr(md5({s}),{i},12))::bigint)"
+    return f"sha256(concat_ws(':', count(*), {part(1)}, {part(13)}))"
+
+
+def digest_of(s):
+    part = lambda i: F.sum(F.conv(F.substring(F.md5(s), i, 12), 16, 10).cast("decimal(20,0)"))
+    return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), part(1).cast("string"), part(13).cast("string")), 256)
+
+
+_AT = "CAST(round_even({0}.z*2,0) AS bigint), CAST(round_even({0}.y,0) AS bigint), CAST(round_even({0}.x,0) AS bigint)"
+
+
+@query(f"SELECT n.dataset, node_digest, coalesce(edge_digest,'') edge_digest FROM (SELECT dataset, {_sum_sql('s')} node_digest FROM (SELECT dataset, concat_ws(',', a.t, {_AT.format('a')}) s FROM nodes a) GROUP BY 1) n LEFT JOIN (SELECT dataset, {_sum_sql('s')} edge_digest FROM (SELECT e.dataset, concat_ws(',', a.t, {_AT.format('a')}, b.t, {_AT.format('b')}) s FROM edges e JOIN nodes a ON a.dataset=e.dataset AND a.node_id=e.source_id JOIN nodes b ON b.dataset=e.dataset AND b.node_id=e.target_id) GROUP BY 1) e USING (dataset)")
 def semantic_digest(spark, d):
-    """A digest of each dataset's nodes by their coordinates, whatever their order and ids."""
-    s = F.concat_ws(",", "t", F.bround(F.col("z") * 2, 0).cast("long"), F.bround("y", 0).cast("long"), F.bround("x", 0).cast("long"))
-    return tracks.nodes(spark, d).groupBy("dataset").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(s)), ";"), 256).alias("digest"))
+    """Digests of each dataset's nodes and edges by their coordinates, whatever their order and ids: sums of row hashes, so no rows are gathered."""
+    n, e = graph(spark, d)
+    at = lambda p: [F.col(f"{p}t").cast("string"), F.bround(F.col(f"{p}z") * 2, 0).cast("long").cast("string"), F.bround(f"{p}y", 0).cast("long").cast("string"), F.bround(f"{p}x", 0).cast("long").cast("string")]
+    side = lambda k, p: n.select("dataset", F.col("node_id").alias(k), *[F.col(c).alias(f"{p}{c}") for c in ("t", "z", "y", "x")])
+    a = n.groupBy("dataset").agg(digest_of(F.concat_ws(",", *at(""))).alias("node_digest"))
+    j = e.join(side("source_id", "a"), ["dataset", "source_id"]).join(side("target_id", "b"), ["dataset", "target_id"])
+    b = j.groupBy("dataset").agg(digest_of(F.concat_ws(",", *at("a"), *at("b"))).alias("edge_digest"))
+    return a.join(b, "dataset", "left").fillna("", ["edge_digest"])
 
 
-@query("SELECT h digest, count(*) n FROM (SELECT dataset, t, sha256(string_agg(s, ';' ORDER BY s)) h FROM (SELECT dataset, t, CAST(CAST(floor(y) AS bigint)%2 AS varchar) s FROM nodes WHERE x<12) GROUP BY ALL) GROUP BY 1 HAVING count(*)>1")
+@query(f"SELECT h digest, count(*) n FROM (SELECT dataset, t, {_sum_sql('s')} h FROM (SELECT dataset, t, concat_ws(',', {_AT.format('a')}) s FROM nodes a) GROUP BY ALL) GROUP BY 1 HAVING count(*)>1")
 def duplicate_frames(spark, d):
-    """Frames of any dataset with the same content hash (of a coarse strip, so that some agree)."""
-    s = (F.floor("y") % 2).cast("string")
-    f = tracks.nodes(spark, d).where("x < 12").groupBy("dataset", "t").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(s)), ";"), 256).alias("digest"))
+    """Frames of any dataset whose nodes are all the same, by sums of row hashes."""
+    s = F.concat_ws(",", F.bround(F.col("z") * 2, 0).cast("long").cast("string"), F.bround("y", 0).cast("long").cast("string"), F.bround("x", 0).cast("long").cast("string"))
+    f = tracks.nodes(spark, d).groupBy("dataset", "t").agg(digest_of(s).alias("digest"))
     return f.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
@@ -139,7 +176,7 @@ def whole_frames(nodes):
 
 @query("SELECT h digest, count(*) n FROM (SELECT dataset, t, sha256(string_agg(s, ';' ORDER BY s)) h FROM (SELECT dataset, t, concat_ws(',', CAST(round_even(z*2,0) AS bigint), CAST(round_even(y,0) AS bigint), CAST(round_even(x,0) AS bigint)) s FROM nodes) GROUP BY ALL) GROUP BY 1 HAVING count(*)>1")
 def duplicate_whole_frames(spark, d):
-    """Frames of any dataset whose nodes are all the same (duplicate_frames compares a coarse strip, as its SQL states)."""
+    """Frames of any dataset whose nodes are all the same (in order, as one text a frame; duplicate_frames does without)."""
     return whole_frames(tracks.nodes(spark, d)).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
@@ -153,34 +190,37 @@ def frame_relative_rank(spark, d):
 EVENTS = "(SELECT dataset, t, count(*) n, max(tx) mx, avg(tx) mean, stddev_pop(tx) std FROM nodes GROUP BY ALL)"
 
 
-@query("SELECT dataset, t, n, round(mx,9) top, round(mx-coalesce(tops[2],mx),9) margin, round(mean,9) mean, round(std,9) std, round(list_avg(tops[1:3]),9) top3 FROM (SELECT dataset, t, count(*) n, max(tx) mx, avg(tx) mean, stddev_pop(tx) std, list(tx ORDER BY tx DESC) tops FROM nodes GROUP BY ALL)")
+@query("SELECT dataset, t, n, round(mx,9) top, round(mx-coalesce(tops[2],mx),9) margin, round(mean,9) mean, round(std,9) std, round(list_avg(tops[1:3]),9) top3, round(CASE WHEN std>1e-12 THEN (mx-mean)/std ELSE 0 END,5) max_z FROM (SELECT dataset, t, count(*) n, max(tx) mx, avg(tx) mean, stddev_pop(tx) std, list(tx ORDER BY tx DESC) tops FROM nodes GROUP BY ALL)")
 def frame_event_features(spark, d):
     top = F.slice(F.sort_array(F.collect_list("tx"), asc=False), 1, 3)
     f = tracks.nodes(spark, d).groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("n"), F.avg("tx").alias("mean"), F.stddev_pop("tx").alias("std"), top.alias("s"))
     r = lambda x, k: F.round(x, 9).alias(k)
     first = F.col("s")[0]
-    return f.select("dataset", "t", "n", r(first, "top"), r(first - F.coalesce(F.get("s", F.lit(1)), first), "margin"), r(F.col("mean"), "mean"), r(F.col("std"), "std"), r(F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s"), "top3"))
+    return f.select("dataset", "t", "n", r(first, "top"), r(first - F.coalesce(F.get("s", F.lit(1)), first), "margin"), r(F.col("mean"), "mean"), r(F.col("std"), "std"), r(F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s"), "top3"), F.round(F.when(F.col("std") > 1e-12, (first - F.col("mean")) / F.col("std")).otherwise(0.0), 5).alias("max_z"))
 
 
-@query(f"SELECT dataset, t, round(coalesce(CASE WHEN pt=t-1 THEN mean-pm END,0),6) rise, round(coalesce(CASE WHEN nt=t+1 THEN mean-nm END,0),6) AS fall, coalesce(pt=t-1 AND nt=t+1 AND mean>pm AND mean>nm, false) peak FROM (SELECT *, lag(t) OVER w pt, lag(mean) OVER w pm, lead(t) OVER w nt, lead(mean) OVER w nm FROM {EVENTS} z WINDOW w AS (PARTITION BY dataset ORDER BY t))")
+@query(f"SELECT dataset, t, round(coalesce(CASE WHEN pt=t-1 THEN mean-pm END,0),6) rise, round(coalesce(CASE WHEN nt=t+1 THEN mean-nm END,0),6) AS fall, coalesce(pt=t-1 AND nt=t+1 AND mean>pm AND mean>nm, false) peak, round(coalesce(CASE WHEN pt=t-1 AND nt=t+1 THEN mean-(pm+nm)/2 END,0),6) contrast1, round(coalesce(CASE WHEN pt2=t-2 AND nt2=t+2 THEN mean-(pm2+nm2)/2 END,0),6) contrast2 FROM (SELECT *, lag(t) OVER w pt, lag(mean) OVER w pm, lead(t) OVER w nt, lead(mean) OVER w nm, lag(t,2) OVER w pt2, lag(mean,2) OVER w pm2, lead(t,2) OVER w nt2, lead(mean,2) OVER w nm2 FROM {EVENTS} z WINDOW w AS (PARTITION BY dataset ORDER BY t))")
 def temporal_contrast(spark, d):
     f = tracks.nodes(spark, d).groupBy("dataset", "t").agg(F.avg("tx").alias("mean"))
     w = Window.partitionBy("dataset").orderBy("t")
-    f = f.withColumns({"pt": F.lag("t").over(w), "pm": F.lag("mean").over(w), "nt": F.lead("t").over(w), "nm": F.lead("mean").over(w)})
-    return f.select("dataset", "t", F.expr("round(coalesce(CASE WHEN pt=t-1 THEN mean-pm END, 0), 6)").alias("rise"), F.expr("round(coalesce(CASE WHEN nt=t+1 THEN mean-nm END, 0), 6)").alias("fall"), F.expr("coalesce(pt=t-1 AND nt=t+1 AND mean>pm AND mean>nm, false)").alias("peak"))
+    f = f.withColumns({"pt": F.lag("t").over(w), "pm": F.lag("mean").over(w), "nt": F.lead("t").over(w), "nm": F.lead("mean").over(w), "pt2": F.lag("t", 2).over(w), "pm2": F.lag("mean", 2).over(w), "nt2": F.lead("t", 2).over(w), "nm2": F.lead("mean", 2).over(w)})
+    return f.select("dataset", "t", F.expr("round(coalesce(CASE WHEN pt=t-1 THEN mean-pm END, 0), 6)").alias("rise"), F.expr("round(coalesce(CASE WHEN nt=t+1 THEN mean-nm END, 0), 6)").alias("fall"), F.expr("coalesce(pt=t-1 AND nt=t+1 AND mean>pm AND mean>nm, false)").alias("peak"),
+        F.expr("round(coalesce(CASE WHEN pt=t-1 AND nt=t+1 THEN mean-(pm+nm)/2 END, 0), 6)").alias("contrast1"), F.expr("round(coalesce(CASE WHEN pt2=t-2 AND nt2=t+2 THEN mean-(pm2+nm2)/2 END, 0), 6)").alias("contrast2"))
 
 
 LOGIT = "ln(least(greatest({0},1e-6::double),1-1e-6::double)/(1-least(greatest({0},1e-6::double),1-1e-6::double)))"
 
 
-@query(f"SELECT a.dataset, a.target_id node_id, round({LOGIT.format('a.edge_prob')}-{LOGIT.format('b.edge_prob')},5) delta FROM edges a JOIN edges b ON b.dataset=a.dataset AND b.target_id=a.source_id")
+@query(f"SELECT a.dataset, a.target_id node_id, round({LOGIT.format('a.edge_prob')}-{LOGIT.format('b.edge_prob')},5) delta, round(CASE WHEN c.edge_id IS NULL THEN -99 ELSE {LOGIT.format('a.edge_prob')}-{LOGIT.format('c.edge_prob')} END,5) delta2 FROM edges a JOIN edges b ON b.dataset=a.dataset AND b.target_id=a.source_id LEFT JOIN edges c ON c.dataset=b.dataset AND c.target_id=b.source_id")
 def lineage_delta(spark, d):
-    """Change of the link's logit from one frame to the next on the same lineage."""
+    """Change of the link's logit over one and over two frames on the same lineage."""
     _, e = graph(spark, d)
     p = F.least(F.greatest("edge_prob", F.lit(1e-6)), F.lit(1 - 1e-6))
     x = e.select("dataset", "source_id", "target_id", F.ln(p / (1 - p)).alias("v"))
-    b = x.select("dataset", F.col("target_id").alias("source_id"), F.col("v").alias("before"))
-    return x.join(b, ["dataset", "source_id"]).select("dataset", F.col("target_id").alias("node_id"), F.round(F.col("v") - F.col("before"), 5).alias("delta"))
+    b = x.select("dataset", F.col("target_id").alias("source_id"), F.col("source_id").alias("b_id"), F.col("v").alias("before"))
+    c = x.select("dataset", F.col("target_id").alias("b_id"), F.col("v").alias("before2"))
+    j = x.join(b, ["dataset", "source_id"]).join(c, ["dataset", "b_id"], "left")
+    return j.select("dataset", F.col("target_id").alias("node_id"), F.round(F.col("v") - F.col("before"), 5).alias("delta"), F.round(F.coalesce(F.col("v") - F.col("before2"), F.lit(-99.0)), 5).alias("delta2"))
 
 
 @query("SELECT a.vec_id, round(sqrt(list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda p: (p[1]::double-p[2]::double)*(p[1]::double-p[2]::double)))/len(a.embedding)),5) rms, round(1-list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda p: p[1]::double*p[2]::double))/sqrt(list_sum(list_transform(a.embedding, lambda x: x::double*x::double))*list_sum(list_transform(b.embedding, lambda x: x::double*x::double))),5) cosine FROM embeddings a JOIN embeddings b ON b.vec_id=a.vec_id+1")
@@ -231,12 +271,15 @@ def recall_at_precision(spark, d):
     return c.groupBy("prefix", "target").agg(F.round(F.coalesce(F.max(F.when(F.col("tp") / F.col("n") >= F.col("target"), F.col("tp") / F.col("p"))), F.lit(0.0)), 6).alias("recall"))
 
 
-@query(f"SELECT prefix, k, count(*) FILTER (WHERE rk<=k AND label=1) tp, count(*) FILTER (WHERE rk<=k AND label=0) fp FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY score DESC,dataset,node_id) rk FROM {SCORED} z), (VALUES (10),(50),(100)) v(k) GROUP BY ALL")
+@query(f"SELECT prefix, k, tp, fp, round(tp*1.0::double/(tp+fp),6) AS precision, round(tp*1.0::double/p,6) recall FROM (SELECT prefix, k, count(*) FILTER (WHERE rk<=k AND label=1) tp, count(*) FILTER (WHERE rk<=k AND label=0) fp, sum(label) p FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY score DESC,dataset,node_id) rk FROM {SCORED} z), (VALUES (10),(50),(100)) v(k) GROUP BY ALL)")
 def topk_retrieval(spark, d):
-    """Hits among the K best by family; the rank limit is taken before the sort is complete (top-k window)."""
+    """Hits among the K best by family, precision and recall; the rank limit is taken before the sort is complete (top-k window)."""
     w = Window.partitionBy("prefix").orderBy(F.desc("score"), "dataset", "node_id")
-    r = scored(spark, d).withColumn("rk", F.row_number().over(w)).where("rk <= 100").withColumn("k", F.explode(F.array(F.lit(10), F.lit(50), F.lit(100)))).where("rk <= k")
-    return r.groupBy("prefix", "k").agg(F.count(F.when(F.col("label") == 1, 1)).alias("tp"), F.count(F.when(F.col("label") == 0, 1)).alias("fp"))
+    s = scored(spark, d)
+    r = s.withColumn("rk", F.row_number().over(w)).where("rk <= 100").withColumn("k", F.explode(F.array(F.lit(10), F.lit(50), F.lit(100)))).where("rk <= k")
+    a = r.groupBy("prefix", "k").agg(F.count(F.when(F.col("label") == 1, 1)).alias("tp"), F.count(F.when(F.col("label") == 0, 1)).alias("fp"))
+    a = a.join(s.groupBy("prefix").agg(F.sum("label").alias("p")), "prefix")
+    return a.select("prefix", "k", "tp", "fp", F.round(F.col("tp") / (F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.col("tp") / F.col("p"), 6).alias("recall"))
 
 
 @query("SELECT dataset, node_id, round((p1+p2)/2,6) score FROM (SELECT dataset, node_id, (rank() OVER (PARTITION BY dataset ORDER BY d)+(count(*) OVER (PARTITION BY dataset,d)-1)/2.0::double)/count(*) OVER (PARTITION BY dataset) p1, (rank() OVER (PARTITION BY dataset ORDER BY tx)+(count(*) OVER (PARTITION BY dataset,tx)-1)/2.0::double)/count(*) OVER (PARTITION BY dataset) p2 FROM nodes)")

@@ -26,13 +26,12 @@ def release_bands(spark, d):
 
 @query("SELECT dataset, bin, count(*) n FROM (SELECT dataset, CASE WHEN prob>0.99::double THEN '>0.99' WHEN prob>0.95::double THEN '>0.95' WHEN prob>0.90::double THEN '>0.90' ELSE 'none' END bin FROM peaks) GROUP BY ALL")
 def confidence_bins(spark, d):
-    """The highest threshold whose key set holds a detection."""
+    """The highest threshold whose key set holds a detection: detections and key sets are one union, grouped by key once."""
     p = tracks.peaks(spark, d)
-    out = p
-    for name, least in (("a", 0.99), ("b", 0.95), ("c", 0.90)):
-        out = out.join(p.where(F.col("prob") > least).select(*AT, F.lit(True).alias(name)), AT, "left")
-    label = F.when(F.col("a"), ">0.99").when(F.col("b"), ">0.95").when(F.col("c"), ">0.90").otherwise("none")
-    return out.groupBy("dataset", label.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    sets = F.array_compact(F.array(F.lit(0), *[F.when(F.col("prob") > least, F.lit(k)) for k, least in ((1, 0.90), (2, 0.95), (3, 0.99))]))
+    top = p.select(*AT, F.explode(sets).alias("k")).groupBy(*AT).agg(F.max("k").alias("k"))
+    label = F.when(F.col("k") == 3, ">0.99").when(F.col("k") == 2, ">0.95").when(F.col("k") == 1, ">0.90").otherwise("none")
+    return top.groupBy("dataset", label.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p.dataset, p.t, p.z, p.y, p.x FROM peaks p WHERE prob>0.95::double AND NOT EXISTS (SELECT 1 FROM peaks o WHERE o.dataset=p.dataset AND o.t=p.t AND abs(o.z-p.z)<=2 AND abs(o.y-p.y)<=4 AND abs(o.x-p.x)<=4 AND o.prob>p.prob)")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import geometry as g
 from strandflow.operators import policies, spatial, topology
-from strandflow.plans.policies import graph, rounded
+from strandflow.plans import oracle
+from strandflow.plans.policies import graph, rounded, saved_graph
 from strandflow.plans.registry import query
 from strandflow.sources import submission, tracks
+from strandflow.sources.shared import save
 
 
 @query("""SELECT CAST(row_number() OVER (ORDER BY dataset, k, o) - 1 AS bigint) id, dataset, row_type, node_id, t, z, y, x, source_id, target_id FROM
@@ -69,13 +71,16 @@ def frame_windows(spark, d):
     return f.select("dataset", F.explode(starts).alias("start")).select("dataset", F.col("start").cast("long").alias("start"), (F.col("start") + 2).cast("long").alias("stop"))
 
 
-@query("SELECT dataset, node_id, route FROM (SELECT dataset, node_id, 'A' route FROM nodes WHERE high_conf AND split_part(dataset,'_',1)='44b6' UNION ALL SELECT dataset, node_id, 'B' FROM nodes WHERE t%2=0 AND split_part(dataset,'_',1)='6bba')")
+ROUTES = [("routed", "44b6", "A"), ("routed", "6bba", "B"), ("reverse", "44b6", "B"), ("reverse", "6bba", "A"), ("all_a", "44b6", "A"), ("all_a", "6bba", "A")]
+
+
+@query(f"SELECT control, dataset, node_id, r.route FROM (SELECT dataset, split_part(dataset,'_',1) prefix, node_id, 'A' route FROM nodes WHERE high_conf UNION ALL SELECT dataset, split_part(dataset,'_',1), node_id, 'B' FROM nodes WHERE t%2=0) n JOIN (VALUES {', '.join(map(str, ROUTES))}) r(control, prefix, route) ON r.prefix=n.prefix AND r.route=n.route")
 def domain_routing(spark, d):
-    """Rows of two variants, each for the family that it is routed to."""
+    """Rows of two variants, each for the family that it is routed to, and under two controls: the other way round, and one variant for all."""
     n = tracks.nodes(spark, d).withColumn("prefix", F.split("dataset", "_")[0])
     a, b = n.where("high_conf").withColumn("route", F.lit("A")), n.where("t % 2 = 0").withColumn("route", F.lit("B"))
-    routing = spark.createDataFrame([("44b6", "A"), ("6bba", "B")], "prefix string, route string")
-    return a.unionByName(b).join(F.broadcast(routing), ["prefix", "route"], "left_semi").select("dataset", "node_id", "route")
+    routing = spark.createDataFrame(ROUTES, "control string, prefix string, route string")
+    return a.unionByName(b).join(F.broadcast(routing), ["prefix", "route"]).select("control", "dataset", "node_id", "route")
 
 
 @query("SELECT dataset, node_id, in_degree::bigint in_degree, out_degree::bigint out_degree FROM deg")
@@ -155,6 +160,15 @@ def component_confidence_quartiles(spark, d):
     return s.groupBy("prefix", "bucket", "quartile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
 
 
+oracle.VIEWS["nearby"] = "SELECT b.dataset, b.node_id, coalesce(min(sqrt((a.uz-b.uz)*(a.uz-b.uz)+(a.uy-b.uy)*(a.uy-b.uy)+(a.ux-b.ux)*(a.ux-b.ux)))<=7, false) near FROM nodes b LEFT JOIN gt_nodes a ON a.dataset=b.dataset AND a.t=b.t GROUP BY ALL"
+
+
+def near_annotation(n):
+    """(dataset, node_id, near) of the nodes within 7 um of an annotated one."""
+    a = tracks.um(tracks.gt_nodes(n)).select("dataset", "t", F.col("node_id").alias("gt_id"), *g.AXES)
+    return spatial.within(a, n.select("dataset", "t", "node_id", *g.AXES), ["dataset", "t"], 7.0).select("dataset", "node_id").distinct().withColumn("near", F.lit(True))
+
+
 ROLE = "CASE WHEN in_degree=0 AND out_degree=0 THEN 'singleton' WHEN out_degree>=2 THEN 'division_parent' WHEN in_degree+out_degree=1 THEN 'endpoint' WHEN in_degree=1 AND out_degree=1 THEN 'internal' ELSE 'other' END"
 
 
@@ -164,11 +178,13 @@ def graph_roles(spark, d):
     return n.groupBy("dataset", topology.role(F.col("in_degree"), F.col("out_degree")).alias("role")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT split_part(dataset,'_',1) prefix, {ROLE} AS role, count(*) n, round(avg(CASE WHEN size<=2 THEN 1.0 ELSE 0 END),6) short_share FROM deg JOIN comp USING (dataset,node_id) JOIN compsize USING (dataset,component) WHERE NOT high_conf GROUP BY ALL")
+@query(f"SELECT split_part(dataset,'_',1) prefix, {ROLE} AS role, count(*) n, round(avg(CASE WHEN size<=2 THEN 1.0 ELSE 0 END),6) short_share, round(avg(CASE WHEN near THEN 1.0 ELSE 0 END),6) near_annotation FROM deg JOIN comp USING (dataset,node_id) JOIN compsize USING (dataset,component) JOIN nearby USING (dataset,node_id) WHERE NOT high_conf GROUP BY ALL")
 def low_conf_roles(spark, d):
-    n, e = graph(spark, d)
-    s = topology.degrees(policies.with_component_size(n, e), e).where("NOT high_conf")
-    return s.groupBy(F.split("dataset", "_")[0].alias("prefix"), topology.role(F.col("in_degree"), F.col("out_degree")).alias("role")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("size") <= 2).cast("double")), 6).alias("short_share"))
+    """Low-confidence nodes by role: their number, how many stand in short components, how many near an annotated node."""
+    n, e = saved_graph(spark, d)
+    s = topology.degrees(policies.with_component_size(n, e), e).where("NOT high_conf").join(near_annotation(n), ["dataset", "node_id"], "left").fillna(False, ["near"])
+    rate = lambda c, k: F.round(F.avg(c.cast("double")), 6).alias(k)
+    return s.groupBy(F.split("dataset", "_")[0].alias("prefix"), topology.role(F.col("in_degree"), F.col("out_degree")).alias("role")).agg(F.count(F.lit(1)).alias("n"), rate(F.col("size") <= 2, "short_share"), rate(F.col("near"), "near_annotation"))
 
 
 @query("""SELECT boundary, count(*) FILTER (WHERE was) original, count(*) FILTER (WHERE NOT was) created FROM (SELECT n.dataset, n.node_id, o.node_id IS NULL AND i.node_id IS NULL was, CASE WHEN least(n.t-1, mt-n.t)=0 THEN 'edge' WHEN least(n.t-1,mt-n.t)=1 THEN 'near' ELSE 'inner' END boundary
@@ -207,13 +223,20 @@ def next_frame(n, radius=None):
     return spatial.within(a, b, ["dataset", "t"], radius) if radius else spatial.frame_pairs(a, b, ["dataset", "t"])
 
 
+def next_nearest(n, k):
+    """The k nearest nodes of the next frame (node_id, other_id, dist, rk)."""
+    n = save(n.select("dataset", "t", "node_id", *g.AXES))
+    b = n.select("dataset", (F.col("t") - 1).alias("t"), F.col("node_id").alias("other_id"), *g.AXES)
+    return spatial.knn(n, b, ["dataset", "t"], ["dataset", "node_id"], "other_id", k)
+
+
 DIST = "sqrt((a.uz-b.uz)*(a.uz-b.uz)+(a.uy-b.uy)*(a.uy-b.uy)+(a.ux-b.ux)*(a.ux-b.ux))"
 NEXT = f"(SELECT a.dataset, a.t, a.node_id, b.node_id other_id, {DIST} dist FROM nodes a JOIN nodes b ON a.dataset=b.dataset AND b.t=a.t+1)"
 
 
 @query(f"SELECT dataset, t, node_id, other_id, round(dist,6) dist, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dataset,node_id ORDER BY dist,other_id) AS int) rk FROM {NEXT} z) WHERE rk<=3")
 def knn_frames(spark, d):
-    return rounded(spatial.nearest(next_frame(tracks.nodes(spark, d)), ["dataset", "node_id"], "other_id", 3), "dist").select("dataset", "t", "node_id", "other_id", "dist", "rk")
+    return rounded(next_nearest(tracks.nodes(spark, d), 3), "dist").select("dataset", "t", "node_id", "other_id", "dist", "rk")
 
 
 @query(f"SELECT dataset, t, node_id, other_id, round(dist,6) dist FROM {NEXT} z WHERE dist<=8")
@@ -234,21 +257,33 @@ TRUE = f"(SELECT z.*, e.edge_id IS NOT NULL hit, rank() OVER (PARTITION BY z.dat
 
 @query(f"SELECT split_part(dataset,'_',1) prefix, count(*) n, round(avg(CASE WHEN rk<=1 THEN 1.0 ELSE 0 END),6) top1, round(avg(CASE WHEN rk<=3 THEN 1.0 ELSE 0 END),6) top3, round(avg(CASE WHEN rk<=5 THEN 1.0 ELSE 0 END),6) top5 FROM {TRUE} z WHERE hit GROUP BY 1")
 def nn_rank_accuracy(spark, d):
-    n, e = graph(spark, d)
-    links = e.select("dataset", F.col("source_id").alias("node_id"), F.col("target_id").alias("other_id"), F.lit(True).alias("hit"))
-    p = next_frame(n)
-    r = p.withColumn("rk", F.rank().over(Window.partitionBy("dataset", "node_id").orderBy("dist"))).join(links, ["dataset", "node_id", "other_id"])
+    """The rank of the true child among all nodes of the next frame: only nodes nearer than it count, so a link of some length needs a ball of that radius."""
+    n, e = saved_graph(spark, d)
+    at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
+    q = e.join(n.select("dataset", "t", F.col("node_id").alias("source_id"), *g.AXES), ["dataset", "source_id"]).join(at("target_id", "b"), ["dataset", "target_id"])
+    q = save(q.withColumn("right_dist", g.norm(tuple(F.col(u) - F.col(f"b{u}") for u in g.AXES))).select("dataset", "t", "source_id", "target_id", "right_dist", *g.AXES))
+    b = n.select("dataset", (F.col("t") - 1).alias("t"), F.col("node_id").alias("other_id"), *g.AXES)
+    near = spatial.within(q.where("right_dist <= 16"), b, ["dataset", "t"], 16.0).unionByName(spatial.frame_pairs(q.where("right_dist > 16"), b, ["dataset", "t"]))
+    r = near.groupBy("dataset", "source_id", "target_id").agg((F.count(F.when(F.col("dist") < F.col("right_dist"), 1)) + 1).alias("rk"))
     top = lambda k: F.round(F.avg((F.col("rk") <= k).cast("double")), 6).alias(f"top{k}")
     return r.groupBy(F.split("dataset", "_")[0].alias("prefix")).agg(F.count(F.lit(1)).alias("n"), top(1), top(3), top(5))
 
 
-@query(f"SELECT dataset, count(*) n, sum(CASE WHEN wrong<right_dist THEN 1 ELSE 0 END)::bigint failures, round(avg(wrong-right_dist),6) mean_margin FROM (SELECT dataset, node_id, min(dist) FILTER (WHERE hit) right_dist, min(dist) FILTER (WHERE NOT hit) wrong FROM {TRUE} z GROUP BY ALL) WHERE right_dist IS NOT NULL GROUP BY 1")
+@query(f"SELECT dataset, count(*) n, sum(CASE WHEN wrong<right_dist THEN 1 ELSE 0 END)::bigint failures, round(avg(wrong-right_dist),6) mean_margin, round(avg(CASE WHEN wrong>0 THEN right_dist/wrong END),6) mean_ratio FROM (SELECT dataset, node_id, min(dist) FILTER (WHERE hit) right_dist, min(dist) FILTER (WHERE NOT hit) wrong FROM {TRUE} z GROUP BY ALL) WHERE right_dist IS NOT NULL GROUP BY 1")
 def association_margin(spark, d):
-    n, e = graph(spark, d)
-    links = e.select("dataset", F.col("source_id").alias("node_id"), F.col("target_id").alias("other_id"), F.lit(True).alias("hit"))
-    p = next_frame(n).join(links, ["dataset", "node_id", "other_id"], "left")
-    m = p.groupBy("dataset", "node_id").agg(F.min(F.when(F.col("hit"), F.col("dist"))).alias("r"), F.min(F.when(F.col("hit").isNull(), F.col("dist"))).alias("w")).where("r IS NOT NULL")
-    return m.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("w") < F.col("r"), 1).otherwise(0)).alias("failures"), F.round(F.avg(F.col("w") - F.col("r")), 6).alias("mean_margin"))
+    """How much nearer the true child is than the nearest other node, and their ratio; a node has two children at most, so three neighbours tell."""
+    n, e = saved_graph(spark, d)
+    at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
+    far = g.norm(tuple(F.col(f"a{u}") - F.col(f"b{u}") for u in g.AXES))
+    right = e.join(at("source_id", "a"), ["dataset", "source_id"]).join(at("target_id", "b"), ["dataset", "target_id"]).groupBy("dataset", F.col("source_id").alias("node_id")).agg(F.min(far).alias("r"))
+    links = e.select("dataset", F.col("source_id").alias("node_id"), F.col("target_id").alias("other_id"))
+    a = n.join(right, ["dataset", "node_id"], "left_semi").select("dataset", "t", "node_id", *g.AXES)
+    b = n.select("dataset", (F.col("t") - 1).alias("t"), F.col("node_id").alias("other_id"), *g.AXES)
+    near = spatial.knn(a, b, ["dataset", "t"], ["dataset", "node_id"], "other_id", 3).join(links, ["dataset", "node_id", "other_id"], "left_anti")
+    m = right.join(near.groupBy("dataset", "node_id").agg(F.min("dist").alias("w")), ["dataset", "node_id"], "left")
+    return m.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("w") < F.col("r"), 1).otherwise(0)).alias("failures"), F.round(F.avg(F.col("w") - F.col("r")), 6).alias("mean_margin"), F.round(F.avg(F.when(F.col("w") > 0, F.col("r") / F.col("w"))), 6).alias("mean_ratio")
+    )
 
 
 GTD = "sqrt((a.uz-b.uz)*(a.uz-b.uz)+(a.uy-b.uy)*(a.uy-b.uy)+(a.ux-b.ux)*(a.ux-b.ux))"
