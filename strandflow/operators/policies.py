@@ -206,11 +206,11 @@ def _applied(proposed: DataFrame, nodes: DataFrame, edges: DataFrame, ends: list
     made = None
     for i, (s, t) in enumerate(links):
         for x, y in links:
-            mine = p.where("reason IS NULL AND won IS NULL").select("dataset", *order, F.col(s).alias("_s"), F.col(t).alias("_t"))
+            mine = p.where("won IS NULL AND coalesce(reason, 'degree_conflict') = 'degree_conflict'").select("dataset", *order, F.col(s).alias("_s"), F.col(t).alias("_t"))
             one = won.select("dataset", F.col(x).alias("_s"), F.col(y).alias("_t"), F.struct(*order).alias("before")).join(mine, ["dataset", "_s", "_t"]).where(F.col("before") < F.struct(*order)).select("dataset", *order)
             made = one if made is None else made.unionByName(one)
     p = p.join(made.distinct().withColumn("made", F.lit(True)), ["dataset", *order], "left")
-    outcome = F.coalesce("reason", F.when(F.col("won"), "added").when(F.col("made"), "existing_edge").otherwise("degree_conflict"))
+    outcome = F.when(F.col("won"), "added").when(F.col("made"), "existing_edge").otherwise(F.coalesce("reason", F.lit("degree_conflict")))
     return p.select(*proposed.columns, outcome.alias("reason"))
 
 

@@ -230,24 +230,48 @@ def bins(spark, d):
     return s.withColumn("density_bin", F.expr("greatest(((rk-1)*5+n-2) div greatest(n-1,1), 1) - 1"))
 
 
-@query()
-def fold_candidates(spark, d):
-    """Fold assignments for many seeds, stratified by family and density bin, all seeds in one job."""
-    s = bins(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(200))))
+SEEDS = 5000
+
+
+def candidate_folds(spark, d, seeds=SEEDS):
+    """(seed, dataset, prefix, cand_fold): fold assignments for many seeds, stratified by family and density bin, all seeds in one job."""
+    s = bins(spark, d).withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
     w = Window.partitionBy("seed", "prefix", "density_bin").orderBy(F.xxhash64("seed", "dataset"), "dataset")
     return s.select("seed", "dataset", "prefix", "n_nodes", ((F.row_number().over(w) - 1 + F.pmod(F.xxhash64("seed", "prefix", "density_bin"), F.lit(5))) % 5).cast("int").alias("cand_fold"))
 
 
+@query()
+def fold_candidates(spark, d):
+    return candidate_folds(spark, d)
+
+
+def balance(f, *by):
+    """Weighted relative spread over folds of divisions, datasets with divisions, edges, nodes, datasets, and divisions of each family; f has a row per dataset (and by)."""
+    mine = lambda p: F.sum(F.when(F.col("prefix") == p, F.col("n_divisions")).otherwise(0))
+    k = f.groupBy(*by, "fold").agg(
+        F.sum("n_divisions").alias("divs"), F.sum((F.col("n_divisions") > 0).cast("int")).alias("has"), F.sum("n_edges").alias("edgs"), F.sum("n_nodes").alias("nods"), F.count(F.lit(1)).alias("n"), mine("44b6").alias("d44"), mine("6bba").alias("d6b")
+    )
+    part = lambda c: F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c)).otherwise(0.0)
+    return k.groupBy(*by).agg(F.round(4 * part("divs") + 2 * part("has") + 2 * part("edgs") + part("nods") + part("n") + 2 * part("d44") + 2 * part("d6b"), 6).alias("score"))
+
+
+@query()
+def fold_choice(spark, d):
+    """The best balanced of all seeds' assignments."""
+    facts = save(dataset_facts(spark, d).select("dataset", "n_divisions", "n_edges"))
+    c = save(candidate_folds(spark, d).withColumnRenamed("cand_fold", "fold"))
+    best = balance(c.join(F.broadcast(facts), "dataset"), "seed").orderBy("score", "seed").limit(1)  # one row a dataset is broadcast
+    return c.join(F.broadcast(best), "seed").select("dataset", "fold", "seed", "score")
+
+
 SPREAD = "CASE WHEN avg({0})>0 THEN stddev_pop({0})/avg({0}) ELSE 0 END"
 
 
-@query(f"SELECT round(4*{SPREAD.format('divs')}+2*{SPREAD.format('edgs')}+1*{SPREAD.format('nods')}+1*{SPREAD.format('n')},6) score FROM (SELECT fold, sum(n_nodes)::double nods, count(*)::double n, sum(coalesce(e.k,0))::double edgs, sum(coalesce(f.k,0))::double divs FROM datasets d LEFT JOIN (SELECT dataset, count(*) k FROM edges GROUP BY 1) e USING (dataset) LEFT JOIN (SELECT dataset, count(*) k FROM forkpairs GROUP BY 1) f USING (dataset) GROUP BY 1)")
+@query(f"SELECT round(4*{SPREAD.format('divs')}+2*{SPREAD.format('has')}+2*{SPREAD.format('edgs')}+{SPREAD.format('nods')}+{SPREAD.format('n')}+2*{SPREAD.format('d44')}+2*{SPREAD.format('d6b')},6) score FROM (SELECT fold, sum(n_nodes)::double nods, count(*)::double n, sum(coalesce(e.k,0))::double edgs, sum(coalesce(f.k,0))::double divs, (count(*) FILTER (WHERE f.k>0))::double has, sum(CASE WHEN prefix='44b6' THEN coalesce(f.k,0) ELSE 0 END)::double d44, sum(CASE WHEN prefix='6bba' THEN coalesce(f.k,0) ELSE 0 END)::double d6b FROM datasets d LEFT JOIN (SELECT dataset, count(*) k FROM edges GROUP BY 1) e USING (dataset) LEFT JOIN (SELECT dataset, count(*) k FROM forkpairs GROUP BY 1) f USING (dataset) GROUP BY 1)")
 def fold_balance_score(spark, d):
-    """Weighted relative spread over folds of divisions, edges, nodes and datasets."""
+    """How unevenly the folds of the manifest share what there is."""
     f = dataset_facts(spark, d).join(tracks.datasets(tracks.nodes(spark, d)).select("dataset", "fold"), "dataset")
-    k = f.groupBy("fold").agg(F.sum("n_divisions").alias("divs"), F.sum("n_edges").alias("edgs"), F.sum("n_nodes").alias("nods"), F.count(F.lit(1)).alias("n"))
-    part = lambda c: F.when(F.avg(c) > 0, F.stddev_pop(c) / F.avg(c)).otherwise(0.0)
-    return k.agg(F.round(4 * part("divs") + 2 * part("edgs") + part("nods") + part("n"), 6).alias("score"))
+    return balance(f)
 
 
 @query("SELECT fold, count(*) FILTER (WHERE prefix='44b6') n_44b6, count(*) FILTER (WHERE prefix='6bba') n_6bba, sum(n_nodes)::bigint nodes FROM datasets GROUP BY 1")

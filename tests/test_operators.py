@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandflow.operators import greedy, metrics, policies, spatial, topology
@@ -57,7 +58,7 @@ def test_gap_and_bridge(spark):
     b = policies.strict_bridges(policies.bridge_census(n, e)).collect()
     assert [(r.a_id, r.b_id, r.c_id) for r in b] == [(21, 22, 23)]
     reasons = policies.repair_reasons(spark.createDataFrame([("d", 2, 3), ("d", 1, 2), ("d", 1, 99), ("d", 3, 22)], "dataset string, source_id long, target_id long"), n, e)
-    assert {(r.source_id, r.target_id): r.reason for r in reasons.collect()} == {(2, 3): "added", (1, 2): "existing_edge", (1, 99): "missing_endpoint", (3, 22): "source_busy"}
+    assert {(r.source_id, r.target_id): r.reason for r in reasons.collect()} == {(2, 3): "added", (1, 2): "existing_edge", (1, 99): "missing_endpoint", (3, 22): "degree_conflict"}
 
 
 def test_components_and_predecessors(spark):
@@ -69,6 +70,79 @@ def test_components_and_predecessors(spark):
     assert p[3] == (2, 1) and p[8] == (7, None) and 7 not in p
 
 
+def test_components_of_long_tracks_and_merges(spark):
+    n = nodes(spark, [(i, i, 0, 0, 0) for i in range(1, 101)] + [(201, 1, 0, 9, 0), (202, 1, 0, 9, 5), (203, 2, 0, 9, 2), (204, 3, 0, 9, 2)])
+    track = [(i, i + 1, 1) for i in range(1, 100)]
+    c = {r.node_id: r.component for r in topology.components(n, edges(spark, track)).collect()}
+    assert {c[i] for i in range(1, 101)} == {1} and c[204] == 204
+    merge = edges(spark, [*track, (201, 203, 1), (202, 203, 1), (203, 204, 1)])
+    c = {r.node_id: r.component for r in topology.components(n, merge).collect()}
+    assert {c[i] for i in range(1, 101)} == {1} and {c[i] for i in range(201, 205)} == {201}
+    low = n.withColumn("high_conf", F.lit(False))
+    assert policies.confidence_pruning(low, edges(spark, track)).count() == 100
+
+
+def test_repairs_in_order(spark):
+    n = nodes(spark, [(1, 1, 0, 0, 0), (2, 1, 0, 0, 2), (3, 2, 0, 0, 1), (4, 2, 0, 0, 3), (5, 3, 0, 0, 1), (6, 3, 0, 0, 5), (7, 4, 0, 0, 5)]).withColumns({"z": F.col("uz"), "y": F.col("uy"), "x": F.col("ux")})
+    none = edges(spark, [(6, 7, 1)])
+    p = spark.createDataFrame([("d", 1, 3), ("d", 2, 3), ("d", 2, 4), ("d", 1, 99), ("d", 6, 7), ("d", 6, 5)], "dataset string, source_id long, target_id long")
+    assert {(r.source_id, r.target_id): r.reason for r in policies.repair_reasons(p, n, none).collect()} == {(1, 3): "added", (2, 3): "degree_conflict", (2, 4): "added", (1, 99): "missing_endpoint", (6, 7): "existing_edge", (6, 5): "degree_conflict"}
+    b = spark.createDataFrame([("d", 2, 1, 3, 5), ("d", 2, 1, 4, 6), ("d", 3, 3, 5, 7), ("d", 3, 4, 6, 7)], "dataset string, t int, a_id long, b_id long, c_id long")
+    got = {(r.a_id, r.b_id, r.c_id): r.reason for r in policies.bridge_reasons(b, n, none).collect()}
+    assert got == {(1, 3, 5): "added", (1, 4, 6): "degree_conflict", (3, 5, 7): "existing_edge", (4, 6, 7): "existing_edge"}
+    (r,) = policies.added_edges(p.where("source_id = 2 AND target_id = 4"), n).collect()
+    assert r.edge_prob == 0 and r.edge_dist == 0.25
+
+
+def test_a_long_chain_of_rivals(spark):
+    rows = [("x", k, f"s{k}", f"s{k + 1}") for k in range(100)]
+    got = greedy.ordered_greedy(spark.createDataFrame(rows, "dataset string, ord long, a string, b string"), ["dataset"], ["ord"], ["a", "b"])
+    assert {r.ord for r in got.collect()} == set(range(0, 100, 2))
+
+
+def test_rings_equal_whole_frames(spark):
+    rng = random.Random(8)
+    a = nodes(spark, [(i, 1 + i % 3, *(rng.uniform(0, 60) for _ in range(3))) for i in range(90)] + [(500, 1, 900, 900, 900)]).drop("high_conf")
+    b = a.select("dataset", "t", F.col("node_id").alias("other_id"), *[(F.col(u) + 0.5).alias(u) for u in ("uz", "uy", "ux")])
+    query = ["dataset", "node_id"]
+    near = spatial.knn(a, b, ["dataset", "t"], query, "other_id", 4, radius=6.0)
+    every = spatial.nearest(spatial.frame_pairs(a, b, ["dataset", "t"]), query, "other_id", 4)
+    key = lambda df: {(r.node_id, r.other_id, r.rk) for r in df.collect()}
+    assert key(near) == key(every)
+
+
+def test_division_accounting(spark):
+    """A right fork, a fork where the annotation goes on without dividing, one that nothing judges, and a missed division; the second daughter of the first is shown by a child."""
+    gt = edges(spark, [(1, 2, 1), (1, 3, 1), (3, 4, 1), (11, 12, 1), (31, 32, 1), (31, 33, 1)])
+    pred = edges(spark, [(101, 102, 1), (101, 103, 1), (103, 104, 1), (111, 112, 1), (111, 113, 1), (121, 122, 1), (121, 123, 1)])
+    m = spark.createDataFrame([("d", 1, a, b) for a, b in [(1, 101), (2, 102), (4, 104), (11, 111), (12, 112), (31, 131)]], "dataset string, t int, gt_id long, node_id long")
+    counts, verdict = metrics.division_accounting(pred, gt, m)
+    assert {r.source_id: r.verdict for r in verdict.collect()} == {101: "tp", 111: "fp", 121: "not_evaluated"}
+    assert [(r.tp, r.fp, r.fn) for r in counts.collect()] == [(1, 1, 1)]
+
+
+def test_assignments_equal_all_permutations():
+    import pandas as pd
+
+    rng = random.Random(4)
+    for _ in range(40):
+        pairs_ = [(i, 10 + j, round(rng.uniform(0, 7), 3)) for i in range(3) for j in range(3) if rng.random() < 0.7]
+        got = metrics.solve(pd.DataFrame(pairs_, columns=["gt_id", "node_id", "dist"])) if pairs_ else pd.DataFrame({"dist": []})
+        cost = {(i, j): c for i, j, c in pairs_}
+        best = min(sum(cost.get((i, j), metrics.UNMATCHED) for i, j in enumerate(p)) for p in itertools.permutations([10, 11, 12, 20, 21, 22], 3))
+        assert abs(got.dist.sum() + metrics.UNMATCHED * (3 - len(got)) - best) < 1e-6
+
+
+def test_manifest_columns(spark, tmp_path):
+    header = "dataset,prefix,fold,n_frames,estimated_nodes,estimated_per_frame,sparse_gt_nodes,sparse_gt_edges,sparse_gt_per_frame,sparse_fraction,annotated_frames,n_divisions,has_division,density_bin,is_downloadable_test_overlap"
+    (tmp_path / "m.csv").write_text(header + "\nd_1,d,3,76,25755,338.9,52,50,0.68,0.002,52,7,1,2,True\n")
+    (r,) = submission.read_manifest(spark, str(tmp_path / "m.csv")).collect()
+    assert (r.sparse_gt_nodes, r.sparse_fraction, r.n_divisions, r.density_bin, r.is_downloadable_test_overlap) == (52, 0.002, 7, 2, True)
+    (tmp_path / "short.csv").write_text("dataset,prefix\nd_1,d\n")
+    with pytest.raises(ValueError, match="not the columns"):
+        submission.read_manifest(spark, str(tmp_path / "short.csv"))
+
+
 def test_grid_join_equals_all_pairs(spark):
     rng = random.Random(3)
     a = nodes(spark, [(i, 1, rng.uniform(-20, 20), rng.uniform(-20, 20), rng.uniform(-20, 20)) for i in range(80)]).drop("high_conf")
@@ -81,7 +155,7 @@ def test_grid_join_equals_all_pairs(spark):
 def test_ordered_greedy_equals_a_loop(spark):
     rng = random.Random(5)
     rows = [(d, k, f"s{rng.randrange(9)}", f"t{rng.randrange(9)}") for d in ("x", "y") for k in range(40)]
-    got = greedy.ordered_greedy(spark.createDataFrame(rows, "dataset string, ord long, a string, b string"), ["dataset"], "ord", ["a", "b"])
+    got = greedy.ordered_greedy(spark.createDataFrame(rows, "dataset string, ord long, a string, b string"), ["dataset"], ["ord"], ["a", "b"])
     want, used = set(), set()
     for d, k, a, b in sorted(rows, key=lambda r: (r[0], r[1])):
         if (d, a) not in used and (d, b) not in used:
