@@ -129,8 +129,7 @@ V["oraclediv"] = f"""SELECT g.dataset, {_FAR.format('a', 'b')} sep, greatest({_F
  JOIN matches m2 ON m2.dataset=g.dataset AND m2.gt_id=g.g2 JOIN nodes p ON p.dataset=g.dataset AND p.node_id=mp.node_id JOIN nodes a ON a.dataset=g.dataset AND a.node_id=m1.node_id JOIN nodes b ON b.dataset=g.dataset AND b.node_id=m2.node_id"""
 
 
-@query(f"""SELECT gs, gm, accepted, round(accepted*1.0::double/frozen,6) ratio, reachable, oracle_passed FROM (SELECT CAST(gs AS int) gs, CAST(gm AS int) gm, (SELECT count(*) FROM forks WHERE p2>=0.8 AND {_GATE}) accepted, (SELECT count(*) FROM forks WHERE p2>=0.8 AND sep>=6 AND arm<=8 AND balance<=0.5) frozen, (SELECT count(*) FROM oraclediv) reachable, (SELECT count(*) FROM oraclediv WHERE {_GATE}) oracle_passed
- FROM (VALUES (4),(5),(6),(7)) s(gs), (VALUES (6),(8),(10),(12)) m(gm))""")
+@query()
 def gate_counterfactual(spark, d):
     """Forks that each gate would accept, as a share of those of the frozen one, and the divisions it could reach if linking were perfect."""
     s = Study(spark, d)
