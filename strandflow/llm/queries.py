@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandflow.llm import exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, secret_scan, sentence_piece, suffix_dedup, toxicity
+from strandflow.llm import collocations, exact_dedup, language_id, line_dedup, manifest, merkle, near_dedup, packing, secret_scan, sentence_piece, suffix_dedup, toxicity, vector_search
 from strandflow.llm.common import read
 
 
@@ -56,8 +57,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_report(read(spark, sf_dir, "documents"))
+
+
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents")).drop("doc_id", "offset")
+
+
+REGISTERED = [
+    op1_near_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_secret_scan, op7_language_id, op8_sentence_piece, op9_suffix_dedup, op10_line_dedup,
+    op11_dataset_manifest, op12_topk_search, op13_collocations,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_exact_dedup, op3_packing, op4_toxicity, op5_fingerprints, op6_secret_scan, op7_language_id, op8_sentence_piece, op9_suffix_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
