@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strandflow.llm.common import save, split_by_keys
 
 SCALE = 256
-CELLS = 32
+CELLS = 256  # a byte
 BLOCK = 1024  # vectors of a block of the file
 SHARE = 8  # blocks that a task scans for a block of queries
 QUERIES = 4096  # queries of a block
@@ -45,7 +45,7 @@ def classes_of(vectors: DataFrame, k: int) -> DataFrame:
 def cell_bounds(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The least and greatest value of each dimension's cells: (dimensions, CELLS) each. Quantile sketches over all rows, one row a dimension."""
     shares = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
-    rows = classes.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.percentile_approx("x", shares, 1000).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("d").collect()
+    rows = classes.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.percentile_approx("x", shares, 10_000).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("d").collect()
     edges = np.array([[min(r.lo, 0), *sorted(np.clip(r.q, min(r.lo, 0), None)), max(r.hi, 0) + 1] for r in rows], np.int64).reshape(-1, CELLS + 1)
     return edges[:, :-1], np.maximum(edges[:, 1:] - 1, edges[:, :-1])
 
