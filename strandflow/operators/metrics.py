@@ -139,6 +139,11 @@ def dataset_metrics(edge: DataFrame, division: DataFrame, matches: DataFrame, gt
     recall = gt.groupBy("dataset").agg(F.count(F.lit(1)).alias("gt_nodes")).join(matches.groupBy("dataset").agg(F.count(F.lit(1)).alias("matched")), "dataset", "left")
     r = sizes.join(edge, "dataset", "left").join(d, "dataset", "left").join(recall, "dataset", "left")
     r = r.fillna(0, ["tp", "fp", "fn", "division_tp", "division_fp", "division_fn", "gt_nodes", "matched"])
+    return rates(r)
+
+
+def rates(r: DataFrame) -> DataFrame:
+    """Adds what follows from a dataset's counts: edge_jaccard, node_ratio, adjusted and node_recall."""
     every = F.col("tp") + F.col("fp") + F.col("fn")
     r = r.withColumns({"edge_jaccard": F.when(every > 0, F.col("tp") / every).otherwise(0.0), "node_ratio": F.col("n_nodes") / F.col("estimated_nodes") - 1})
     return r.withColumns({"adjusted": F.greatest(F.lit(0.0), F.col("edge_jaccard") * (1 - 0.1 * F.col("node_ratio"))), "node_recall": F.when(F.col("gt_nodes") > 0, F.col("matched") / F.col("gt_nodes")).otherwise(0.0)})
