@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import geometry as g
-from strandflow.operators import policies, topology
+from strandflow.operators import policies, ranks, topology
 from strandflow.plans.policies import graph, rounded
 from strandflow.plans.registry import query
 from strandflow.sources import tracks
+from strandflow.sources.shared import save
 
 
 def forks(spark, d):
@@ -33,10 +34,11 @@ LEVELS = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
 
 @query("SELECT variable, count(*) n, round(min(v),6) lo, " + ", ".join(f"round(quantile_cont(v,{q}),6) q{round(100 * q)}" for q in LEVELS) + ", round(max(v),6) hi FROM (SELECT unnest(['sep','arm','balance','d1']) variable, unnest([sep,arm,balance,d1]) v FROM forks) GROUP BY 1")
 def geometry_quantiles(spark, d):
-    """Exact quantiles of several variables, unpivoted."""
-    long = forks(spark, d).unpivot(["dataset"], ["sep", "arm", "balance", "d1"], "variable", "v")
-    q = [F.round(F.percentile("v", x), 6).alias(f"q{round(100 * x)}") for x in LEVELS]
-    return long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("v"), 6).alias("lo"), *q, F.round(F.max("v"), 6).alias("hi"))
+    """Exact quantiles of several variables, unpivoted; ranks are taken range by range, so no variable is one task."""
+    long = save(forks(spark, d).unpivot(["dataset"], ["sep", "arm", "balance", "d1"], "variable", "v"))
+    q = ranks.quantiles(long, ["variable"], "v", {f"q{round(100 * x)}": x for x in LEVELS})
+    ends = long.groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("v"), 6).alias("lo"), F.round(F.max("v"), 6).alias("hi"))
+    return ends.join(q, "variable").select("variable", "n", "lo", *[F.round(f"q{round(100 * x)}", 6).alias(f"q{round(100 * x)}") for x in LEVELS], "hi")
 
 
 GRID = "(VALUES (4),(5),(6),(7)) s(gs), (VALUES (60),(90),(120),(140)) a(ga), (VALUES (6),(8),(10),(12)) m(gm), (VALUES (0.4),(0.5),(0.6)) b(gb)"
@@ -70,15 +72,19 @@ def edge_prob_quantiles(spark, d):
     at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
     j = e.join(t, ["dataset", "source_id", "target_id"], "left").join(at("source_id", "a"), ["dataset", "source_id"]).join(at("target_id", "b"), ["dataset", "target_id"])
     j = j.withColumns({"hit": F.col("g").isNotNull(), "dist": g.norm(tuple(F.col(f"a{u}") - F.col(f"b{u}") for u in g.AXES))})
-    q = [F.round(F.percentile(v, x), 6).alias(f"{k}_q{round(100 * x)}") for v, k in (("edge_prob", "prob"), ("dist", "dist")) for x in (0.1, 0.5, 0.9)]
-    return j.groupBy("hit").agg(F.count(F.lit(1)).alias("n"), *q)
+    long = save(j.select("hit", F.col("edge_prob").alias("prob"), "dist").unpivot(["hit"], ["prob", "dist"], "variable", "v"))
+    levels = {f"q{round(100 * x)}": x for x in (0.1, 0.5, 0.9)}
+    q = ranks.quantiles(long, ["hit", "variable"], "v", levels)
+    wide = [F.round(F.max(F.when(F.col("variable") == k, F.col(c))), 6).alias(f"{k}_{c}") for k in ("prob", "dist") for c in levels]
+    return long.where("variable = 'prob'").groupBy("hit").agg(F.count(F.lit(1)).alias("n")).join(q.groupBy("hit").agg(*wide), "hit")
 
 
-@query("SELECT s.dataset, CAST(s.t AS int) t, count(g.node_id) n FROM (SELECT dataset, unnest(range(1,8)) t FROM (SELECT DISTINCT dataset FROM nodes)) s LEFT JOIN gt_nodes g ON g.dataset=s.dataset AND g.t=s.t GROUP BY ALL")
+@query("SELECT s.dataset, CAST(s.t AS int) t, count(g.node_id) n FROM (SELECT dataset, unnest(range(1,last+1)) t FROM (SELECT dataset, max(t) last FROM nodes GROUP BY 1)) s LEFT JOIN gt_nodes g ON g.dataset=s.dataset AND g.t=s.t GROUP BY ALL")
 def annotation_density(spark, d):
     """Annotations per frame, frames without any as zero (the spine is one array per dataset)."""
     n = tracks.nodes(spark, d)
-    spine = n.select("dataset").distinct().withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    last = n.groupBy("dataset").agg(F.max("t").cast("int").alias("last"))
+    spine = last.select("dataset", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("t"))
     k = tracks.gt_nodes(n).groupBy("dataset", "t").agg(F.count(F.lit(1)).alias("n"))
     return spine.join(k, ["dataset", "t"], "left").fillna(0, ["n"])
 
@@ -199,13 +205,24 @@ def frame_event_features(spark, d):
     return f.select("dataset", "t", "n", r(first, "top"), r(first - F.coalesce(F.get("s", F.lit(1)), first), "margin"), r(F.col("mean"), "mean"), r(F.col("std"), "std"), r(F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s"), "top3"), F.round(F.when(F.col("std") > 1e-12, (first - F.col("mean")) / F.col("std")).otherwise(0.0), 5).alias("max_z"))
 
 
-@query(f"SELECT dataset, t, round(coalesce(CASE WHEN pt=t-1 THEN mean-pm END,0),6) rise, round(coalesce(CASE WHEN nt=t+1 THEN mean-nm END,0),6) AS fall, coalesce(pt=t-1 AND nt=t+1 AND mean>pm AND mean>nm, false) peak, round(coalesce(CASE WHEN pt=t-1 AND nt=t+1 THEN mean-(pm+nm)/2 END,0),6) contrast1, round(coalesce(CASE WHEN pt2=t-2 AND nt2=t+2 THEN mean-(pm2+nm2)/2 END,0),6) contrast2 FROM (SELECT *, lag(t) OVER w pt, lag(mean) OVER w pm, lead(t) OVER w nt, lead(mean) OVER w nm, lag(t,2) OVER w pt2, lag(mean,2) OVER w pm2, lead(t,2) OVER w nt2, lead(mean,2) OVER w nm2 FROM {EVENTS} z WINDOW w AS (PARTITION BY dataset ORDER BY t))")
+_MEANS = {"p": "lag({0}) OVER w", "n": "lead({0}) OVER w", "p2": "lag({0},2) OVER w", "n2": "lead({0},2) OVER w"}
+_AROUND = ", ".join(f"{e.format(c)} {k}{c}" for k, e in _MEANS.items() for c in "tsk")
+#: Means are sums of hundredths over counts; differences are fractions of integers, divided last, so equal frames are equal.
+_STEP = "round(coalesce(CASE WHEN {0}t={1} THEN ((s*{0}k-{0}s*k)*1.0::double)/(100*k*{0}k) END,0),6)"
+_MID = "round(coalesce(CASE WHEN p{0}t=t-{1} AND n{0}t=t+{1} THEN ((2*s*p{0}k*n{0}k-k*(p{0}s*n{0}k+n{0}s*p{0}k))*1.0::double)/(200*k*p{0}k*n{0}k) END,0),6)"
+CONTRAST = {
+    "rise": _STEP.format("p", "t-1"), "fall": _STEP.format("n", "t+1"), "peak": "coalesce(pt=t-1 AND nt=t+1 AND s*pk>ps*k AND s*nk>ns*k, false)", "contrast1": _MID.format("", 1), "contrast2": _MID.format("2", 2),
+}
+
+
+@query(f"""SELECT dataset, t, {", ".join(f"{e} AS {k}" for k, e in CONTRAST.items())} FROM (SELECT *, {_AROUND}
+ FROM (SELECT dataset, t, sum(CAST(round(tx*100) AS bigint))::bigint s, count(*) k FROM nodes GROUP BY ALL) WINDOW w AS (PARTITION BY dataset ORDER BY t))""")
 def temporal_contrast(spark, d):
-    f = tracks.nodes(spark, d).groupBy("dataset", "t").agg(F.avg("tx").alias("mean"))
+    """How a frame's mean tx stands out against the frames before and after; a missing neighbour counts as no difference."""
+    f = tracks.nodes(spark, d).groupBy("dataset", "t").agg(F.sum(F.round(F.col("tx") * 100).cast("long")).alias("s"), F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy("dataset").orderBy("t")
-    f = f.withColumns({"pt": F.lag("t").over(w), "pm": F.lag("mean").over(w), "nt": F.lead("t").over(w), "nm": F.lead("mean").over(w), "pt2": F.lag("t", 2).over(w), "pm2": F.lag("mean", 2).over(w), "nt2": F.lead("t", 2).over(w), "nm2": F.lead("mean", 2).over(w)})
-    return f.select("dataset", "t", F.expr("round(coalesce(CASE WHEN pt=t-1 THEN mean-pm END, 0), 6)").alias("rise"), F.expr("round(coalesce(CASE WHEN nt=t+1 THEN mean-nm END, 0), 6)").alias("fall"), F.expr("coalesce(pt=t-1 AND nt=t+1 AND mean>pm AND mean>nm, false)").alias("peak"),
-        F.expr("round(coalesce(CASE WHEN pt=t-1 AND nt=t+1 THEN mean-(pm+nm)/2 END, 0), 6)").alias("contrast1"), F.expr("round(coalesce(CASE WHEN pt2=t-2 AND nt2=t+2 THEN mean-(pm2+nm2)/2 END, 0), 6)").alias("contrast2"))
+    f = f.withColumns({f"{k}{c}": (F.lag if k[0] == "p" else F.lead)(c, 2 if k[-1] == "2" else 1).over(w) for k in _MEANS for c in "tsk"})
+    return f.select("dataset", "t", *[F.expr(e.replace("1.0::double", "1.0D")).alias(k) for k, e in CONTRAST.items()])
 
 
 LOGIT = "ln(least(greatest({0},1e-6::double),1-1e-6::double)/(1-least(greatest({0},1e-6::double),1-1e-6::double)))"
@@ -243,21 +260,18 @@ def scored(spark, d):
 
 @query(f"SELECT prefix, round((sum(CASE WHEN label=1 THEN rk END)-p*(p+1)/2.0)/(p*(n-p)),6) auc FROM (SELECT *, rank() OVER (PARTITION BY prefix ORDER BY score)+(count(*) OVER (PARTITION BY prefix,score)-1)/2.0 rk, sum(label) OVER (PARTITION BY prefix) p, count(*) OVER (PARTITION BY prefix) n FROM {SCORED} z) GROUP BY prefix, p, n")
 def ranking_auc(spark, d):
-    """ROC-AUC with ties at their average rank, from one count per distinct score: only those are ordered."""
-    s = scored(spark, d).groupBy("prefix", "score").agg(F.count(F.lit(1)).alias("k"), F.sum("label").alias("pos"))
-    w = Window.partitionBy("prefix").orderBy("score")
-    s = s.withColumn("rk", F.sum("k").over(w) - F.col("k") + (F.col("k") + 1) / 2)
-    a = s.groupBy("prefix").agg(F.sum(F.col("rk") * F.col("pos")).alias("r"), F.sum("pos").alias("p"), F.sum("k").alias("n"))
-    return a.select("prefix", F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auc"))
+    """ROC-AUC with ties at their average rank, from one count per distinct score."""
+    return ranks.auc(scored(spark, d), ["prefix"], "score", "label").select("prefix", F.round("auc", 6).alias("auc"))
 
 
 CUM = f"(SELECT prefix, score, pos, sum(pos) OVER w tp, sum(k) OVER w n, sum(pos) OVER (PARTITION BY prefix) p FROM (SELECT prefix, score, count(*) k, sum(label) pos FROM {SCORED} z GROUP BY ALL) WINDOW w AS (PARTITION BY prefix ORDER BY score DESC))"
 
 
 def cumulative(spark, d):
+    """Hits and rows down to each distinct score, best first."""
     s = scored(spark, d).groupBy("prefix", "score").agg(F.count(F.lit(1)).alias("k"), F.sum("label").alias("pos"))
-    w = Window.partitionBy("prefix").orderBy(F.desc("score"))
-    return s.withColumns({"tp": F.sum("pos").over(w), "n": F.sum("k").over(w), "p": F.sum("pos").over(Window.partitionBy("prefix"))})
+    c = ranks.cumulative(s, ["prefix"], [F.desc("score")], ["k", "pos"])
+    return c.select("prefix", "score", "pos", (F.col("before_pos") + F.col("pos")).alias("tp"), (F.col("before_k") + F.col("k")).alias("n"), F.col("total_pos").alias("p"))
 
 
 @query(f"SELECT prefix, round(sum(pos*1.0::double/p*tp/n),6) ap FROM {CUM} z GROUP BY 1")
@@ -290,6 +304,28 @@ def rank_ensemble(spark, d):
     return rounded(tracks.nodes(spark, d).withColumn("score", (pct("d") + pct("tx")) / 2), "score").select("dataset", "node_id", "score")
 
 
+SEEDS = ("d", "tx", "edge")
+_PCT = ", ".join(f"(rank() OVER (PARTITION BY fold ORDER BY {c})+(count(*) OVER (PARTITION BY fold,{c})-1)/2.0::double)/count(*) OVER (PARTITION BY fold) p_{c}" for c in SEEDS)
+_SEEDED = "SELECT n.dataset, n.node_id, n.t, n.d, n.tx, coalesce(e.edge,0) edge, s.fold FROM nodes n JOIN datasets s USING (dataset) LEFT JOIN (SELECT dataset, source_id node_id, max(edge_prob) edge FROM edges GROUP BY ALL) e USING (dataset,node_id)"
+
+
+@query(f"SELECT dataset, node_id, fold, score, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, t, node_id) rank FROM (SELECT dataset, node_id, t, fold, round(({'+'.join(f'p_{c}' for c in SEEDS)})/{len(SEEDS)},9) score FROM (SELECT *, {_PCT} FROM ({_SEEDED})))")
+def fold_rank_ensemble(spark, d):
+    """Scores of several seeds as average percent ranks within each fold, their mean, and the rank by it inside each dataset."""
+    n = tracks.nodes(spark, d)
+    e = tracks.edges(n).groupBy("dataset", F.col("source_id").alias("node_id")).agg(F.max("edge_prob").alias("edge"))
+    rows = n.select("dataset", "node_id", "t", "d", "tx").join(e, ["dataset", "node_id"], "left").fillna(0.0, ["edge"]).join(tracks.datasets(n).select("dataset", "fold"), "dataset")
+    rows = save(rows)
+    long = rows.unpivot(["fold"], list(SEEDS), "seed", "value")
+    pct = save(ranks.average_ranks(long, ["fold", "seed"], "value").select("fold", "seed", "value", (F.col("rank") / F.col("size")).alias("p")))
+    out = rows
+    for c in SEEDS:
+        out = out.join(pct.where(F.col("seed") == c).select("fold", F.col("value").alias(c), F.col("p").alias(f"p_{c}")), ["fold", c])
+    out = out.withColumn("score", F.round(sum((F.col(f"p_{c}") for c in SEEDS), F.lit(0.0)) / len(SEEDS), 9))
+    w = Window.partitionBy("dataset").orderBy(F.desc("score"), "t", "node_id")
+    return out.select("dataset", "node_id", "fold", "score", F.row_number().over(w).alias("rank"))
+
+
 POLICY = f"(SELECT CAST(gs AS int) gs, CAST(gm AS int) gm, count(*) FILTER (WHERE sep>=gs AND arm<=gm AND p2>=0.8) tp, count(*) FILTER (WHERE sep>=gs AND arm<=gm AND p2<0.8) fp FROM forks, {GRID} WHERE ga=60 AND gb=0.4 GROUP BY ALL)"
 
 

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import geometry as g
 from strandflow.operators import association as A
-from strandflow.operators import policies, spatial
+from strandflow.operators import logistic, policies, ranks, spatial
+from strandflow.plans import oracle
 from strandflow.plans.association import TOP2
 from strandflow.plans.evaluation import RAW, Study
 from strandflow.plans.graph import GM, NEXT, gt, moves, next_frame
 from strandflow.plans.policies import BRIDGE, GAP, graph
 from strandflow.plans.registry import query
 from strandflow.sources import tracks
+from strandflow.sources.shared import save
 
 GTD = "sqrt((a.uz-b.uz)*(a.uz-b.uz)+(a.uy-b.uy)*(a.uy-b.uy)+(a.ux-b.ux)*(a.ux-b.ux))"
 
@@ -134,28 +136,58 @@ def bridge_ambiguity(spark, d):
     return b.groupBy("pair_count").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("residual") <= 4, 1)).alias("geometric"), F.round(F.avg("residual"), 6).alias("mean_residual"))
 
 
+GEOMETRY = ["near", "far", "sep", "angle", "balance"]
+_SHAPE = """SELECT f.*, split_part(f.dataset,'_',1) family, s.fold FROM (SELECT dataset, source_id, label, least(da,db) near, greatest(da,db) far, sep, CASE WHEN da*db>0 THEN degrees(acos(least(greatest(dp/(da*db),-1.0::double),1.0::double))) ELSE 0 END angle, abs(da-db)/greatest(da+db,1e-12::double) balance FROM
+ (SELECT v.dataset, v.source_id, v.label, sqrt(power(a.uz-p.uz,2)+power(a.uy-p.uy,2)+power(a.ux-p.ux,2)) da, sqrt(power(b.uz-p.uz,2)+power(b.uy-p.uy,2)+power(b.ux-p.ux,2)) db, sqrt(power(a.uz-b.uz,2)+power(a.uy-b.uy,2)+power(a.ux-b.ux,2)) sep,
+  (a.uz-p.uz)*(b.uz-p.uz)+(a.uy-p.uy)*(b.uy-p.uy)+(a.ux-p.ux)*(b.ux-p.ux) dp FROM shapes v JOIN gt_nodes p ON p.dataset=v.dataset AND p.node_id=v.source_id JOIN gt_nodes a ON a.dataset=v.dataset AND a.node_id=v.d1 JOIN gt_nodes b ON b.dataset=v.dataset AND b.node_id=v.d2)) f JOIN datasets s USING (dataset)"""
+oracle.VIEWS["shapes"] = f"""SELECT dataset, source_id, d1, d2, 1 AS label FROM {DIV} z UNION ALL SELECT dataset, source_id, target_id, other, 0 FROM (SELECT e.dataset, e.source_id, e.target_id, b.node_id other, row_number() OVER (PARTITION BY e.dataset, e.source_id ORDER BY {GTD}, b.node_id) rk
+ FROM (SELECT *, count(*) OVER (PARTITION BY dataset, source_id) k FROM gt_edges) e JOIN gt_nodes a ON a.dataset=e.dataset AND a.node_id=e.source_id JOIN gt_nodes b ON b.dataset=a.dataset AND b.t=a.t+1 AND b.node_id<>e.target_id WHERE e.k=1 AND {GTD}<=15) WHERE rk=1"""
+
+
+def shapes(spark, d):
+    """The geometry of annotated divisions (label 1), and of nodes with one child taken together with the nearest other node of the next frame within 15 um (label 0)."""
+    n, e = gt(spark, d)
+    n, e = save(n), save(e)
+    w = Window.partitionBy("dataset", "source_id")
+    e = e.withColumn("k", F.count(F.lit(1)).over(w))
+    yes = e.where("k = 2").groupBy("dataset", "source_id").agg(F.min("target_id").alias("d1"), F.max("target_id").alias("d2")).withColumn("label", F.lit(1))
+    a = n.join(e.where("k = 1").select("dataset", F.col("source_id").alias("node_id"), "target_id"), ["dataset", "node_id"]).select("dataset", (F.col("t") + 1).alias("t"), F.col("node_id").alias("source_id"), "target_id", *g.AXES)
+    near = spatial.within(a, n.select("dataset", "t", F.col("node_id").alias("other"), *g.AXES), ["dataset", "t"], 15.0).where("other <> target_id")
+    no = spatial.nearest(near, ["dataset", "source_id"], "other", 1).select("dataset", "source_id", F.col("target_id").alias("d1"), F.col("other").alias("d2"), F.lit(0).alias("label"))
+    at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
+    j = yes.unionByName(no).join(at("source_id", "p"), ["dataset", "source_id"]).join(at("d1", "a"), ["dataset", "d1"]).join(at("d2", "b"), ["dataset", "d2"])
+    v = lambda x: tuple(F.col(f"{x}{u}") for u in g.AXES)
+    va, vb = g.sub(v("a"), v("p")), g.sub(v("b"), v("p"))
+    da, db = g.norm(va), g.norm(vb)
+    j = j.select(
+        "dataset", "source_id", "label", F.least(da, db).alias("near"), F.greatest(da, db).alias("far"), g.norm(g.sub(v("a"), v("b"))).alias("sep"), F.nanvl(g.angle(va, vb), F.lit(0.0)).alias("angle"), g.division_balance(da, db).alias("balance"),
+    )
+    sets = tracks.datasets(tracks.nodes(spark, d)).select("dataset", F.col("prefix").alias("family"), "fold")
+    return j.join(sets, "dataset")
+
+
+@query(f"SELECT dataset, source_id, label, family, fold, {', '.join(f'round({c},5) {c}' for c in GEOMETRY)} FROM ({_SHAPE}) z")
+def division_shapes(spark, d):
+    return shapes(spark, d).select("dataset", "source_id", "label", "family", "fold", *[F.round(c, 5).alias(c) for c in GEOMETRY])
+
+
+def classified(spark, d):
+    """Out-of-fold scores of one logistic model of all geometry per family and fold, folds by dataset, all fitted at once."""
+    rows = save(shapes(spark, d))
+    return logistic.scored(rows, logistic.fit(rows, GEOMETRY, "family", "fold", "label"), GEOMETRY, "family", "fold")
+
+
 @query()
 def geometry_classifier(spark, d):
-    """Out-of-fold scores of a logistic model of link geometry, folds by dataset."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    n, e = graph(spark, d)
-    links = e.select("dataset", F.col("source_id").alias("node_id"), F.col("target_id").alias("other_id"), F.lit(1.0).alias("label"))
-    p = next_frame(n, 12.0)
-    rank = F.row_number().over(Window.partitionBy("dataset", "node_id").orderBy("dist", "other_id")).cast("double")
-    rows = p.withColumn("rk", rank).join(links, ["dataset", "node_id", "other_id"], "left").fillna(0.0, ["label"]).join(tracks.datasets(n).select("dataset", "fold"), "dataset")
-    stages = [VectorAssembler(inputCols=["dist", "rk"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(maxIter=20)]
-    out = None
-    for fold in range(5):  # the folds are five
-        scored = Pipeline(stages=stages).fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold))
-        one = scored.select("dataset", "node_id", "other_id", "fold", "label", F.round(vector_to_array("probability")[1], 4).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Out-of-fold scores of a logistic model of division geometry by family."""
+    return classified(spark, d).select("dataset", "source_id", "family", "fold", "label", F.round("score", 5).alias("score"))
 
 
+@query()
+def geometry_classifier_auc(spark, d):
+    """ROC-AUC of the out-of-fold scores by family and fold."""
+    a = ranks.auc(save(classified(spark, d).select("family", "fold", "label", "score")), ["family", "fold"], "score", "label")
+    return a.select("family", "fold", "n", F.col("p").alias("positives"), F.round("auc", 6).alias("auc"))
 
 
 @query("SELECT fold, high_conf AS label, count(*) n, round(avg(CASE WHEN z<8 OR z>56 OR y<16 OR y>240 OR x<16 OR x>240 THEN 1.0 ELSE 0 END),6) padded FROM nodes JOIN datasets USING (dataset) GROUP BY ALL")

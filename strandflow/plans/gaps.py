@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import geometry as g
-from strandflow.operators import greedy, spatial
+from strandflow.operators import greedy, logistic, ranks, spatial, topology
 from strandflow.plans import oracle
+from strandflow.plans.evaluation import Study
 from strandflow.plans.policies import saved_graph
 from strandflow.plans.registry import query
 from strandflow.sources.shared import save
@@ -96,10 +97,17 @@ def features(p):
     return p.select("dataset", "source_id", "target_id", "dt", F.col("cuts").alias("cut"), "s_sym", "t_sym", *exprs)
 
 
+def medians(f):
+    """One row with the exact median of each feature; ranks are taken range by range."""
+    long = f.select(*[f"f_{k}" for k in FEATURES]).unpivot([], [f"f_{k}" for k in FEATURES], "feature", "v")
+    q = ranks.quantiles(long, ["feature"], "v", {"m": 0.5})
+    return q.agg(*[F.max(F.when(F.col("feature") == f"f_{k}", F.col("m"))).alias(f"m_{k}") for k in FEATURES])
+
+
 def scored(f):
     """The model's score: missing features take the median, all are standardised over the whole table (one row of statistics is broadcast)."""
     f = save(f)
-    mid = f.agg(*[F.percentile(f"f_{k}", 0.5).alias(f"m_{k}") for k in FEATURES])
+    mid = medians(f)
     whole = f.crossJoin(F.broadcast(mid))
     full = lambda k: F.coalesce(f"f_{k}", f"m_{k}")
     stat = whole.agg(*[x for k in FEATURES for x in (F.avg(full(k)).alias(f"a_{k}"), F.stddev_pop(full(k)).alias(f"d_{k}"))])
@@ -169,3 +177,29 @@ def gap_apply(spark, d):
         tall = one if tall is None else tall.unionByName(one)
     counts = tall.groupBy("dataset").agg(*[F.count(F.when(F.col("k") == k, 1)).alias(k) for k in ("edges_before", "added", "removed", "edges_after")])
     return tracks.datasets(tracks.nodes(spark, d)).select("dataset").join(counts, "dataset", "left").fillna(0)
+
+
+# ---- a model learned from proposals that the annotation can judge
+LEARNED = [f"f_{k}" for k in FEATURES] + [f"missing_{k}" for k in MISSING]
+
+
+def judged(f, s: Study):
+    """Proposals of which both ends are matched, with label 1 if one annotated lineage holds both, medians for what is missing, and their fold."""
+    lineage = topology.components(s.gt_nodes, s.gt_edges).select("dataset", F.col("node_id").alias("gt_id"), "component")
+    m = save(s.matches.join(lineage, ["dataset", "gt_id"]).select("dataset", "node_id", "component"))
+    end = lambda k, c: m.select("dataset", F.col("node_id").alias(k), F.col("component").alias(c))
+    both = f.join(end("source_id", "ca"), ["dataset", "source_id"]).join(end("target_id", "cb"), ["dataset", "target_id"]).withColumn("label", (F.col("ca") == F.col("cb")).cast("int")).drop("ca", "cb")
+    both = both.withColumns({f"missing_{k}": F.col(f"f_{k}").isNull().cast("double") for k in MISSING}).join(F.broadcast(medians(f)))
+    both = both.withColumns({f"f_{k}": F.coalesce(f"f_{k}", f"m_{k}", F.lit(0.0)) for k in FEATURES}).drop(*[f"m_{k}" for k in FEATURES])
+    return save(both.join(s.sizes.select("dataset", "fold"), "dataset").withColumn("family", F.lit("all")))
+
+
+@query()
+def gap_model(spark, d):
+    """Held-out AUC of a model of all features, learned from the other folds' judged proposals, beside that of the plain rank (per_frame), by fold."""
+    p, _ = all_proposals(spark, d)
+    rows = judged(save(features(shortlist(p))), Study(spark, d))
+    fitted = logistic.fit(rows, LEARNED, "family", "fold", "label", ridge=10.0)
+    out = save(logistic.scored(rows, fitted, LEARNED, "family", "fold").select("fold", "label", "score", (-F.col("f_per_frame")).alias("plain")))
+    model, plain = ranks.auc(out, ["fold"], "score", "label"), ranks.auc(out, ["fold"], "plain", "label")
+    return model.select("fold", "n", F.col("p").alias("positives"), F.round("auc", 6).alias("auc_model")).join(plain.select("fold", F.round("auc", 6).alias("auc_plain")), "fold")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import geometry as g
-from strandflow.operators import policies, spatial, topology
+from strandflow.operators import policies, ranks, spatial, topology
 from strandflow.plans import oracle
 from strandflow.plans.policies import graph, rounded, saved_graph
 from strandflow.plans.registry import query
@@ -152,10 +152,9 @@ def component_size_buckets(spark, d):
 @query(f"""SELECT prefix, bucket, quartile, count(*) n, round(avg(coverage),6) mean_coverage FROM (SELECT *, greatest(((rk-1)*4+n-2)//greatest(n-1,1),1)-1 quartile FROM
  (SELECT split_part(dataset,'_',1) prefix, {BUCKET} bucket, coverage, row_number() OVER (PARTITION BY split_part(dataset,'_',1), {BUCKET} ORDER BY mean_prob, dataset, component) rk, count(*) OVER (PARTITION BY split_part(dataset,'_',1), {BUCKET}) n FROM {STATS} s JOIN {PROBS} p USING (dataset,component))) GROUP BY ALL""")
 def component_confidence_quartiles(spark, d):
-    """Quartiles of mean probability within family and size bucket, ties broken by order (bins as equal-frequency cuts of ranks)."""
+    """Quartiles of mean probability within family and size bucket, ties broken by order (bins as equal-frequency cuts of ranks, which are taken range by range)."""
     s = stats(*graph(spark, d)).where("mean_prob IS NOT NULL").withColumns({"prefix": F.split("dataset", "_")[0], "bucket": topology.size_bucket(F.col("size"))})
-    w = Window.partitionBy("prefix", "bucket")
-    s = s.withColumns({"rk": F.row_number().over(w.orderBy("mean_prob", "dataset", "component")), "n": F.count(F.lit(1)).over(w)})
+    s = ranks.numbered(s, ["prefix", "bucket"], ["mean_prob", "dataset", "component"]).withColumns({"rk": F.col("pos") + 1, "n": F.col("of")})
     s = s.withColumn("quartile", F.expr("greatest(((rk-1)*4+n-2) div greatest(n-1,1), 1) - 1"))
     return s.groupBy("prefix", "bucket", "quartile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
 
