@@ -24,7 +24,7 @@ V["cases"] = f"""SELECT m.dataset, m.source_id, m.target_id, m.ps, m.pt, {_FAR.f
  CASE WHEN p.prob IS NULL THEN 'other' WHEN p.rank=1 AND p.prob<=0.5 THEN 'threshold' WHEN p.rank=1 THEN 'degree' WHEN p.margin<0.20 THEN 'competitor' ELSE 'model' END cause FROM (SELECT * FROM {MISS} z WHERE cause='linking') m JOIN nodes a ON a.dataset=m.dataset AND a.node_id=m.ps JOIN nodes b ON b.dataset=m.dataset AND b.node_id=m.pt
  LEFT JOIN (SELECT dataset, target_id node_id, string_agg(source_id::varchar, ',' ORDER BY source_id) rivals FROM edges GROUP BY ALL) i ON i.dataset=m.dataset AND i.node_id=m.pt LEFT JOIN (SELECT dataset, source_id node_id, count(*) n, string_agg(target_id::varchar, ',' ORDER BY target_id) rivals FROM edges GROUP BY ALL) o ON o.dataset=m.dataset AND o.node_id=m.ps
  LEFT JOIN (SELECT *, row_number() OVER w rank, first_value(prob) OVER w - prob margin FROM probs WINDOW w AS ({COL} ORDER BY prob DESC, source_id)) p ON p.dataset=m.dataset AND p.source_id=m.ps AND p.target_id=m.pt"""
-oracle.MATERIALIZED |= {"cases"}
+oracle.MATERIALIZED |= {"cases", "oraclediv"}
 
 
 def case_rows(s: Study):
@@ -124,30 +124,38 @@ def action_hash(spark, d):
 
 
 LEVELS = {"gs": (4, 5, 6, 7), "gm": (6, 8, 10, 12)}
-_GATE = "sep>=gs AND arm<=gm AND balance<=0.5"
-V["oraclediv"] = f"""SELECT g.dataset, {_FAR.format('a', 'b')} sep, greatest({_FAR.format('a', 'p')},{_FAR.format('b', 'p')}) arm, abs({_FAR.format('a', 'p')}-{_FAR.format('b', 'p')})/greatest({_FAR.format('a', 'p')}+{_FAR.format('b', 'p')},1e-12::double) balance FROM gdiv g JOIN matches mp ON mp.dataset=g.dataset AND mp.gt_id=g.parent JOIN matches m1 ON m1.dataset=g.dataset AND m1.gt_id=g.g1
- JOIN matches m2 ON m2.dataset=g.dataset AND m2.gt_id=g.g2 JOIN nodes p ON p.dataset=g.dataset AND p.node_id=mp.node_id JOIN nodes a ON a.dataset=g.dataset AND a.node_id=m1.node_id JOIN nodes b ON b.dataset=g.dataset AND b.node_id=m2.node_id"""
+V["foundpos"] = "SELECT m.dataset, m.gt_id, n.uz, n.uy, n.ux FROM matches m JOIN nodes n ON n.dataset=m.dataset AND n.node_id=m.node_id"
+V["founddiv"] = "SELECT g.*, p.uz puz, p.uy puy, p.ux pux FROM gdiv g JOIN foundpos p ON p.dataset=g.dataset AND p.gt_id=g.parent"
+V["oraclediv"] = f"""SELECT g.dataset, {_FAR.format('a', 'b')} sep, greatest(da,db) arm, abs(da-db)/greatest(da+db,1e-12::double) balance FROM (SELECT g.dataset, g.g1, g.g2, sqrt((a.uz-puz)*(a.uz-puz)+(a.uy-puy)*(a.uy-puy)+(a.ux-pux)*(a.ux-pux)) da, sqrt((b.uz-puz)*(b.uz-puz)+(b.uy-puy)*(b.uy-puy)+(b.ux-pux)*(b.ux-pux)) db
+ FROM founddiv g JOIN foundpos a ON a.dataset=g.dataset AND a.gt_id=g.g1 JOIN foundpos b ON b.dataset=g.dataset AND b.gt_id=g.g2) g JOIN foundpos a ON a.dataset=g.dataset AND a.gt_id=g.g1 JOIN foundpos b ON b.dataset=g.dataset AND b.gt_id=g.g2"""
+oracle.MATERIALIZED |= {"foundpos", "founddiv", "oraclediv"}
 
 
-@query()
+_GATES = [(gs, gm) for gs in LEVELS["gs"] for gm in LEVELS["gm"]]
+_PASSED = "(SELECT unnest([" + ",".join(str(v) for v, _ in _GATES) + "])::int gs, unnest([" + ",".join(str(v) for _, v in _GATES) + "])::int gm, unnest([" + ",".join(f"count(*) FILTER (WHERE sep>={v} AND arm<={w} AND balance<=0.5)" for v, w in _GATES) + "]) n FROM {})"
+
+
+@query(f"""SELECT a.gs, a.gm, a.n accepted, CASE WHEN z.n>0 THEN round(a.n*1.0::double/z.n,6) ELSE 0 END ratio, (SELECT count(*) FROM oraclediv) reachable, o.n oracle_passed FROM {_PASSED.format('forks WHERE p2>=0.8')} a JOIN {_PASSED.format('oraclediv')} o USING (gs,gm),
+ (SELECT n FROM {_PASSED.format('forks WHERE p2>=0.8')} y WHERE gs=6 AND gm=8) z""")
 def gate_counterfactual(spark, d):
-    """Forks that each gate would accept, as a share of those of the frozen one, and the divisions it could reach if linking were perfect."""
+    """Forks that each gate would accept, as a share of those of the frozen one, and the divisions it could reach if linking were perfect. The gates are the sums of one pass over each."""
     s = Study(spark, d)
-    grid = lambda df: df.withColumn("gs", F.explode(F.array(*[F.lit(v) for v in LEVELS["gs"]]))).withColumn("gm", F.explode(F.array(*[F.lit(v) for v in LEVELS["gm"]])))
-    ok = (F.col("sep") >= F.col("gs")) & (F.col("arm") <= F.col("gm")) & (F.col("balance") <= 0.5)
-    forks = policies.fork_geometry(s.nodes, s.edges).where("p2 >= 0.8").select("sep", "arm", "balance")
-    a = grid(forks).groupBy("gs", "gm").agg(F.count(F.when(ok, 1)).alias("accepted"))
-    frozen = a.where("gs = 6 AND gm = 8").select(F.col("accepted").alias("frozen"))
+    ok = lambda gs, gm: F.count(F.when((F.col("sep") >= gs) & (F.col("arm") <= gm) & (F.col("balance") <= 0.5), 1))
+    passed = lambda df, k: df.agg(F.count(F.lit(1)).alias("all"), *[ok(*v).alias(f"p{i}") for i, v in enumerate(_GATES)]).select(
+        F.col("all").alias(f"all_{k}"), F.explode(F.array(*[F.struct(F.lit(gs).alias("gs"), F.lit(gm).alias("gm"), F.col(f"p{i}").alias(k)) for i, (gs, gm) in enumerate(_GATES)])).alias("e")
+    ).select(f"all_{k}", "e.*")
+    a = passed(policies.fork_geometry(s.nodes, s.edges).where("p2 >= 0.8"), "accepted")
     g_ = s.gt_edges.groupBy("dataset", F.col("source_id").alias("parent")).agg(F.min("target_id").alias("g1"), F.max("target_id").alias("g2"), F.count(F.lit(1)).alias("n")).where("n = 2")
     for k in ("parent", "g1", "g2"):
         at = s.nodes.select("dataset", "node_id", *[F.col(u).alias(f"{k}_{u}") for u in g.AXES])
         g_ = g_.join(s.matches.select("dataset", F.col("gt_id").alias(k), "node_id"), ["dataset", k]).join(at, ["dataset", "node_id"]).drop("node_id")
     v = lambda k: tuple(F.col(f"{k}_{u}") for u in g.AXES)
     d1, d2 = g.norm(g.sub(v("g1"), v("parent"))), g.norm(g.sub(v("g2"), v("parent")))
-    o = g_.select(g.norm(g.sub(v("g1"), v("g2"))).alias("sep"), F.greatest(d1, d2).alias("arm"), g.division_balance(d1, d2).alias("balance"))
-    o = grid(o).groupBy("gs", "gm").agg(F.count(F.lit(1)).alias("reachable"), F.count(F.when(ok, 1)).alias("oracle_passed"))
-    j = a.join(F.broadcast(o), ["gs", "gm"]).crossJoin(F.broadcast(frozen))  # a gate each
-    return j.select("gs", "gm", "accepted", F.round(F.col("accepted") / F.col("frozen"), 6).alias("ratio"), "reachable", "oracle_passed")
+    o = passed(g_.select(g.norm(g.sub(v("g1"), v("g2"))).alias("sep"), F.greatest(d1, d2).alias("arm"), g.division_balance(d1, d2).alias("balance")), "oracle_passed")
+    j = save(a.join(o, ["gs", "gm"]))
+    frozen = j.where("gs = 6 AND gm = 8").select(F.col("accepted").alias("frozen"))
+    ratio = F.when(F.col("frozen") > 0, F.round(F.col("accepted") / F.col("frozen"), 6)).otherwise(0.0).alias("ratio")
+    return j.join(F.broadcast(frozen)).select("gs", "gm", "accepted", ratio, F.col("all_oracle_passed").alias("reachable"), "oracle_passed")
 
 
 # ---- scores
