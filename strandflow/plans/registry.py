@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from strandflow.plans import association, audits, cases, chain, detection, divisions, evaluation, fields, further, gaps, graph, grids, policies  # noqa: F401
+    from strandflow.plans import association, audits, cases, chain, checks, detection, divisions, evaluation, fields, further, gaps, graph, grids, policies  # noqa: F401
 
 
 load()

@@ -13,6 +13,7 @@ from test_queries import DATA, plain
 NEW = [
     "continuation_grid", "repair_grid", "rewire_scores", "bridge_grid", "bridge_outcomes", "bridge_insertion", "fold_rank_ensemble", "division_shapes", "pair_ceiling_by_budget", "mnn_coherence",
     "local_motion", "restored_forks", "gate_counterfactual", "temporal_contrast", "annotation_density", "component_confidence_quartiles", "edge_prob_quantiles", "gap_scores",
+    "time_steps", "isolated_match_rate", "division_rule_recall", "component_motion",
 ]
 
 
