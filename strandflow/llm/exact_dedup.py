@@ -6,7 +6,8 @@ the locator of the content: file and row in it. Digests that were hit more than
 reference text per digest, and every other row of the digest meets it, dealt over shares of a bounded number of rows. Texts of digests without a hit
 are not shuffled. Should one digest ever stand for several texts, those rows are decided by text instead.
 
-With a state_dir the state is kept: a later call adds its rows to what was seen before, and one that failed goes on from its last whole micro-batch.
+With a state_dir the state is kept: a later call adds its rows to what was seen before. A call is known by its rows (digests and doc_ids, in any
+order) or by the name it is given: one that failed and is repeated goes on from its last whole micro-batch, and a repeated call counts nothing twice.
 
 Cases: null text counts as empty, and empty texts equal each other. Null doc_ids never win over others; a group of only
 null ids has a null keep_id. Repeated rows (same id, same text) are both counted in group_size and both marked as the
@@ -55,6 +56,7 @@ def digest_stream_state(root: str, digests: DataFrame, files: int) -> DataFrame:
     keyed = (
         spark.readStream.schema(digests.schema)
         .option("maxFilesPerTrigger", files)
+        .option("recursiveFileLookup", "true")  # a folder per call
         .parquet(f"{root}/digests")
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", *PLACE)).alias("content"))
@@ -108,10 +110,22 @@ def unlike_digests(texts: DataFrame, digests: DataFrame, hit: DataFrame) -> tupl
     return save(unlike), met.select("digest", "doc_id", "text", *PLACE)
 
 
-def exact_dedup(docs: DataFrame, state_dir: str | None = None, short=lambda sha: sha) -> DataFrame:
+def hand_over(keys: DataFrame, root: str, call: str) -> None:
+    """Write a call's rows to a folder of root/digests, unless a call of that name has them there already: a file written anew would be streamed anew."""
+    path = f"{root}/digests/call={call}"
+    try:
+        there = keys.sparkSession.read.schema(keys.schema).parquet(path).count()
+    except AnalysisException:
+        there = -1
+    if there != keys.count():  # none of a write that didn't end was streamed
+        keys.write.mode("overwrite").parquet(path)
+
+
+def exact_dedup(docs: DataFrame, state_dir: str | None = None, short=lambda sha: sha, call: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 (one row per input row); the largest doc_id of equal texts stays.
 
-    With a state_dir, copies in earlier calls count too. short makes the digest of the SHA-256 (tests shorten it).
+    With a state_dir, copies in earlier calls count too; give calls a name where different ones may bring the very same
+    rows. short makes the digest of the SHA-256 (tests shorten it).
     """
     spark = docs.sparkSession
     texts = located(docs)
@@ -121,7 +135,13 @@ def exact_dedup(docs: DataFrame, state_dir: str | None = None, short=lambda sha:
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
     root = state_dir or shared_dir(spark)
     keys = digests.select("digest", "doc_id", *PLACE)
-    keys.write.mode("append").parquet(f"{root}/digests")
+    if state_dir is None:
+        keys.write.parquet(f"{root}/digests/call=0")
+    else:
+        if call is None:
+            n, total = keys.agg(F.count(F.lit(1)), F.sum(F.xxhash64("digest", "doc_id").cast("decimal(38,0)"))).first()
+            call = f"rows-{n}-{total}"
+        hand_over(keys, root, call)
     state = save(digest_stream_state(root, keys, -(-len(digests.inputFiles()) // BATCHES)))
     hit = state.where("group_size > 1")
     unlike, met = unlike_digests(texts, keys, hit)
