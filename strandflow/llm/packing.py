@@ -1,14 +1,16 @@
 """Packing documents into windows of WINDOW tokens by Karmarkar-Karp multiway differencing.
 
 Each document's ids (with an end id) are cut into full windows and, of what is left, pieces of at most PIECE tokens.
-Pieces are dealt by hash into groups of about GROUP windows' worth; within a group multiway differencing merges partial
+Pieces are dealt by the hash of their place into groups of about GROUP windows' worth; within a group multiway differencing merges partial
 partitions, those with the greatest spread first, laying the fullest windows of one on the emptiest of the other, so the
 windows end nearly equal. The number of windows of a group starts at the least possible and rises while any window exceeds the capacity.
 Groups are bounded by their number, which follows the total of tokens, so no task sees more with more data. The pieces are
 written to the shared folder first: texts are tokenized once.
 
-Cases: null and empty texts are one end id. Repeated rows are packed each. A null doc_id is carried through. An empty
-table gives an empty result. Other columns are ignored.
+Cases: null and empty texts are one end id. Repeated rows are packed each. A null doc_id is carried through; as pieces are dealt by
+their place in the written table, any number of rows with a null or repeated doc_id spreads over all groups. A very long text is many full
+windows, which stand alone, and at most four pieces. Ties between windows or pieces of equal size go to the one first in (doc_id, start, ids_crc32).
+An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,5 +127,6 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
                 at += int(sizes[i])
         return order.drop_columns(["g"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    dealt = cutting.withColumn("g", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    place = F.xxhash64("doc_id", "start", "ids_crc32", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    dealt = cutting.withColumn("g", F.pmod(place, F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(group, f"doc_id long, {PIECES}, sequence_id long, offset long")
