@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
-Per language a suffix automaton is built over a bounded sample of labelled text (DOCS rows by hash of the doc_id; of a longer text CHARS
-characters from its first letter on; at most SAMPLE signs, and TOTAL of all languages together, which bounds the tables). A text is parsed from left to right into the longest phrases that occur in a language's sample: the automaton walks as
+Per language a suffix automaton is built over a bounded sample of labelled rows (DOCS rows by hash of the doc_id; of a text longer than CHARS
+characters PARTS excerpts that lie evenly over the whole of it, CHARS characters together; SAMPLE signs, and TOTAL of all languages together, bound the
+tables, a language's share being taken alike from all its excerpts). A text is parsed from left to right into the longest phrases that occur in a language's sample: the automaton walks as
 long as it can, and where it can't, a phrase ends. The number of phrases times the bits that name a place in the sample is the
 length of the text in that language; the least one wins. Automata become full transition tables (a step that ends a phrase is marked),
 so all texts of a block, cut into lanes of LANE signs that are joined up afterwards, walk in all languages side by side.
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm import arrays
@@ -24,11 +25,12 @@ from strandflow.llm.common import id_bucket, map_texts
 
 DOCS = 12
 CHARS = 4_000
+PARTS = 16
 LANE = 1024
 LETTERS = 62  # of the most frequent ones; then what begins other letters, then the blank
 OTHER, BLANK, SIGNS = 62, 63, 64
 DIGITS = 4  # LETTERS ** 4 is more than there are code points
-SAMPLE = DOCS * (CHARS + 1)
+SAMPLE = DOCS * (CHARS + PARTS)
 TOTAL = 400_000  # a sign makes at most two states of 256 bytes
 
 
@@ -100,6 +102,23 @@ def automaton(signs: np.ndarray) -> np.ndarray:
     return table.reshape(-1)
 
 
+def excerpts(text: Column) -> Column:
+    """The text, or PARTS excerpts of it, from its beginning to its end at even distances, where it has more than CHARS characters."""
+    size = CHARS // PARTS
+    first = lambda k: F.floor(k * (F.length(text) - size) / F.lit(PARTS - 1)).cast("int") + 1
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.substring(text, first(k), F.lit(size)))
+    return F.when(F.length(text) <= CHARS, text).otherwise(F.concat_ws(" ", parts))
+
+
+def evenly(signs: np.ndarray, most: int) -> np.ndarray:
+    """At most so many signs, in PARTS stretches that lie evenly over all of them."""
+    if len(signs) <= most:
+        return signs
+    size = max(1, most // PARTS)
+    first = np.linspace(0, len(signs) - size, most // size).astype(np.int64)
+    return signs[(first[:, None] + np.arange(size)).reshape(-1)]
+
+
 def learn(docs: DataFrame, learnable) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
     """Languages, their bits per phrase, sign codes, one table for all, and where each language's part begins."""
     order = F.xxhash64("doc_id", F.lit("language"))
@@ -109,8 +128,7 @@ def learn(docs: DataFrame, learnable) -> tuple[list[str], np.ndarray, np.ndarray
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # a share by hash leaves some dozens of rows per language before they are ranked
     few = rows.join(F.broadcast(counts), "lang").where(F.pmod(order, F.lit(1 << 20)) < (F.lit(8.0 * DOCS * (1 << 20)) / F.col("n")))
-    excerpt = F.when(F.length("text") <= CHARS, F.col("text")).otherwise(F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{CHARS - 1}}}", 0))
-    few = few.withColumn("text", excerpt)
+    few = few.withColumn("text", excerpts(F.col("text")))
     picked = few.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct(order.alias("o"), "doc_id", "text"))), 1, DOCS).alias("s"))
     sample = picked.select("lang", F.concat_ws(" ", F.transform("s", lambda x: x["text"])).alias("text")).orderBy("lang").collect()
     if not sample:
@@ -120,7 +138,7 @@ def learn(docs: DataFrame, learnable) -> tuple[list[str], np.ndarray, np.ndarray
     most = max(1, min(SAMPLE, TOTAL // len(sample)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        signs = folded([pdf.text.iloc[0]], shared.value)[0][:most]
+        signs = evenly(folded([pdf.text.iloc[0]], shared.value)[0], most)
         return pd.DataFrame({"lang": pdf.lang, "n": [len(signs)], "states": [automaton(signs).tobytes()]})
 
     spark = docs.sparkSession

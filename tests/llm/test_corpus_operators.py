@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from strandflow.llm import exact_dedup, language_id, line_dedup, merkle, near_dedup, packing, secret_scan, sentence_piece, suffix_dedup, toxicity
@@ -144,6 +145,25 @@ def test_exact_dedup_goes_on_after_a_failed_batch(spark, tmp_path, monkeypatch):
     assert more == {4: (4, 2, True), 5: (5, 1, True), 0: (3, 3, False)}
 
 
+def test_exact_dedup_counts_a_repeated_call_once(spark, tmp_path, monkeypatch):
+    rows = table(spark, [(1, "a", "en"), (2, "b", "en"), (3, "a", "en")]).repartition(3)
+    state = str(tmp_path / "state")
+    parquet = type(rows.write).parquet
+
+    def broken(self, path, *args, **kwargs):
+        if path.endswith("state_rows/batch=1"):
+            raise OSError("lost")
+        return parquet(self, path, *args, **kwargs)
+
+    with monkeypatch.context() as m, pytest.raises(Exception, match="lost"):
+        m.setattr(type(rows.write), "parquet", broken)
+        exact_dedup.exact_dedup(rows, state)
+    size = lambda df, **k: {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df, state, **k).collect()}
+    once = {1: (3, 2), 2: (2, 1), 3: (3, 2)}
+    assert size(rows) == once and size(rows) == once  # after the failure, and once more
+    assert size(rows, call="second delivery") == {1: (3, 4), 2: (2, 2), 3: (3, 4)}
+
+
 def test_near_dedup_in_a_crowd_of_templates(spark):
     """Hundreds of texts of one template, alike below the threshold; some pairs among them are links."""
     rng = random.Random(17)
@@ -260,6 +280,17 @@ def test_packing(spark):
     assert used / size > 0.95
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_packing_spreads_rows_of_one_id(spark, doc_id, monkeypatch):
+    """Equal rows under a null or repeated id are dealt to all groups."""
+    monkeypatch.setattr(packing, "GROUP", 2)
+    out = packing.pack(table(spark, [(doc_id, "the same text " * 20, "en")] * 400), vocabulary("byte_bpe_50k.json")).toPandas()
+    assert len(out) == 400
+    groups = (out.sequence_id // 2**32).value_counts()
+    assert len(groups) == out.length.sum() // 2048 and groups.max() < 80
+    assert (out.groupby("sequence_id").length.sum() <= 1024).all()
+
+
 def test_word_pattern():
     from tokenizers import Tokenizer
 
@@ -475,6 +506,24 @@ def test_language_samples_are_bounded(spark, monkeypatch):
     assert len(states) <= language_id.SIGNS * 2 * (2_000 + 2 * 20)
 
 
+def test_language_excerpts_cover_the_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(chr(97 + k % 26) if k % 7 else str(k // 7 % 10) for k in range(50_000))
+    df = spark.createDataFrame([(text,), (text[: language_id.CHARS],), ("",)], "text string")
+    got = [r[0] for r in df.select(language_id.excerpts(F.col("text"))).collect()]
+    size = language_id.CHARS // language_id.PARTS
+    parts = [got[0][k * (size + 1) : k * (size + 1) + size] for k in range(language_id.PARTS)]
+    assert parts[0] == text[:size] and parts[-1] == text[-size:] and got[0] == " ".join(parts)
+    at = [text.find(p) for p in parts]
+    assert max(b - a for a, b in zip(at, at[1:], strict=False)) < 50_000 / (language_id.PARTS - 2)
+    assert got[1:] == [text[: language_id.CHARS], ""]
+    signs = np.arange(10_000)
+    some = language_id.evenly(signs, 800)
+    assert len(some) == 800 and some[0] == 0 and some[-1] == 9_999 and (np.diff(some) > 0).all()
+    assert (language_id.evenly(signs, 20_000) == signs).all()
+
+
 def test_automaton_counts_phrases():
     import numpy as np
 
