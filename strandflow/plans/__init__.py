@@ -1,0 +1,3 @@
+"""Registered queries; the registry comes first, so that any of its modules can be imported alone."""
+
+from strandflow.plans import registry  # noqa: F401

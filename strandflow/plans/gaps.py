@@ -97,11 +97,11 @@ def features(p):
     return p.select("dataset", "source_id", "target_id", "dt", F.col("cuts").alias("cut"), "s_sym", "t_sym", *exprs)
 
 
-def medians(f):
+def medians(f, names=FEATURES):
     """One row with the exact median of each feature; ranks are taken range by range."""
-    long = f.select(*[f"f_{k}" for k in FEATURES]).unpivot([], [f"f_{k}" for k in FEATURES], "feature", "v")
+    long = f.select(*[f"f_{k}" for k in names]).unpivot([], [f"f_{k}" for k in names], "feature", "v")
     q = ranks.quantiles(long, ["feature"], "v", {"m": 0.5})
-    return q.agg(*[F.max(F.when(F.col("feature") == f"f_{k}", F.col("m"))).alias(f"m_{k}") for k in FEATURES])
+    return q.agg(*[F.max(F.when(F.col("feature") == f"f_{k}", F.col("m"))).alias(f"m_{k}") for k in names])
 
 
 def scored(f):
@@ -183,14 +183,14 @@ def gap_apply(spark, d):
 LEARNED = [f"f_{k}" for k in FEATURES] + [f"missing_{k}" for k in MISSING]
 
 
-def judged(f, s: Study):
+def judged(f, s: Study, names=FEATURES, missing=MISSING):
     """Proposals of which both ends are matched, with label 1 if one annotated lineage holds both, medians for what is missing, and their fold."""
     lineage = topology.components(s.gt_nodes, s.gt_edges).select("dataset", F.col("node_id").alias("gt_id"), "component")
     m = save(s.matches.join(lineage, ["dataset", "gt_id"]).select("dataset", "node_id", "component"))
     end = lambda k, c: m.select("dataset", F.col("node_id").alias(k), F.col("component").alias(c))
     both = f.join(end("source_id", "ca"), ["dataset", "source_id"]).join(end("target_id", "cb"), ["dataset", "target_id"]).withColumn("label", (F.col("ca") == F.col("cb")).cast("int")).drop("ca", "cb")
-    both = both.withColumns({f"missing_{k}": F.col(f"f_{k}").isNull().cast("double") for k in MISSING}).join(F.broadcast(medians(f)))
-    both = both.withColumns({f"f_{k}": F.coalesce(f"f_{k}", f"m_{k}", F.lit(0.0)) for k in FEATURES}).drop(*[f"m_{k}" for k in FEATURES])
+    both = both.withColumns({f"missing_{k}": F.col(f"f_{k}").isNull().cast("double") for k in missing}).join(F.broadcast(medians(f, names)))
+    both = both.withColumns({f"f_{k}": F.coalesce(f"f_{k}", f"m_{k}", F.lit(0.0)) for k in names}).drop(*[f"m_{k}" for k in names])
     return save(both.join(s.sizes.select("dataset", "fold"), "dataset").withColumn("family", F.lit("all")))
 
 
