@@ -78,18 +78,18 @@ def spearman_motion(spark, d):
 DIV = "(SELECT dataset, source_id, min(target_id) d1, max(target_id) d2 FROM gt_edges GROUP BY ALL HAVING count(*)=2)"
 
 
-@query(f"""SELECT v.dataset, v.source_id, v.d1, v.d2, round(sqrt((a.uz-b.uz)*(a.uz-b.uz)+(a.uy-b.uy)*(a.uy-b.uy)+(a.ux-b.ux)*(a.ux-b.ux)),6) sep, sqrt((a.uz-p.uz)*(a.uz-p.uz)+(a.uy-p.uy)*(a.uy-p.uy)+(a.ux-p.ux)*(a.ux-p.ux))=0 degenerate FROM {DIV} v
+@query(f"""SELECT v.dataset, v.source_id, v.d1, v.d2, round(sqrt((a.uz-b.uz)*(a.uz-b.uz)+(a.uy-b.uy)*(a.uy-b.uy)+(a.ux-b.ux)*(a.ux-b.ux)),6) sep, sqrt((a.uz-p.uz)*(a.uz-p.uz)+(a.uy-p.uy)*(a.uy-p.uy)+(a.ux-p.ux)*(a.ux-p.ux))=0 degenerate, a.t<>p.t+1 OR b.t<>p.t+1 AS gap FROM {DIV} v
  JOIN gt_nodes p ON p.dataset=v.dataset AND p.node_id=v.source_id JOIN gt_nodes a ON a.dataset=v.dataset AND a.node_id=v.d1 JOIN gt_nodes b ON b.dataset=v.dataset AND b.node_id=v.d2""")
 def gt_division_census(spark, d):
-    """Annotated divisions with their two daughters of least id."""
+    """Annotated divisions with their two daughters of least id; gap: a daughter isn't in the very next frame."""
     n, e = gt(spark, d)
     w = Window.partitionBy("dataset", "source_id")
     r = e.withColumns({"rk": F.row_number().over(w.orderBy("target_id")), "k": F.count(F.lit(1)).over(w)}).where("k = 2")
     v = r.groupBy("dataset", "source_id").agg(F.min("target_id").alias("d1"), F.max("target_id").alias("d2"))
-    at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
+    at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), F.col("t").alias(f"{p}t"), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
     j = v.join(at("source_id", "p"), ["dataset", "source_id"]).join(at("d1", "a"), ["dataset", "d1"]).join(at("d2", "b"), ["dataset", "d2"])
     p = lambda x: tuple(F.col(f"{x}{u}") for u in g.AXES)
-    return j.select("dataset", "source_id", "d1", "d2", F.round(g.norm(g.sub(p("a"), p("b"))), 6).alias("sep"), (g.norm(g.sub(p("a"), p("p"))) == 0).alias("degenerate"))
+    return j.select("dataset", "source_id", "d1", "d2", F.round(g.norm(g.sub(p("a"), p("b"))), 6).alias("sep"), (g.norm(g.sub(p("a"), p("p"))) == 0).alias("degenerate"), ((F.col("at") != F.col("pt") + 1) | (F.col("bt") != F.col("pt") + 1)).alias("gap"))
 
 
 @query(f"SELECT dataset, node_id, other_id, round(dist,6) dist FROM (SELECT z.*, row_number() OVER (PARTITION BY z.dataset,z.node_id ORDER BY dist,other_id) rk FROM {NEXT} z JOIN outd o ON o.dataset=z.dataset AND o.node_id=z.node_id AND o.out_degree=1 ANTI JOIN edges e ON e.dataset=z.dataset AND e.source_id=z.node_id AND e.target_id=z.other_id WHERE dist<=15) WHERE rk=1")
