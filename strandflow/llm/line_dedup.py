@@ -1,11 +1,14 @@
 """Line deduplication by pairwise alignment.
 
 Lines are told apart by 64-bit hashes. A run is the least number of consecutive lines, from a line on or back from one, that have LEAST
-characters together; every line of a common block of LEAST characters lies in a run that both sides hold. Each holder of a run is paired with the
-run's earliest holder, so its holders give a star, not all pairs. Each pair is aligned by patience diff (lines that stand once in both
-documents, in the longest order that both share, then the stretches between); what is left over is aligned again by runs, wherever they stand in the
-earlier document (passages in another order, lines that are doubled). Aligned common blocks of LEAST characters or more are deleted from the later
-document. So a document loses the lines of every block that it shares with any earlier one. Documents are judged on the input, not on what is left of them.
+characters together; every line of a common block of LEAST characters lies in a run that both sides hold. Documents become partners through rare lines (shorter than LEAST,
+in at most RARE places) and through runs, however frequent. Each holder of a line or run is paired with its earliest holder, so the holders give a star, not all pairs.
+Each pair is aligned by patience diff (lines that stand once in both documents, in the longest order that both share, then the stretches between). Aligned blocks of LEAST characters
+or more are deleted from the later document. A block may be broken: it goes on over one line that either side or both have for themselves, if that line has at most half the
+characters of the aligned stretch before it and of the one after it; the line itself stays. What is left over is aligned again by runs, wherever they stand in the
+earlier document (passages in another order, lines that are doubled). So a document loses the lines of every unbroken block that it shares with any earlier one, and those of broken
+blocks that it shares with a partner in the same order; a broken block that stands in another order, or of which no line is rare and no run is whole, stays.
+Documents are judged on the input, not on what is left of them.
 
 Cases: null texts are empty; an empty text is one empty line. Rows with a null doc_id are compared with nothing. Repeated
 rows of one doc_id are one document and get the same result each; of different texts under one doc_id one is compared. Of equal blocks the one
@@ -24,6 +27,7 @@ from strandflow.llm import arrays
 from strandflow.llm.common import dealt_join, save, skew_join, split_by_ids, with_text
 
 LEAST = 40
+RARE = 16
 SHARE = 512  # pairs that one copy of an earlier document's lines is aligned with
 
 
@@ -72,15 +76,28 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(aligned: list[tuple[int, int]], chars: list[int], least: int = LEAST) -> list[int]:
-    """The places j of aligned runs (both sides go on by one) that have enough characters together."""
-    out, run = [], []
-    for i, j in [*aligned, (-2, -2)]:
-        if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
-            if sum(chars[q] for _, q in run) >= least:
-                out += [q for _, q in run]
-            run = []
-        run.append((i, j))
+def blocks(aligned: list[tuple[int, int]], a_chars: np.ndarray, b_chars: np.ndarray, least: int = LEAST) -> list[int]:
+    """The places j of aligned blocks that have enough characters together, broken ones included."""
+    stretches: list[list[int]] = []  # both sides go on by one: i, j of the first and of the last
+    for i, j in aligned:
+        if stretches and (i, j) == (stretches[-1][2] + 1, stretches[-1][3] + 1):
+            stretches[-1][2:] = i, j
+        else:
+            stretches.append([i, j, i, j])
+    size = [int(b_chars[s[1] : s[3] + 1].sum()) for s in stretches]
+    out: list[int] = []
+    first, together = 0, 0
+    for k, s in enumerate(stretches):
+        together += size[k]
+        if k + 1 < len(stretches):
+            n = stretches[k + 1]
+            apart = max(n[0] - s[2], n[1] - s[3]) - 1
+            left_out = max(int(a_chars[s[2] + 1 : n[0]].sum()), int(b_chars[s[3] + 1 : n[1]].sum()))
+            if apart == 1 and 2 * left_out <= min(size[k], size[k + 1]):
+                continue
+        if together >= least:
+            out += [j for x in stretches[first : k + 1] for j in range(x[1], x[3] + 1)]
+        first, together = k + 1, 0
     return out
 
 
@@ -103,9 +120,9 @@ def run_keys(lines: np.ndarray, chars: np.ndarray, starts: np.ndarray, least: in
 
 
 def alignment(a: np.ndarray, a_chars: np.ndarray, b: np.ndarray, b_chars: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """The places of b that stand in blocks of at least so many characters that a has too."""
+    """The places of b that stand in blocks of at least so many characters that a has too: by patience, then by runs for what is left."""
     gone = np.zeros(len(b), bool)
-    gone[blocks(patience(a.tolist(), b.tolist()), b_chars.tolist(), least)] = True
+    gone[blocks(patience(a.tolist(), b.tolist()), a_chars, b_chars, least)] = True
     whole = np.array([0, len(b)])
     key, s, e = run_keys(b, b_chars, whole, least)
     total = np.concatenate([[0], np.cumsum(gone)])
@@ -124,9 +141,14 @@ def _runs(least: int):
         for batch in batches:
             lines, chars = batch.column("lines"), batch.column("chars")
             starts = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
-            key, s, _ = run_keys(lines.flatten().to_numpy(), chars.flatten().to_numpy(), starts, least)
-            doc = np.searchsorted(starts, s, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(key.view(np.int64))], names=["doc_id", "run"])
+            line, size = lines.flatten().to_numpy(), chars.flatten().to_numpy()
+            key, s, _ = run_keys(line, size, starts, least)
+            single = np.flatnonzero((size > 0) & (size < least))
+            doc = np.searchsorted(starts, np.concatenate([s, single]), "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc)), pa.array(np.concatenate([key.view(np.int64), line[single]])), pa.array(np.arange(len(doc)) >= len(s))],
+                names=["doc_id", "run", "single"],
+            )
 
     return run
 
@@ -173,9 +195,10 @@ def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
             "doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: F.length(x)).alias("chars")
         )
     )
-    runs = save(table.mapInArrow(_runs(least), "doc_id long, run long"))
-    held = runs.groupBy("run").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("places")).where("latest > earliest").drop("latest")
-    pairs = save(skew_join(runs, save(held), ["run"], "places", "inner").where("doc_id > earliest").select("earliest", "doc_id").distinct())
+    runs = save(table.mapInArrow(_runs(least), "doc_id long, run long, single boolean"))
+    held = runs.groupBy("run", "single").agg(F.min("doc_id").alias("earliest"), F.max("doc_id").alias("latest"), F.count(F.lit(1)).alias("places"))
+    held = held.where((F.col("latest") > F.col("earliest")) & (~F.col("single") | (F.col("places") <= RARE))).drop("latest")
+    pairs = save(skew_join(runs, save(held), ["run", "single"], "places", "inner").where("doc_id > earliest").select("earliest", "doc_id").distinct())
     one = table.dropDuplicates(["doc_id"])
     a = one.select(F.col("doc_id").alias("earliest"), F.col("lines").alias("a"), F.col("chars").alias("a_chars"))
     b = one.select("doc_id", F.col("lines").alias("b"), F.col("chars").alias("b_chars"))

@@ -635,6 +635,48 @@ def test_line_dedup_frequent_lines(spark):
     assert {r.doc_id: r.kept_sha256 for r in line_dedup.report(table(spark, rows)).collect()} == kept_hashes(rows, gone)
 
 
+def test_line_dedup_broken_blocks(spark):
+    """Patience decides: blocks of short lines with a line put in, left out or replaced, which no run of lines shows."""
+    verse = [f"line {k} of the verse, {'abcdefgh'[k] * 3}" for k in range(6)]  # 24 characters each
+    own = lambda i, n=2: [f"own words of document {i}, part {k}" for k in range(n)]
+    texts = [
+        own(0) + verse[:4] + own(100),
+        own(1) + [verse[0], "put in", verse[1], "here too", verse[2]] + own(101),
+        own(2) + [verse[0], "a line put in that is too long for the stretches", verse[2]],
+        own(3) + [verse[0], "replaced", verse[2]],
+        own(4) + [verse[0], "two", "more", verse[1]],
+        own(5) + [verse[2], "turned", verse[0]],
+        own(6) + [verse[1], verse[3]] + own(106),
+        own(7) + ["put in", verse[5], "here too"],
+    ]
+    rows = [(i, "\n".join(t), "en") for i, t in enumerate(texts)]
+    assert not any(common_runs(rows).values())
+    # documents 3 and 6 have few characters between the stretches, document 0 the 24 of another verse line there
+    gone = {i: set() for i in range(len(texts))} | {1: {2, 4, 6}}
+    assert {r.doc_id: r.kept_sha256 for r in line_dedup.report(table(spark, rows)).collect()} == kept_hashes(rows, gone)
+    short = ["ab", "put in", "cd"]
+    a, b = [*verse[:2], "x", *verse[2:4]], [*verse[:2], "yy", *verse[2:4], *short]
+    ids = {x: k for k, x in enumerate([*a, *b])}
+    side = lambda t: (np.array([ids[x] for x in t]), np.array([len(x) for x in t]))
+    assert line_dedup.alignment(*side(a), *side(b)).tolist() == [0, 1, 3, 4]
+
+
+def test_line_dedup_no_run_is_lost(spark):
+    """Whatever patience finds, no common run of an earlier document stays; and where blocks are broken more goes."""
+    rng = random.Random(23)
+    word = [f"{'abcdefghijkl'[k] * rng.randint(1, 3)} line {k} of some size" for k in range(12)]
+    rows = [(i, "\n".join(rng.choice([*word, "-", f"own {i}"]) for _ in range(rng.randint(1, 12))), "en") for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, rows)).collect()}
+    gone = common_runs(rows)
+    more = 0
+    for i, t, _ in rows:
+        left = iter([x for k, x in enumerate(t.split("\n")) if k not in gone[i]])
+        kept = got[i].kept_text.split("\n") if got[i].n_removed < got[i].n_lines else []
+        assert all(x in left for x in kept)  # in order, among what runs alone would leave
+        more += got[i].n_removed - len(gone[i])
+    assert more > 0
+
+
 def test_patience():
     assert line_dedup.patience(list("abcxdef"), list("abcydef")) == [(0, 0), (1, 1), (2, 2), (4, 4), (5, 5), (6, 6)]
     assert line_dedup.patience([], list("ab")) == []
