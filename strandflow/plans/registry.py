@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from strandflow.plans import association, audits, cases, chain, checks, contests, detection, divisions, evaluation, fields, further, gaps, gates, graph, grids, policies  # noqa: F401
+    from strandflow.plans import association, audits, cases, chain, checks, contests, detection, divisions, evaluation, fields, further, gaps, gates, graph, grids, policies, reproduction  # noqa: F401
 
 
 load()

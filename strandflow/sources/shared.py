@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
-def save(df: DataFrame, seen: Observation | None = None, *counts) -> DataFrame:
-    """Write a table and read it back: cuts lineage in iterations and survives lost executors; seen gets aggregates of what is written."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local session without one (tests) gets a temporary folder, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="strandflow-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def save(df: DataFrame, seen: Observation | None = None, *counts) -> DataFrame:
+    """Write a table and read it back: cuts lineage in iterations and survives lost executors; seen gets aggregates of what is written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     (df if seen is None else df.observe(seen, *counts)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from strandflow.plans import registry
 DATA = "/root/testdata/sf0.001"
 SOME = [
     "fork_geometry", "division_filter", "division_candidates", "gap_census", "mutual_policy", "bridge_census", "strict_bridge_policy", "apply_repairs", "component_cleanup", "components", "submission_rows",
-    "radius_join", "mutual_nn", "motion_residuals", "column_stats", "mutual_continuation_v2", "local_maxima", "edge_accounting", "fold_stability", "gate_grid_recall", "semantic_digest", "ranking_auc", "pareto_frontier", "gap_contest_features", "gate_replacements", "gate_fold_outliers", "selector_retained", "gt_division_census",
+    "radius_join", "mutual_nn", "motion_residuals", "column_stats", "mutual_continuation_v2", "local_maxima", "edge_accounting", "fold_stability", "gate_grid_recall", "semantic_digest", "ranking_auc", "pareto_frontier", "gap_contest_features", "gate_replacements", "gate_fold_outliers", "selector_retained", "gt_division_census", "locked_reproduction",
 ]
 
 
