@@ -25,3 +25,17 @@ def test_five_digits(spark, shifted, name):
     assert plain(got) == plain(want)
     if "dataset" in got:
         assert got.dataset.nunique() == 10
+
+
+def test_saved_tables_of_many_rows_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from strandflow.sources import shared
+
+    def plan(rows):
+        t = shared.save(spark.range(rows).select((F.col("id") % 1000).alias("k"), F.lit("a").alias("dataset"), F.lit(1).alias("v")))  # a few KB of files
+        j = spark.range(5_000_000).select((F.col("id") % 1000).alias("k"), F.lit("a").alias("dataset")).join(t.groupBy("dataset", "k").agg(F.max("v")), ["dataset", "k"])
+        return j._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan(1000)
+    assert "BroadcastHashJoin" not in plan(100_001)
