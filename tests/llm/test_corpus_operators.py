@@ -183,6 +183,25 @@ def test_near_dedup_in_a_crowd_of_templates(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_dedup_neighbours_in_a_crowd_that_cannot_be_links_go_before_the_join(spark):
+    rng = random.Random(19)
+    common = [rng.getrandbits(64) - 2**63 for _ in range(60)]  # frequent differences, which all sets draw from
+    rows = []
+    for i in range(400):
+        d = set(rng.sample(common, 20)) | {rng.getrandbits(64) - 2**63 for _ in range(20)}
+        if i % 10 == 9:  # a link to the set before
+            d = set(rows[-1][4]) ^ {rng.getrandbits(64) - 2**63 for _ in range(9)}
+        rows.append((1, i, i, 100, sorted(d)))
+    diffs = spark.createDataFrame(rows, "g long, node long, component long, size long, d array<bigint>")
+    sets = {r[1]: set(r[4]) for r in rows}
+    link = lambda a, b: 185 * len(sets[a] ^ sets[b]) <= 15 * 200
+    got = {tuple(r) for r in near_dedup.beside(diffs, 85).collect()}
+    every = {tuple(r) for r in near_dedup.beside(diffs, -100).collect()}  # a threshold that all neighbours meet
+    assert got < every and {p for p in every if link(*p)} == {p for p in got if link(*p)}
+    assert sum(link(*p) for p in got) >= 30
+    assert len(got) < 100 < 5000 < len(every)
+
+
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
 def test_near_dedup(spark, words, percent):
     rows = corpus(5, 90)
