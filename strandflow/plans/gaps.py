@@ -20,6 +20,8 @@ BEST, CUT_BEST = 8, 20
 ACTION_RANKS, ACTION_SCORE = (1, 5), 0.5
 #: How far from a prediction (micrometres) its neighbours are looked for, and how many count.
 REACH, NEIGHBOURS = 20.0, 16
+#: Width of the grid's cells in REACH: nearly a frame, as narrower ones copy each prediction eight times to compare it with most of a frame anyway.
+WIDE = 8.0
 
 V = oracle.VIEWS
 _D = "sqrt(power({0}z-{1}z,2)+power({0}y-{1}y,2)+power({0}x-{1}x,2))"
@@ -54,6 +56,14 @@ V["gact"] = f"SELECT dataset, source_id, target_id, dt, cut, score FROM {oracle.
 oracle.MATERIALIZED |= {"gpairs", "gprop", "grank", "gfeat", "gscore", "gact"}
 
 
+def spans(s, k):
+    """One row per source (at its frame at) and gap dt that ends in the dataset's frames of targets (k, at t)."""
+    last = save(k.groupBy("dataset").agg(F.max("t").alias("last")))
+    low, high = GAPS
+    s = s.join(last, "dataset").where(F.col("last") - F.col("at") > low)
+    return s.withColumn("dt", F.explode(F.sequence(F.lit(low + 1), F.least(F.lit(high + 1), F.col("last") - F.col("at"))))).drop("last")
+
+
 def proposals(n, e):
     """Pairs of a node with a past and a start with a future, 3 to 13 frames apart, that constant motion joins from both sides within REACH, near the top in both directions;
     if the source goes on already (its incumbent), how much better a frame's share of the gap fits than that link."""
@@ -64,17 +74,16 @@ def proposals(n, e):
     s = s.join(child, ["dataset", "source_id"], "left").join(at("child", "b"), ["dataset", "child"], "left")
     s = s.withColumn("incumbent_residual", g.norm(g.sub(g.sub(g.times(v("a"), 2.0), v("p")), v("b"))))
     step = {f"v{u}": F.col(f"a{u}") - F.col(f"p{u}") for u in g.AXES}
-    s = s.withColumns(step).withColumn("dt", F.explode(F.sequence(F.lit(GAPS[0] + 1), F.lit(GAPS[1] + 1))))
-    probe = s.select("dataset", (F.col("at") + F.col("dt")).alias("t"), "source_id", "dt", F.col("child").alias("incumbent"), "incumbent_residual", *[F.col(f"a{u}") for u in g.AXES], *[(F.col(f"a{u}") + F.col(f"v{u}") * F.col("dt")).alias(u) for u in g.AXES])
     starts = child.withColumnRenamed("source_id", "target_id").join(e.select("dataset", "target_id"), ["dataset", "target_id"], "left_anti")
     k = starts.join(at("target_id", "c"), ["dataset", "target_id"]).join(at("child", "d"), ["dataset", "child"])
-    k = k.select("dataset", F.col("ct").alias("t"), "target_id", *[F.col(f"c{u}") for u in g.AXES], *[(F.col(f"d{u}") - F.col(f"c{u}")).alias(f"w{u}") for u in g.AXES], *[F.col(f"c{u}").alias(u) for u in g.AXES])
-    p = spatial.within(probe, k, ["dataset", "t"], REACH).withColumnRenamed("dist", "forward")
+    k = save(k.select("dataset", F.col("ct").alias("t"), "target_id", *[F.col(f"c{u}") for u in g.AXES], *[(F.col(f"d{u}") - F.col(f"c{u}")).alias(f"w{u}") for u in g.AXES], *[F.col(f"c{u}").alias(u) for u in g.AXES]))
+    s = spans(s.withColumns(step), k)
+    probe = s.select("dataset", (F.col("at") + F.col("dt")).alias("t"), "source_id", "dt", F.col("child").alias("incumbent"), "incumbent_residual", *[F.col(f"a{u}") for u in g.AXES], *[(F.col(f"a{u}") + F.col(f"v{u}") * F.col("dt")).alias(u) for u in g.AXES])
+    p = spatial.within(probe, k, ["dataset", "t"], REACH, WIDE).withColumnRenamed("dist", "forward")
     back = tuple(F.col(f"c{u}") - F.col(f"w{u}") * F.col("dt") - F.col(f"a{u}") for u in g.AXES)
     p = p.withColumn("backward", g.norm(back)).where(F.col("backward") <= REACH)
-    p = p.withColumns({
-        "rf": F.row_number().over(Window.partitionBy("dataset", "source_id", "dt").orderBy(F.round("forward", 9), "target_id")), "rb": F.row_number().over(Window.partitionBy("dataset", "target_id", "dt").orderBy(F.round("backward", 9), "source_id")),
-    })
+    p = p.withColumn("rf", F.row_number().over(Window.partitionBy("dataset", "source_id", "dt").orderBy(F.round("forward", 9), "target_id")))
+    p = p.withColumn("rb", F.row_number().over(Window.partitionBy("dataset", "target_id", "dt").orderBy(F.round("backward", 9), "source_id")))
     near, far = RANKS
     p = p.where(((F.col("rf") <= near) & (F.col("rb") <= far)) | ((F.col("rf") <= far) & (F.col("rb") <= near))).where((F.col("rf") <= NEIGHBOURS) & (F.col("rb") <= NEIGHBOURS))
     p = p.withColumn("per_frame", (F.col("forward") + F.col("backward")) / 2 / F.col("dt"))
@@ -83,16 +92,17 @@ def proposals(n, e):
 
 def shortlist(p):
     """Proposals with their ranks at both ends by three measures, those that are good at one end at least."""
-    for k, e in KINDS.items():
-        order = F.round(F.expr(e) / F.col("dt"), 9)
-        p = p.withColumns({f"s_{k}": F.row_number().over(Window.partitionBy("dataset", "source_id").orderBy(order, "target_id")), f"t_{k}": F.row_number().over(Window.partitionBy("dataset", "target_id").orderBy(order, "source_id"))})
+    for side, one, other in (("s", "source_id", "target_id"), ("t", "target_id", "source_id")):  # all ranks of an end at once: one exchange for each end
+        for k, e in KINDS.items():
+            p = p.withColumn(f"{side}_{k}", F.row_number().over(Window.partitionBy("dataset", one).orderBy(F.round(F.expr(e) / F.col("dt"), 9), other)))
     p = p.withColumns({"best": F.least(*RANKED), "worst": F.greatest(*RANKED), "cuts": F.when(F.col("incumbent").isNull(), 0).otherwise(1)})
     return p.where((F.col("best") <= BEST) | ((F.col("cuts") <= 1) & (F.col("best") <= CUT_BEST)))
 
 
 def features(p):
     count = lambda k: F.count(F.lit(1)).over(Window.partitionBy("dataset", k))
-    p = p.withColumns({"n_source": count("source_id"), "n_target": count("target_id"), "next_best": F.lead("per_frame").over(Window.partitionBy("dataset", "source_id").orderBy(F.round("per_frame", 9), "target_id"))})
+    p = p.withColumn("n_target", count("target_id")).withColumn("n_source", count("source_id"))  # the shortlist is dealt by targets already
+    p = p.withColumn("next_best", F.lead("per_frame").over(Window.partitionBy("dataset", "source_id").orderBy(F.round("per_frame", 9), "target_id")))
     exprs = [F.expr(e).cast("double").alias(f"f_{k}") for k, e in FEATURES.items()]
     return p.select("dataset", "source_id", "target_id", "dt", F.col("cuts").alias("cut"), "s_sym", "t_sym", *exprs)
 
