@@ -55,7 +55,6 @@ def proposals(n, e):
     so and oc tell which end is occupied, si and ti how far the link that it would lose is from constant motion, sg and tg what a frame's share of
     the gap gains on that. A pair stays if it is near the top in both directions and takes nothing or beats one of the links it takes.
     """
-    low, high = gaps.GAPS
     at = lambda k, p: n.select("dataset", F.col("node_id").alias(k), F.col("t").alias(f"{p}t"), *[F.col(u).alias(f"{p}{u}") for u in g.AXES])
     v = lambda p: tuple(F.col(f"{p}{u}") for u in g.AXES)
     bent = lambda m, a, b: g.norm(g.sub(g.sub(g.times(v(m), 2.0), v(a)), v(b)))
@@ -64,25 +63,22 @@ def proposals(n, e):
 
     s = parent.withColumnRenamed("node", "source_id").join(kid, ["dataset", "source_id"], "left").where("coalesce(kids, 0) <= 1")
     s = s.join(at("source_id", "a"), ["dataset", "source_id"]).join(at("past", "p"), ["dataset", "past"]).join(at("kid", "b"), ["dataset", "kid"], "left")
-    s = s.withColumns({"so": F.col("kid").isNotNull(), "si": bent("a", "p", "b"), "dt": F.explode(F.sequence(F.lit(low + 1), F.lit(high + 1)))})
-    ahead = [(F.col(f"a{u}") + (F.col(f"a{u}") - F.col(f"p{u}")) * F.col("dt")).alias(u) for u in g.AXES]
-    probe = s.select("dataset", (F.col("at") + F.col("dt")).alias("t"), "source_id", "dt", "so", "si", *[F.col(f"a{u}") for u in g.AXES], *ahead)
-
     k = kid.select("dataset", F.col("source_id").alias("target_id"), "kid").join(at("target_id", "c"), ["dataset", "target_id"]).join(at("kid", "d"), ["dataset", "kid"])
     k = k.join(parent.withColumnRenamed("node", "target_id"), ["dataset", "target_id"], "left").join(at("past", "q"), ["dataset", "past"], "left")
-    k = k.select(
+    k = save(k.select(
         "dataset", F.col("ct").alias("t"), "target_id", F.col("past").isNotNull().alias("oc"), bent("c", "d", "q").alias("ti"),
         *[F.col(f"c{u}") for u in g.AXES], *[(F.col(f"d{u}") - F.col(f"c{u}")).alias(f"w{u}") for u in g.AXES], *[F.col(f"c{u}").alias(u) for u in g.AXES],
-    )
-    p = spatial.within(probe, k, ["dataset", "t"], gaps.REACH).withColumnRenamed("dist", "f")
+    ))
+    s = gaps.spans(s.withColumns({"so": F.col("kid").isNotNull(), "si": bent("a", "p", "b")}), k)
+    ahead = [(F.col(f"a{u}") + (F.col(f"a{u}") - F.col(f"p{u}")) * F.col("dt")).alias(u) for u in g.AXES]
+    probe = s.select("dataset", (F.col("at") + F.col("dt")).alias("t"), "source_id", "dt", "so", "si", *[F.col(f"a{u}") for u in g.AXES], *ahead)
+    p = spatial.within(probe, k, ["dataset", "t"], gaps.REACH, gaps.WIDE).withColumnRenamed("dist", "f")
     p = p.withColumn("b", g.norm(tuple(F.col(f"c{u}") - F.col(f"w{u}") * F.col("dt") - F.col(f"a{u}") for u in g.AXES))).where(F.col("b") <= gaps.REACH)
 
     ws, wt = Window.partitionBy("dataset", "source_id", "dt"), Window.partitionBy("dataset", "target_id", "dt")
-    p = p.withColumns({
-        "bf": F.min("f").over(ws), "bb": F.min("b").over(wt),
-        "rf": F.row_number().over(ws.orderBy(F.round("f", 9), "target_id")), "rb": F.row_number().over(wt.orderBy(F.round("b", 9), "source_id")),
-        "sp": F.col("f") / F.col("dt"), "tp": F.col("b") / F.col("dt"),
-    })
+    p = p.withColumn("bf", F.min("f").over(ws)).withColumn("rf", F.row_number().over(ws.orderBy(F.round("f", 9), "target_id")))  # one exchange for each end
+    p = p.withColumn("bb", F.min("b").over(wt)).withColumn("rb", F.row_number().over(wt.orderBy(F.round("b", 9), "source_id")))
+    p = p.withColumns({"sp": F.col("f") / F.col("dt"), "tp": F.col("b") / F.col("dt")})
     near, far = gaps.RANKS
     p = p.where(((F.col("rf") <= near) & (F.col("rb") <= far)) | ((F.col("rf") <= far) & (F.col("rb") <= near)))
     ratio = lambda x, best: F.col(x) / F.greatest(F.col(best), F.lit(LEAST))
@@ -99,10 +95,12 @@ def features(p):
     """Ranks at both ends by three measures, the shortlist that they give, rivals within it, and the features."""
     order = {k: F.round(k, 9) for k in ("sym", "mx", "gm")}
     side = lambda k: Window.partitionBy("dataset", k)
-    p = p.withColumns({f"s_{k}": F.row_number().over(side("source_id").orderBy(o, "target_id")) for k, o in order.items()} | {f"t_{k}": F.row_number().over(side("target_id").orderBy(o, "source_id")) for k, o in order.items()})
+    for at, one, other in (("s", "source_id", "target_id"), ("t", "target_id", "source_id")):  # one exchange for each end
+        for k, o in order.items():
+            p = p.withColumn(f"{at}_{k}", F.row_number().over(side(one).orderBy(o, other)))
     best = F.least("s_gm", "t_gm")
     p = p.where((best <= BEST) | ((F.col("cuts") <= 1) & (best <= CUT_BEST)))
-    p = p.withColumns({"ns": F.count(F.lit(1)).over(side("source_id")), "nt": F.count(F.lit(1)).over(side("target_id"))})
+    p = p.withColumn("nt", F.count(F.lit(1)).over(side("target_id"))).withColumn("ns", F.count(F.lit(1)).over(side("source_id")))
     return p.select("dataset", "source_id", "target_id", "dt", "so", "oc", "s_gm", "t_gm", *[F.expr(x).cast("double").alias(f"f_{k}") for k, x in FEATURES.items()])
 
 
