@@ -89,3 +89,34 @@ def test_boxes(fixed, half):
     assert made < 4.5 * len(p)  # 27 each before
     top = {(r.z, r.y, r.x) for r in detection.local_maxima(df, 0.95, half).collect()}
     assert top == {u for u in p if p[u] > 0.95 and not any(near(u, v) and p[v] > p[u] for v in p)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_census_looks_for_both_sides_at_once(spark, monkeypatch, seed):
+    from strandflow.operators import policies
+
+    calls, knn = [], spatial.knn
+    monkeypatch.setattr(spatial, "knn", lambda *a, **k: calls.append(a) or knn(*a, **k))
+    n, e = graph(spark, seed)
+    got = {(r.type, r.b_id): (r.a_id, r.c_id, round(r.residual, 6), round(r.margin, 6)) for r in policies.gap_census(n, e).collect()}
+    assert len(calls) == 1  # two before, each over all nodes
+
+    nodes, edges = study(seed)
+    out, into = {}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+    first, last = min(t for t, _ in nodes.values()), max(t for t, _ in nodes.values())
+    want = {}
+    for b, (t, p) in nodes.items():
+        for kind, link, none, shift, free, stop in (("LEFT_MISSING", out, into, -1, out, first), ("RIGHT_MISSING", into, out, 1, into, last)):
+            if b in none or len(link.get(b, [])) != 1 or t == stop:
+                continue
+            m = link[b][0]
+            aim = [2 * x - y for x, y in zip(p, nodes[m][1], strict=True)]
+            near = sorted((math.dist(aim, q), k) for k, (u, q) in nodes.items() if u == t + shift and k not in free)
+            if near:
+                o = near[0][1]
+                a, c = (o, m) if kind == "LEFT_MISSING" else (m, o)
+                want[kind, b] = a, c, round(near[0][0], 6), round(near[1][0] - near[0][0], 6) if len(near) > 1 else math.inf
+    assert got == want and len(got) > 10
