@@ -202,6 +202,36 @@ def test_near_dedup_neighbours_in_a_crowd_that_cannot_be_links_go_before_the_joi
     assert len(got) < 100 < 5000 < len(every)
 
 
+@pytest.mark.parametrize("members", [300, 1500])
+def test_near_dedup_links_that_only_frequent_differences_tell(spark, members):
+    """Sets without a rare difference: the sorted orders may miss their links, all pairs of components can't."""
+    rng = random.Random(23)
+    common = [rng.getrandbits(64) - 2**63 for _ in range(120)]
+    rows = []
+    for i in range(members):
+        d = set(rng.sample(common, 40))
+        if i % 10 == 9:  # a link to an earlier set: 16 of 100 differ
+            d = set(rows[rng.randrange(i)][4])
+            d = (d - set(rng.sample(sorted(d), 8))) | set(rng.sample(sorted(set(common) - d), 8))
+        rows.append((1, i, 0 if i % 3 == 0 else i, 100, sorted(d)))  # a third is one component already
+    sets = [set(r[4]) for r in rows]
+    want = {i: r[2] for i, r in enumerate(rows)}
+    for i in range(members):
+        for j in range(i):
+            if 185 * len(sets[i] ^ sets[j]) <= 15 * 200 and want[i] != want[j]:
+                old, new = max(want[i], want[j]), min(want[i], want[j])
+                want = {k: new if v == old else v for k, v in want.items()}
+    diffs = spark.createDataFrame(rows, "g long, node long, component long, size long, d array<bigint>")
+    links = [(r.a, r.b) for r in near_dedup.across(diffs, 85).collect()]
+    assert all(185 * len(sets[a] ^ sets[b]) <= 15 * 200 for a, b in links)
+    got = {i: r[2] for i, r in enumerate(rows)}
+    for a, b in links:
+        old, new = max(got[a], got[b]), min(got[a], got[b])
+        got = {k: new if v == old else v for k, v in got.items()}
+    assert got == want and len(set(want.values())) < len({r[2] for r in rows})
+    assert len(links) < 4 * members
+
+
 @pytest.mark.parametrize(("words", "percent"), [(3, 85), (5, 80)])
 def test_near_dedup(spark, words, percent):
     rows = corpus(5, 90)
